@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secflow.operators.sliding import _blocked, block_width
+from secflow.operators.sliding import HOUR_MS, _blocked
 
 
 def _next_kept(times: np.ndarray, gap: int) -> np.ndarray:
@@ -47,11 +47,11 @@ def _steps(times: np.ndarray, block_start: int, gap: int) -> list[tuple[int, int
 def cooldown(df: DataFrame, keys: Sequence[str], gap_ms: int, time: str = "t",
              width: int | None = None) -> DataFrame:
     """(keys, t) of the kept times. Exact for any skew; tasks see one block of one key at a time."""
-    keys, width = list(keys), width or block_width(24 * gap_ms)
+    keys, width = list(keys), width or max(24 * gap_ms, HOUR_MS)
     spark_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     key_ddl = ", ".join(f"`{k}` {spark_types[k]}" for k in keys)
     times = df.groupBy(*keys, F.col(time).alias("t")).agg(F.lit(1).alias("_one")).drop("_one")
-    base = _blocked(times, keys, "t", width)
+    base = _blocked(times, keys, "t", F.lit(width))
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = np.sort(pdf["t"].to_numpy())

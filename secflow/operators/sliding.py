@@ -8,7 +8,8 @@ time blocks, blocks are summed on their own, and one small row per (key, block)
 into the next block. Changes of one (key, ms) are added up before they are shuffled, so a block holds
 at most its length in milliseconds, whatever the number of events.
 
-All windows are closed on both ends: ``[t - w, t]``. Times are BIGINT epoch ms.
+All windows are closed on both ends: ``[t - w, t]``. Times are BIGINT epoch ms. The window is a number,
+or the name of one of the key columns when several window lengths share one pass.
 """
 
 from __future__ import annotations
@@ -23,15 +24,22 @@ from pyspark.sql import functions as F
 HOUR_MS = 3_600_000
 
 
-def block_width(window_ms: int) -> int:
+Span = int | str
+
+
+def _ms(span: Span) -> Column:
+    return F.col(span) if isinstance(span, str) else F.lit(int(span)).cast("bigint")
+
+
+def block_width(window_ms: Span) -> Column:
     """Block length: at least the window (so a neighbour is at most one block away), at least 1 h."""
-    return max(int(window_ms), HOUR_MS)
+    return F.greatest(_ms(window_ms), F.lit(HOUR_MS).cast("bigint"))
 
 
-def _blocked(df: DataFrame, keys: Sequence[str], time: str, width: int) -> DataFrame:
+def _blocked(df: DataFrame, keys: Sequence[str], time: str, width: Column) -> DataFrame:
     """``df`` shuffled once by (keys, time block); rows with a null key or time are in no window."""
     present = reduce(and_, [F.col(c).isNotNull() for c in (*keys, time)])
-    block = F.coalesce(F.floor(F.col(time) / F.lit(width)).cast("bigint"), F.lit(0))
+    block = F.coalesce(F.floor(F.col(time) / width).cast("bigint"), F.lit(0))
     return df.where(present).withColumn("_blk", block).repartition(*keys, "_blk")
 
 
@@ -48,7 +56,7 @@ def _block_summary(base: DataFrame, keys: Sequence[str], *aggs: Column) -> DataF
 
 
 def running(df: DataFrame, keys: Sequence[str], time: str, aggs: dict[str, tuple[str, str]],
-            width: int) -> DataFrame:
+            width: Column) -> DataFrame:
     """``df`` plus running aggregates per key over ``time`` (peers included).
 
     ``aggs`` maps an output name to ("sum" | "max", column). Rows are shuffled by (keys, block); a
@@ -73,7 +81,7 @@ def running(df: DataFrame, keys: Sequence[str], time: str, aggs: dict[str, tuple
     return joined.select(*df.columns, *aggs)
 
 
-def neighbours(df: DataFrame, keys: Sequence[str], time: str, horizon_ms: int) -> DataFrame:
+def neighbours(df: DataFrame, keys: Sequence[str], time: str, horizon_ms: Span) -> DataFrame:
     """``df`` (unique on keys + time) plus ``prev_t`` / ``next_t``: the nearest times of the same key
     that are at most ``horizon_ms`` away, else null.
 
@@ -93,48 +101,63 @@ def neighbours(df: DataFrame, keys: Sequence[str], time: str, horizon_ms: int) -
            .join(around, [*keys, "_blk"], "left"))
     p, n = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")
     return out.select(*df.columns,
-                      F.when(F.col(time) - p <= horizon_ms, p).alias("prev_t"),
-                      F.when(n - F.col(time) <= horizon_ms, n).alias("next_t"))
+                      F.when(F.col(time) - p <= _ms(horizon_ms), p).alias("prev_t"),
+                      F.when(n - F.col(time) <= _ms(horizon_ms), n).alias("next_t"))
 
 
-def _level(changes: DataFrame, keys: Sequence[str], names: Sequence[str], window_ms: int) -> DataFrame:
+def _level(changes: DataFrame, keys: Sequence[str], names: Sequence[str], window_ms: Span) -> DataFrame:
     """Running totals of ``names`` at every observed (key, t); ``_seen`` marks observed rows."""
     levels = running(changes, keys, "t", {f"_{n}": ("sum", n) for n in names}, block_width(window_ms))
     return (levels.where("_seen")
             .select(*keys, "t", *[F.col(f"_{n}").cast("bigint").alias(n) for n in names]))
 
 
-def sliding_count(df: DataFrame, keys: Sequence[str], window_ms: int, time: str = "t") -> DataFrame:
+def sliding_count(df: DataFrame, keys: Sequence[str], window_ms: Span, time: str = "t") -> DataFrame:
     """Events in ``[t - w, t]`` at every time of a key: (keys, t, n). ``df`` holds one row per event id."""
     per_ms = df.groupBy(*keys, F.col(time).alias("t")).agg(F.count(F.lit(1)).alias("c"))
     changes = per_ms.select(*keys, F.explode(F.array(
         F.struct(F.col("t").alias("t"), F.col("c").alias("n"), F.lit(True).alias("_seen")),
-        F.struct((F.col("t") + window_ms + 1).alias("t"), (-F.col("c")).alias("n"), F.lit(False).alias("_seen"))
+        F.struct((F.col("t") + _ms(window_ms) + 1).alias("t"), (-F.col("c")).alias("n"), F.lit(False).alias("_seen"))
     )).alias("x")).select(*keys, "x.*")
     return _level(changes, keys, ["n"], window_ms)
 
 
-def sliding_distinct(df: DataFrame, keys: Sequence[str], value: str, window_ms: int, time: str = "t") -> DataFrame:
+WORDS = ("f0", "f1", "f2", "f3")
+
+
+def sliding_distinct(df: DataFrame, keys: Sequence[str], value: str, window_ms: Span, time: str = "t",
+                     fingerprint: bool = False) -> DataFrame:
     """Distinct non-null ``value`` in ``[t - w, t]`` at every time of a key: (keys, t, n).
 
     A value is present from its first sighting until w after the last one of a run of sightings, so
-    only the ends of each run change the level. Exact; no set is ever collected.
+    only the ends of each run change the level. Exact; no set is ever collected. ``fingerprint`` adds
+    the sums of four 32-bit words of each value's sha256 (f0..f3): equal counts and sums mean equal
+    sets, so two windows are compared without listing either.
     """
     seen = (df.where(F.col(value).isNotNull())
             .groupBy(*keys, F.col(value).alias("_v"), F.col(time).alias("t")).agg(F.lit(True).alias("_one")))
     runs = neighbours(seen.drop("_one"), [*keys, "_v"], "t", window_ms)
+    names = ["n", *(WORDS if fingerprint else ())]
+    digest = F.sha2(F.col("_v").cast("string"), 256)
+    weights = [F.lit(1).cast("bigint")] + [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint")
+                                           for i in range(len(names) - 1)]
+
+    def step(at: Column, sign: int, when: Column, seen_here: bool) -> Column:
+        return F.struct(at.alias("t"), *[F.when(when, w * sign).otherwise(F.lit(0).cast("bigint")).alias(n)
+                                         for n, w in zip(names, weights, strict=True)],
+                        F.lit(seen_here).alias("_seen"))
+
+    opens, closes = F.col("prev_t").isNull(), F.col("next_t").isNull()
     changes = runs.select(*keys, F.explode(F.filter(F.array(
-        F.struct(F.col("t").alias("t"), F.when(F.col("prev_t").isNull(), 1).otherwise(0).alias("n"),
-                 F.lit(True).alias("_seen")),
-        F.when(F.col("next_t").isNull(), F.struct((F.col("t") + window_ms + 1).alias("t"), F.lit(-1).alias("n"),
-                                                  F.lit(False).alias("_seen")))
+        step(F.col("t"), 1, opens, True),
+        F.when(closes, step(F.col("t") + _ms(window_ms) + 1, -1, closes, False))
     ), lambda x: x.isNotNull())).alias("x")).select(*keys, "x.*")
     # Many values can change at one ms: add them up so that a block holds one row per ms.
-    changes = changes.groupBy(*keys, "t").agg(F.sum("n").alias("n"), F.max("_seen").alias("_seen"))
-    return _level(changes, keys, ["n"], window_ms)
+    changes = changes.groupBy(*keys, "t").agg(*[F.sum(n).alias(n) for n in names], F.max("_seen").alias("_seen"))
+    return _level(changes, keys, names, window_ms)
 
 
-def sliding_cv(df: DataFrame, keys: Sequence[str], window_ms: int, time: str = "t") -> DataFrame:
+def sliding_cv(df: DataFrame, keys: Sequence[str], window_ms: Span, time: str = "t") -> DataFrame:
     """Count and regularity of the gaps in ``[t - w, t]``: (keys, t, n, cv).
 
     ``cv`` is the population standard deviation over the mean of the gaps between consecutive events,
@@ -148,7 +171,7 @@ def sliding_cv(df: DataFrame, keys: Sequence[str], window_ms: int, time: str = "
     changes = near.select(*keys, F.explode(F.array(
         F.struct(F.col("t").alias("t"), F.col("c").alias("n"), gap_in.alias("s1"), (gap_in * gap_in).alias("s2"),
                  F.lit(True).alias("_seen")),
-        F.struct((F.col("t") + window_ms + 1).alias("t"), (-F.col("c")).alias("n"), (-gap_out).alias("s1"),
+        F.struct((F.col("t") + _ms(window_ms) + 1).alias("t"), (-F.col("c")).alias("n"), (-gap_out).alias("s1"),
                  (-gap_out * gap_out).alias("s2"), F.lit(False).alias("_seen"))
     )).alias("x")).select(*keys, "x.*")
     level = _level(changes, keys, ["n", "s1", "s2"], window_ms)
@@ -166,7 +189,7 @@ def peak(levels: DataFrame, keys: Sequence[str], measure: str = "n") -> DataFram
             .select(*keys, F.col("x.m").alias("peak"), (-F.col("x.nt")).alias("peak_t")))
 
 
-def sessions(df: DataFrame, keys: Sequence[str], gap_ms: int, time: str = "t") -> DataFrame:
+def sessions(df: DataFrame, keys: Sequence[str], gap_ms: Span, time: str = "t") -> DataFrame:
     """(keys, t, session_start) per distinct time: a gap of exactly ``gap_ms`` stays in the session."""
     times = df.groupBy(*keys, F.col(time).alias("t")).agg(F.lit(1).alias("_one")).drop("_one")
     near = neighbours(times, keys, "t", gap_ms)
@@ -174,7 +197,7 @@ def sessions(df: DataFrame, keys: Sequence[str], gap_ms: int, time: str = "t") -
     return running(opened, keys, "t", {"session_start": ("max", "_open")}, block_width(gap_ms)).drop("_open")
 
 
-def novelty(df: DataFrame, keys: Sequence[str], value: str, window_ms: int, time: str = "t") -> DataFrame:
+def novelty(df: DataFrame, keys: Sequence[str], value: str, window_ms: Span, time: str = "t") -> DataFrame:
     """(keys, value, t, novel): whether the key did not show the value in the ``window_ms`` before t."""
     seen = (df.where(F.col(value).isNotNull()).groupBy(*keys, value, F.col(time).alias("t"))
             .agg(F.lit(1).alias("_one")).drop("_one"))
