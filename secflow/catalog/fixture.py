@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secflow.functions.scalars import epoch_ms_of
-from secflow.normalize.assemble import identity_leaves, nested
+from secflow.normalize.assemble import assemble, identity_leaves
 
 FLAT: dict[str, str] = {
     "tenant": "concat('t', u % 3)",
@@ -34,8 +34,8 @@ FLAT: dict[str, str] = {
     "sector": "CASE WHEN s IN (9, 12, 14, 19) THEN 'datacenter' WHEN s = 15 AND u % 5 <> 0 THEN 'bank' ELSE 'common' END",
     "status": "CASE WHEN s < 2 THEN 'Failure' WHEN s < 4 AND u % 7 <> 0 THEN 'Success' WHEN s < 4 THEN 'Failure' END",
     "severity_id": "CAST(1 + k % 6 AS INT)",
-    "user_name": "CASE WHEN u % 11 <> 0 THEN concat(CASE WHEN event_id % 2 = 0 THEN 'User' ELSE ' user' END, u % 40) END",
-    "src_ip": "CASE WHEN u % 13 <> 0 THEN concat('10.', k % 4, '.0.', u % 30) END",
+    "user_name": "CASE WHEN u % 11 <> 0 THEN concat(CASE WHEN event_id % 2 = 0 THEN 'User' ELSE ' user' END, u % 20) END",
+    "src_ip": "CASE WHEN u % 13 <> 0 THEN concat('10.', k % 4, '.0.', u % 31) END",
     "src_host": "concat('host', u % 25)",
     "dst_ip": "CASE WHEN k % 3 = 0 THEN concat('203.0.113.', u % 50) ELSE concat('10.9.', k % 5, '.', u % 20) END",
     "dst_host": "CASE WHEN s = 10 THEN concat('n', event_id % 200, CASE WHEN u % 3 = 0 THEN '.google.com'"
@@ -125,8 +125,7 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = base_events(spark, sf_dir)
-    return base.select("*", *[F.expr(sql).alias(name) for name, sql in FLAT.items()])
+    return base_events(spark, sf_dir).selectExpr("*", *[f"{sql} AS {name}" for name, sql in FLAT.items()])
 
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,4 +138,4 @@ def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "unmapped.suricata.flow.bytes_toserver": F.when(F.col("source_type") == "suricata_eve", F.col("bytes_out")),
         "unmapped.zeek.conn.orig_bytes": F.when(F.col("source_type") == "zeek_json", F.col("bytes_out")),
     }
-    return flat_events(spark, sf_dir).select(*nested(leaves))
+    return assemble(flat_events(spark, sf_dir), leaves)

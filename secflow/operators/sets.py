@@ -54,7 +54,7 @@ def capped_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], ident:
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     first = cap_per_key(df.select(*keys, *dict.fromkeys([*order, ident])), keys,
                         [F.asc_nulls_last(c) for c in order], cap)
-    lists = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, ident))).alias("_l"))
+    lists = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, ident])))).alias("_l"))
     return (totals.join(lists, list(keys))
             .select(*keys, F.transform("_l", lambda x: x[ident]).alias(out),
                     F.greatest(F.col("_total") - cap, F.lit(0).cast("bigint")).alias(f"{out}_omitted")))

@@ -19,6 +19,7 @@ from secflow.functions.predicates import closed
 from secflow.operators import sets
 from secflow.operators.cooldown import cooldown
 from secflow.operators.sliding import WORDS, sliding_count, sliding_cv, sliding_distinct
+from secflow.session import cut_lineage
 from secflow.plans.rules import (CRITICALITY_POINTS, ROUTE_DEEP, ROUTE_LIGHT, RULES, Rule, floor_of, rule_table)
 
 DEFAULT_TENANT = "default"
@@ -83,10 +84,12 @@ def matches(events: DataFrame, rules: Sequence[Rule] = RULES, mode: str = "clamp
             F.lit(ids.get(rule.companion_of or "")).cast("string").alias("companion_of")))
 
     classes = sorted({r.class_uid for r in rules})
+    # The array is exploded as an expression: as a column of its own the optimizer would copy it into
+    # inferred filters.
     rows = events.where(F.col("class_uid").isin(classes)).select(
-        detection_tenant(F.col("siem.tenant")).alias("tenant"), event_key().alias("event_key"),
-        F.filter(F.array(*[row(r) for r in rules]), lambda x: x.isNotNull()).alias("ms"))
-    return rows.select("tenant", "event_key", F.explode("ms").alias("m")).select("tenant", "event_key", "m.*")
+        "*", detection_tenant(F.col("siem.tenant")).alias("tenant"), event_key().alias("event_key"))
+    return (rows.select("tenant", "event_key", F.explode(F.array(*[row(r) for r in rules])).alias("m"))
+            .where("m is not null").select("tenant", "event_key", "m.*"))
 
 
 def gate(matched: DataFrame, tenant_rules: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -162,7 +165,8 @@ def run_rules(events: DataFrame, rules: Sequence[Rule] = RULES, tenant_rules: Da
         over = crossed(windows(fed, rules, fingerprint=pairs), rules)
         hits = fed.join(over, [*GROUP, "t"])
         if pairs:
-            hits = drop_covered(hits, fed)
+            # Few rows (windows over their limit), read four times below: kept on reliable storage.
+            hits = drop_covered(cut_lineage(hits), fed)
         parts.append(hits.select(*columns))
     return sets.union_all(parts).select(*columns)
 
@@ -289,7 +293,7 @@ def causal_keys(events: DataFrame) -> DataFrame:
 def make_alerts(events: DataFrame, rules: Sequence[Rule] = RULES, tenant_rules: DataFrame | None = None,
                 points: DataFrame | None = None, mode: str = "clamp", now_ms: int | None = None) -> DataFrame:
     """The alert table: one row per alert id, carrying the newest hit's event and the window's evidence."""
-    hits = run_rules(events, rules, tenant_rules, mode, now_ms)
+    hits = cut_lineage(run_rules(events, rules, tenant_rules, mode, now_ms))
     exposure = exposure_points(events, points) if points is not None else None
     scored = score_events(hits, rules, exposure).select("tenant", "event_key", "score")
     alerts = collapse(hits).join(scored, ["tenant", "event_key"])
@@ -324,6 +328,7 @@ def review_queue(hits: DataFrame, rules: Sequence[Rule] = RULES, gap_ms: int = C
 
     (tenant, event_key, tier, reasons). Cooldown runs on event time per alert key.
     """
+    hits = cut_lineage(hits)
     routed = score_events(hits, rules).where("route <> 'store'").select("tenant", "event_key", F.col("route").alias("tier"))
     keyed = alert_ids(hits.join(routed, ["tenant", "event_key"]))
     first = keyed.groupBy("alert_id", "t").agg(F.min(F.struct("tenant", "event_key")).alias("x"))
