@@ -10,6 +10,7 @@ from secflow.functions import scalars as S
 from secflow.operators import joins
 from secflow.plans import correlate as C
 from secflow.plans import inventory as I
+from secflow.session import cut_lineage
 
 HOUR, DAY = 3_600_000, 86_400_000
 ALERT_TEXT = {
@@ -107,14 +108,14 @@ rc AS (SELECT p, q FROM ne UNION SELECT rc.p, ne.q FROM rc JOIN ne ON rc.q = ne.
 
 @query("campaign_members", f"WITH RECURSIVE {CAMP_SQL} SELECT concat('campaign:', tenant_id, ':', substr(sha256(first), 1, 16)) AS campaign_id, tenant_id, incident_id FROM inc JOIN rt USING (incident_id)")
 def campaign_members(spark, sf):
-    return C.campaign_members(tracked(spark, sf)[0])
+    return C.campaign_members(cut_lineage(tracked(spark, sf)[0]))
 
 
 @query("campaigns", f"""WITH RECURSIVE {CAMP_SQL}, cm AS (SELECT concat('campaign:', tenant_id, ':', substr(sha256(first), 1, 16)) AS campaign_id, inc.* FROM inc JOIN rt USING (incident_id))
 SELECT campaign_id, tenant_id, count(*) AS incident_count, count(DISTINCT (entity_type, entity_value)) AS entity_count, CAST(0 AS BIGINT) AS duplicate_incidents_dropped,
 len(list_distinct(flatten(list(member_alert_ids)))) AS alert_count, list_sort(list_distinct(flatten(list(tactics)))) AS tactics FROM cm GROUP BY 1, 2""")
 def campaigns(spark, sf):
-    return C.campaigns(tracked(spark, sf)[0])
+    return C.campaigns(cut_lineage(tracked(spark, sf)[0]))
 
 
 @query("entity_rollup", f"""WITH {ALERTS_SQL}, n AS (SELECT *, 'actor' AS ty, actor AS v FROM al UNION ALL SELECT *, 'ip', ip FROM al UNION ALL SELECT *, 'device', device FROM al WHERE device IS NOT NULL)

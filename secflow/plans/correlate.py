@@ -219,8 +219,8 @@ def campaign_members(incident_rows: DataFrame) -> DataFrame:
     """(campaign_id, tenant_id, incident_id): incidents of one tenant that share member alerts, transitively."""
     split = lambda *p: F.to_json(F.array(*p))
     shared = incident_rows.select("tenant_id", "incident_id", F.explode("member_alert_ids").alias("alert_id"))
-    edges = shared.select(split(F.lit("i"), "tenant_id", "incident_id").alias("a"), split(F.lit("z"), "tenant_id", "alert_id").alias("b"))
-    comp = components(edges)
+    edges = cut_lineage(shared.select(split(F.lit("i"), "tenant_id", "incident_id").alias("a"), split(F.lit("z"), "tenant_id", "alert_id").alias("b")))
+    comp = cut_lineage(components(edges))
     mine = incident_rows.select("tenant_id", "incident_id", split(F.lit("i"), "tenant_id", "incident_id").alias("node")).distinct()
     named = mine.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("incident_id").alias("first"))
@@ -236,8 +236,8 @@ def campaigns(incident_rows: DataFrame, previous: DataFrame | None = None) -> Da
     """
     digest = F.sha2(F.to_json(F.struct(*sorted(incident_rows.columns))), 256)
     versions = incident_rows.groupBy("tenant_id", "incident_id").agg((F.count(F.lit(1)) - 1).alias("dups"))
-    best = sets.latest_by(incident_rows, ["tenant_id", "incident_id"], F.size(F.array_distinct("member_alert_ids")), digest)
-    member = campaign_members(best)
+    best = cut_lineage(sets.latest_by(incident_rows, ["tenant_id", "incident_id"], F.size(F.array_distinct("member_alert_ids")), digest))
+    member = cut_lineage(campaign_members(best))
     rows = member.join(best, ["tenant_id", "incident_id"]).join(versions, ["tenant_id", "incident_id"])
     alerts = rows.select("campaign_id", F.explode("member_alert_ids").alias("x")).groupBy("campaign_id").agg(F.countDistinct("x").alias("alert_count"))
     tactics = rows.select("campaign_id", F.explode("tactics").alias("x")).groupBy("campaign_id").agg(F.array_sort(F.collect_set("x")).alias("tactics"))
