@@ -120,7 +120,7 @@ def campaigns(spark, sf):
 
 @query("entity_rollup", f"""WITH {ALERTS_SQL}, n AS (SELECT *, 'actor' AS ty, actor AS v FROM al UNION ALL SELECT *, 'ip', ip FROM al UNION ALL SELECT *, 'device', device FROM al WHERE device IS NOT NULL)
 SELECT sha256(concat(tenant_id, '|', ty, '|', lower(v))) AS entity_id, tenant_id, ty AS entity_type, lower(v) AS canonical_value, min(time) AS first_seen, max(time) AS last_seen,
-list_sort(list(DISTINCT tactic) FILTER (WHERE tactic IS NOT NULL)) AS tactics, count(*) AS member_count, arg_min(alert_id, (time, alert_id)) AS first_alert, arg_max(alert_id, (time, alert_id)) AS last_alert
+coalesce(list_sort(list(DISTINCT tactic) FILTER (WHERE tactic IS NOT NULL)), []) AS tactics, count(*) AS member_count, arg_min(alert_id, (time, alert_id)) AS first_alert, arg_max(alert_id, (time, alert_id)) AS last_alert
 FROM n GROUP BY 1, 2, 3, 4""")
 def entity_rollup(spark, sf):
     return C.resolve_entities(alerts(spark, sf))
@@ -185,7 +185,7 @@ def assets(spark, sf):
 
 @query("baseline_deviations", f"""WITH {BASE_SQL}, f AS (SELECT u, min(t) AS t0 FROM base GROUP BY 1), n AS (SELECT *, count(*) OVER (PARTITION BY u ORDER BY t RANGE BETWEEN {7 * DAY} PRECEDING AND CURRENT ROW) AS n,
 coalesce(t - lag(t) OVER (PARTITION BY u, k ORDER BY t) > {7 * DAY}, true) AS nk, coalesce(t - lag(t) OVER (PARTITION BY u, etype ORDER BY t) > {7 * DAY}, true) AS ne FROM base)
-SELECT u, t, event_id, list_filter([CASE WHEN nk THEN 'new k' END, CASE WHEN ne THEN 'new etype' END], x -> x IS NOT NULL) AS reasons FROM n JOIN f USING (u)
+SELECT u, t, event_id, list_filter([CASE WHEN nk THEN 'new k' END, CASE WHEN ne THEN 'new etype' END], lambda x: x IS NOT NULL) AS reasons FROM n JOIN f USING (u)
 WHERE t - t0 >= {7 * DAY} AND n >= 15 AND (nk OR ne)""")
 def baseline_deviations(spark, sf):
     return I.deviations(base_events(spark, sf).select("u", "t", "event_id", "k", "etype"), "u", ["k", "etype"], 7 * DAY, 15)

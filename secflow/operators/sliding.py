@@ -105,6 +105,20 @@ def neighbours(df: DataFrame, keys: Sequence[str], time: str, horizon_ms: Span)
                       F.when(n - F.col(time) <= _ms(horizon_ms), n).alias("next_t"))
 
 
+def beside(df: DataFrame, keys: Sequence[str], time: str, value: str, out: str, after: bool = False,
+           width_ms: int = 24 * HOUR_MS) -> DataFrame:
+    """``df`` (unique on keys + time) plus ``out``: ``value`` of the row before (or after), however far."""
+    keys = list(keys)
+    base = _blocked(df, keys, time, F.lit(width_ms))
+    pair = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
+    edge = _block_summary(base, keys, (F.min(pair) if after else F.max(pair)).alias("_e"))
+    order = F.desc if after else F.asc
+    carry = edge.select(*keys, "_blk", F.lag("_e.v").over(Window.partitionBy(*keys).orderBy(order("_blk"))).alias("_c"))
+    local = F.lag(value).over(Window.partitionBy(*keys, "_blk").orderBy(order(time)))
+    return (base.select("*", local.alias("_l")).join(carry, [*keys, "_blk"])
+            .select(*df.columns, F.coalesce("_l", "_c").alias(out)))
+
+
 def _level(changes: DataFrame, keys: Sequence[str], names: Sequence[str], window_ms: Span) -> DataFrame:
     """Running totals of ``names`` at every observed (key, t); ``_seen`` marks observed rows."""
     levels = running(changes, keys, "t", {f"_{n}": ("sum", n) for n in names}, block_width(window_ms))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secflow.functions import scalars as S
 from secflow.operators.joins import interval_lookup
-from secflow.operators.sliding import novelty, sliding_count
+from secflow.operators.sliding import beside, novelty, sliding_count
 
 
 def validate_obs(obs: DataFrame) -> DataFrame:
@@ -26,10 +26,10 @@ def assets(obs: DataFrame) -> DataFrame:
 
 def ip_history(obs: DataFrame) -> DataFrame:
     """Intervals [from_ts, to_ts) in which a device held an address; the last one is open."""
-    w = Window.partitionBy("tenant_id", "mac").orderBy("t")
     rows = obs.where("ip is not null").groupBy("tenant_id", "mac", "t").agg(F.max("ip").alias("ip"))
-    changed = rows.withColumn("prev", F.lag("ip").over(w)).where("prev is null or prev <> ip")
-    return changed.select("tenant_id", "mac", "ip", F.col("t").alias("from_ts"), F.lead("t").over(w).alias("to_ts"))
+    device = ["tenant_id", "mac"]
+    changed = beside(rows, device, "t", "ip", "prev").where("prev is null or prev <> ip").drop("prev")
+    return beside(changed, device, "t", "t", "to_ts", after=True).select("tenant_id", "mac", "ip", F.col("t").alias("from_ts"), "to_ts")
 
 
 def resolve_ip_at(events: DataFrame, history: DataFrame, time: str = "t") -> DataFrame:
