@@ -57,7 +57,7 @@ def event_histogram(spark, sf):
     return sets.histogram(alerts(spark, sf), "time", 1_704_067_200_000, 1_704_067_200_000 + 20 * DAY, 20)
 
 
-@query("top_sources", f"WITH {AL_SQL} SELECT ip, count(*) AS n FROM al GROUP BY 1 ORDER BY n DESC, ip LIMIT 10")
+@query("top_sources", f"WITH {AL_SQL} SELECT ip, count(*) AS n FROM al WHERE ip IS NOT NULL GROUP BY 1 ORDER BY n DESC, ip LIMIT 10")
 def top_sources(spark, sf):
     return sets.top_n(alerts(spark, sf).where("ip is not null"), "ip", 10)
 
@@ -342,7 +342,7 @@ def upsert_keep_triage(spark, sf):
     o = table(spark, sf, "orders")
     note = F.lit(None).cast("string").alias("note")
     current = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("alert_id"), F.lit(1).cast("bigint").alias("time"), F.expr(TRI).alias("status"), note)
-    batch = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("alert_id"), F.explode(F.array(F.lit(2), F.lit(3))).cast("bigint").alias("time"), F.lit("new").alias("status"), note)
+    batch = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("alert_id"), F.explode(F.expr("array(2L, 3L)")).alias("time"), F.lit("new").alias("status"), note)
     return sinks.upsert_alerts(current, batch)
 
 

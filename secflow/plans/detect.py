@@ -73,7 +73,7 @@ def matches(events: DataFrame, rules: Sequence[Rule] = RULES, mode: str = "clamp
             t = S.window_time(t, F.col("siem.received_ms"), w, mode, rule.measure == "cv")
             if now_ms is not None:
                 t = S.valid_time(t, now_ms)
-                t = t if rule.measure == "cv" else F.least(t, F.lit(now_ms))
+                t = t if rule.measure == "cv" else F.when(t.isNotNull(), F.least(t, F.lit(now_ms)))
             ok = ok & grp.isNotNull() & t.isNotNull()
             if rule.distinct:
                 val = F.col(rule.distinct).cast("string")
