@@ -113,6 +113,7 @@ EV_SQL = (BASE_SQL + ",\nev AS (SELECT event_id, t, u, k, s, etype, value, "
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold UTC times without a zone
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
