@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,21 +31,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder of this session.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Only a local session without one
-    gets a temporary folder; anywhere else a missing setting is an error, because a folder on one
-    machine is lost with its executor.
+    A cluster names a shared folder in ``spark.checkpoint.dir``. A session without one uses a folder in
+    the warehouse, which all executors share as well; no machine-local folder is used with any master.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="secflow-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    sc.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return sc.getCheckpointDir()
 
 
