@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secflow.llm import quality, shards
+from secflow.llm import byte_bpe, quality, shards, toxicity, warc
 from secflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,5 +39,33 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_shards": op2_shards}
-ORACLES: dict[str, str] = {"op1_quality": OP1_SQL}
+def held_out(ident: str = "doc_id"):
+    """Rows that no classifier may learn from."""
+    return F.crc32(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = toxicity.score(docs, chain)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.PREDICT_AT).cast("int").alias("predicted"), "spans")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", F.when(F.col("kind") == "revisit", F.col("full")).otherwise(F.col("length")).alias("payload_bytes"),
+        F.when(F.col("kind") == "revisit", F.col("digest")).otherwise(F.col("sha1")).alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
+OP5_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY n, h) AS keeper FROM p)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN n >= 1000 AND keeper <> page_id THEN keeper END AS refers_to FROM k"""
+
+
+QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_shards": op2_shards, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_warc": op5_warc}
+ORACLES: dict[str, str] = {"op1_quality": OP1_SQL, "op5_warc": OP5_SQL}
