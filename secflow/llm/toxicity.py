@@ -3,7 +3,8 @@
 Token labels come from labelled documents: a word or word beginning that is frequent in toxic documents
 and nearly absent from clean ones marks the tokens of toxic documents that carry it. A two-state chain
 is fitted to those tokens; its forward-backward marginals give the offending offsets, and the largest
-marginal log-odds and the expected number of toxic tokens of a document give its score by a small logistic model.
+marginal log-odds, the expected number of toxic tokens and their share of a document give its score by a small
+logistic model.
 
 The fit uses a bounded sample (``SAMPLE`` documents of each class, chosen by a hash of the id); scoring
 covers every document and the whole of each text. Only words are inputs of a score.
@@ -41,7 +42,7 @@ SCHEMA = "score double, spans array<struct<start:int,end:int>>"
 
 def features(word: str) -> list[str]:
     w = word.lower()
-    return [f"w{w}", *(f"p{w[:k]}" for k in (3, 4, 5, 6) if len(w) > k), f"s{w[-3:]}"]
+    return [f"w{w}", *(f"p{w[:k]}" for k in (3, 4, 5, 6, 7) if len(w) > k)]
 
 
 @dataclass
@@ -97,24 +98,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def summary(odds: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each document: 1, its largest log-odds and the log of one plus its expected toxic tokens."""
-    out = np.zeros((len(lengths), 3))
+    """For each document: 1, its largest log-odds, and the logs of one plus its expected toxic tokens, all and in a thousand."""
+    out = np.zeros((len(lengths), 4))
     out[:, 0], out[:, 1] = 1, -LIMIT
     some = lengths > 0
     if some.any():
         out[some, 1] = np.clip(np.maximum.reduceat(odds, starts[some]), -LIMIT, LIMIT)
-        out[some, 2] = np.log1p(np.add.reduceat(sigmoid(odds), starts[some]))
+        expected = np.add.reduceat(sigmoid(odds), starts[some])
+        out[some, 2], out[some, 3] = np.log1p(expected), np.log1p(1000 * expected / lengths[some])
     return out
 
 
 def toxic_features(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Features that mark toxic tokens: in 1 % of the toxic documents at least, and e^3 times as likely there."""
+    """Features that mark toxic tokens: in 1.5 % of the toxic documents at least (five if there are few), and e^3
+    times as likely there, with two clean documents more than were seen."""
     seen = Counter(), Counter()
     for words, y in zip(texts, toxic, strict=True):
-        seen[int(y)].update({f for w in set(words) for f in features(w) if f[0] != "s"})
+        seen[int(y)].update({f for w in set(words) for f in features(w)})
     n1, n0 = toxic.sum(), (1 - toxic).sum()
-    return {f for f, k in seen[1].items() if k >= max(3, n1 / 100)
-            and np.log((k + 0.5) / (n1 + 1)) - np.log((seen[0][f] + 0.5) / (n0 + 1)) > 3}
+    return {f for f, k in seen[1].items() if k >= max(5, 0.015 * n1) and np.log(k / n1) - np.log((seen[0][f] + 2) / (n0 + 2)) > 3}
 
 
 def stretches(texts: list[list[str]], marks: list[list[int]]) -> tuple[list[list[str]], list[list[int]]]:
@@ -185,10 +187,11 @@ def pair_messages(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, m
 def fit_document(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
     """Logistic weights by Newton steps on a balanced sample, moved to the share of toxic documents."""
     w, size = np.zeros(x.shape[1]), np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    ridge = np.array([1e-3, *[1.0] * (x.shape[1] - 1)])
     for _ in range(25):
         p = sigmoid(x @ w)
-        h = (x * (size * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1.0, 1.0])
-        w += np.linalg.solve(h, x.T @ (size * (y - p)) - np.array([1e-3, 1.0, 1.0]) * w)
+        h = (x * (size * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        w += np.linalg.solve(h, x.T @ (size * (y - p)) - ridge * w)
     w[0] += np.log(prior / (1 - prior))
     return w
 
