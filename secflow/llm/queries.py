@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secflow.llm import byte_bpe, quality, shards, toxicity, warc
+from secflow.llm import byte_bpe, decontaminate, privacy, quality, shards, toxicity, warc
 from secflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,5 +67,30 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND
 CASE WHEN n >= 1000 AND keeper <> page_id THEN keeper END AS refers_to FROM k"""
 
 
-QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_shards": op2_shards, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_warc": op5_warc}
-ORACLES: dict[str, str] = {"op1_quality": OP1_SQL, "op5_warc": OP5_SQL}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+PLAIN_SQL = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+OP6_SQL = rf"""WITH d AS (SELECT doc_id, {PLAIN_SQL} AS w FROM documents), b AS (SELECT item_id, {PLAIN_SQL} AS w FROM benchmark),
+i AS (SELECT item_id, unnest([array_to_string(w[i : i + least(len(w), 10) - 1], ' ') FOR i IN range(1, len(w) - least(len(w), 10) + 2)]) AS t, least(len(w), 10) AS m FROM b WHERE len(w) > 0),
+k AS (SELECT DISTINCT t, m FROM i), x AS (SELECT DISTINCT m FROM k),
+p AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, x WHERE len(w) >= m),
+h AS (SELECT doc_id, s, p.m, t FROM p JOIN k ON p.m = k.m AND array_to_string(w[s : s + p.m - 1], ' ') = k.t),
+c AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(s, s + m)) AS q FROM h) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h JOIN i USING (t, m)) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(n.n, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = privacy.spans(table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    return rows.select(F.col("id").alias("doc_id"), *[of(n).alias(f"n_{k}") for n, k in enumerate(privacy.KINDS[:4])],
+                       F.sha2(privacy.listed(F.filter("spans", lambda x: x["kind"] < 4)), 256).alias("base_sha256"), privacy.listed(F.col("spans")).alias("spans"))
+
+
+QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_shards": op2_shards, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_warc": op5_warc,
+                             "op6_decontaminate": op6_decontaminate, "op8_privacy": op8_privacy}
+ORACLES: dict[str, str] = {"op1_quality": OP1_SQL, "op5_warc": OP5_SQL, "op6_decontaminate": OP6_SQL}
