@@ -72,3 +72,32 @@ def join_split(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, h
     flagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     cool = flagged.where(F.col("_hot").isNull()).drop("_hot").join(right, key, how)
     return cool.unionByName(flagged.where("_hot").drop("_hot").join(F.broadcast(hot_right), key, how))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of an undirected graph given as (u, v): the smallest node that each node reaches.
+
+    Large-star and small-star rounds: neighbours are moved to the smallest one around a node, until nothing
+    moves. The state is the edges; minima are combined before the shuffle, hot nodes are split."""
+    edges = stage(links.select("u", "v").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    nodes = stage(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    mark = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        edges = stage(starred(both, F.col("v") > F.col("u")))
+        edges = stage(starred(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), F.lit(True)))
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
+            break
+        mark = now
+    low = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
+    return nodes.join(low, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def starred(edges: DataFrame, moved) -> DataFrame:
+    """Edges (u, v) with the chosen neighbours, and u itself, moved to the smallest node around u."""
+    edges = stage(edges.distinct())
+    around = stage(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+    kept = join_split(edges.where(moved), around.select("u", "m"), "u", around.select("u", "n"))
+    out = kept.select(F.col("m").alias("u"), "v").unionByName(around.select(F.col("m").alias("u"), F.col("u").alias("v")))
+    return out.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secflow.llm import byte_bpe, decontaminate, privacy, quality, shards, toxicity, warc
+from secflow.llm import byte_bpe, decontaminate, near, privacy, quality, shards, toxicity, warc
 from secflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,19 @@ def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(privacy.listed(F.filter("spans", lambda x: x["kind"] < 4)), 256).alias("base_sha256"), privacy.listed(F.col("spans")).alias("spans"))
 
 
+def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+LOWER_SQL = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+OP9_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, {LOWER_SQL} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS g FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), j AS (SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT p, q FROM j JOIN n a ON a.doc_id = p JOIN n b ON b.doc_id = q WHERE 100 * k >= 85 * (a.n + b.n - k)),
+r AS (SELECT p, q FROM e UNION SELECT r.p, e.q FROM r JOIN e ON r.q = e.p), c AS (SELECT p, min(q) AS low FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.p = d.doc_id"""
+
+
 QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_shards": op2_shards, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_warc": op5_warc,
-                             "op6_decontaminate": op6_decontaminate, "op8_privacy": op8_privacy}
-ORACLES: dict[str, str] = {"op1_quality": OP1_SQL, "op5_warc": OP5_SQL, "op6_decontaminate": OP6_SQL}
+                             "op6_decontaminate": op6_decontaminate, "op8_privacy": op8_privacy, "op9_near": op9_near}
+ORACLES: dict[str, str] = {"op1_quality": OP1_SQL, "op5_warc": OP5_SQL, "op6_decontaminate": OP6_SQL, "op9_near": OP9_SQL}
