@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secflow.llm import byte_bpe, decontaminate, near, privacy, quality, shards, toxicity, warc
+from secflow.llm import byte_bpe, decontaminate, near, privacy, quality, shards, substrings, toxicity, warc
 from secflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,19 @@ r AS (SELECT p, q FROM e UNION SELECT r.p, e.q FROM r JOIN e ON r.q = e.p), c AS
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.p = d.doc_id"""
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = rf"""WITH d AS (SELECT doc_id, {WORD_SQL} AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS s, w FROM d WHERE len(w) >= 35), h AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 34], ' ')) AS h FROM p),
+r AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM r), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM u ANTI JOIN c ON u.doc_id = c.doc_id AND u.i = c.i GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
 QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_shards": op2_shards, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_warc": op5_warc,
-                             "op6_decontaminate": op6_decontaminate, "op8_privacy": op8_privacy, "op9_near": op9_near}
-ORACLES: dict[str, str] = {"op1_quality": OP1_SQL, "op5_warc": OP5_SQL, "op6_decontaminate": OP6_SQL, "op9_near": OP9_SQL}
+                             "op6_decontaminate": op6_decontaminate, "op8_privacy": op8_privacy, "op9_near": op9_near,
+                             "op10_substrings": op10_substrings}
+ORACLES: dict[str, str] = {"op1_quality": OP1_SQL, "op5_warc": OP5_SQL, "op6_decontaminate": OP6_SQL, "op9_near": OP9_SQL, "op10_substrings": OP10_SQL}
