@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secflow.llm import byte_bpe, decontaminate, near, privacy, quality, shards, substrings, toxicity, warc
+from secflow.llm import byte_bpe, decontaminate, near, privacy, quality, shards, substrings, suffixes, toxicity, warc
 from secflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,7 +116,11 @@ k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM u
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_shards": op2_shards, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_warc": op5_warc,
-                             "op6_decontaminate": op6_decontaminate, "op8_privacy": op8_privacy, "op9_near": op9_near,
+                             "op6_decontaminate": op6_decontaminate, "op7_suffixes": op7_suffixes, "op8_privacy": op8_privacy, "op9_near": op9_near,
                              "op10_substrings": op10_substrings}
 ORACLES: dict[str, str] = {"op1_quality": OP1_SQL, "op5_warc": OP5_SQL, "op6_decontaminate": OP6_SQL, "op9_near": OP9_SQL, "op10_substrings": OP10_SQL}
