@@ -34,6 +34,7 @@ REMEMBERED, LONGEST = 200_000, 48
 #: A character for each byte that is neither white space nor a control character.
 ALPHABET = "".join(chr(0x100 + b) for b in range(256))
 TO_CHARS = {b: ALPHABET[b] for b in range(256)}
+NAMES = ("n_tokens", "ids_sha256", "decoded_sha256")
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -169,11 +170,19 @@ def decode(rows: DataFrame, path: str = "", ids_col: str = "ids") -> DataFrame:
     return rows.withColumn("decoded", F.pandas_udf(run, "binary")(F.col(ids_col)))
 
 
+def checked(docs: DataFrame, path: str = "", text_col: str = "text") -> DataFrame:
+    """``docs`` without the text and with the ids, their number and the digests of the ids and of the decoded bytes."""
+    def make(codec: Codec, texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(codec.encode(t), *codec.digests(t)) for t in texts], columns=["ids", *NAMES])
+
+    rows = _over(docs, "ids array<int>, " + DIGESTS, make, path or public_tokenizers.path(VOCABULARY), text_col, "_encoded")
+    return rows.select(*[c for c in docs.columns if c not in (text_col, "ids", *NAMES)], "_encoded.*")
+
+
 def digests(docs: DataFrame, path: str = "", text_col: str = "text") -> DataFrame:
     """``docs`` without the text and with the number of ids, the digest of the ids and of the decoded bytes."""
     def make(codec: Codec, texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([codec.digests(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame([codec.digests(t) for t in texts], columns=list(NAMES))
 
     rows = _over(docs, DIGESTS, make, path or public_tokenizers.path(VOCABULARY), text_col, "_digests")
-    names = ("n_tokens", "ids_sha256", "decoded_sha256")
-    return rows.select(*[c for c in docs.columns if c not in (text_col, *names)], "_digests.*")
+    return rows.select(*[c for c in docs.columns if c not in (text_col, *NAMES)], "_digests.*")

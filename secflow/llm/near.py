@@ -1,6 +1,6 @@
 """Near-duplicate documents by one-permutation hashing.
 
-The set of a document is its distinct word shingles (three words; shorter texts are one shingle). One hash
+The set of a document is its distinct word shingles (a shorter text is one shingle). One hash
 of every shingle gives a bin and a value; the smallest value of each bin is the signature, and an empty
 bin takes the value of the first filled bin in its own fixed random order (optimal densification). Bands
 of the signature are bucket keys. In a bucket, every document is compared with one hub only: the member
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -31,15 +32,30 @@ from pyspark.sql import functions as F
 
 from secflow.llm.common import HOT_PARTS, components, join_split, stage, whole_text
 
-SHINGLE = 3
-NEAR = 85
-BANDS, ROWS = 48, 8
-BINS = BANDS * ROWS
+#: Bins of a signature: bands times rows of every measure.
+BINS = 384
 #: Members of a hub that one task compares.
 BLOCK = 512
 #: Texts that are signed together, words whose hash a worker remembers.
 SLICE, REMEMBERED = 2000, 400_000
 U = np.uint64
+
+
+@dataclass(frozen=True)
+class Measure:
+    """What is near: shingle length, least similarity in hundredths, and the bands that find it."""
+
+    shingle: int = 3
+    near: int = 85
+    bands: int = 48
+
+    @property
+    def rows(self) -> int:
+        return BINS // self.bands
+
+
+#: The usual measure of word shingles: a pair at 0.8 shares none of the 64 bands of 6 with probability 4e-9.
+FIVE_WORDS = Measure(5, 80, 64)
 NONE = np.iinfo(np.uint64).max
 words: dict[bytes, int] = {}
 
@@ -50,7 +66,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
+def shingles(text: str, size: int) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles. bytes.lower() changes A-Z only, and
     bytes.split() splits at the six white space characters of ASCII."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
@@ -102,24 +118,24 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return sig
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    key = np.tile(np.arange(BANDS, dtype=U), (len(sig), 1))
-    for r in range(ROWS):
-        key = mix(key * U(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
+def band_keys(sig: np.ndarray, measure: Measure) -> np.ndarray:
+    key = np.tile(np.arange(measure.bands, dtype=U), (len(sig), 1))
+    for r in range(measure.rows):
+        key = mix(key * U(0x9E3779B97F4A7C15) + sig[:, r :: measure.rows])
     return key.view(np.int64)
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signed(docs: DataFrame, measure: Measure, id_col: str, text_col: str) -> DataFrame:
     """(id, n, set_key, bands): set size, digest of the set and bucket keys; null digest without words."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), SLICE):
                 part = batch.iloc[i : i + SLICE]
-                sets = [shingles(t) for t in part["text"]]
+                sets = [shingles(t, measure.shingle) for t in part["text"]]
                 some = [j for j, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 bands: list = [None] * len(sets)
-                for j, b in zip(some, band_keys(signatures([sets[j] for j in some])) if some else [], strict=True):
+                for j, b in zip(some, band_keys(signatures([sets[j] for j in some]), measure) if some else [], strict=True):
                     keys[j], bands[j] = hashlib.blake2b(sets[j].tobytes(), digest_size=16).digest(), b
                 yield pd.DataFrame({"id": part["id"], "n": [len(s) for s in sets], "set_key": pd.Series(keys, dtype=object, index=part.index),
                                     "bands": pd.Series(bands, dtype=object, index=part.index)})
@@ -145,7 +161,7 @@ def hubs(members: DataFrame) -> DataFrame:
     return stage(met.where("id <> hub"))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
     """The (hub, id) whose full sets are near. A hub's members are compared in blocks of about ``BLOCK``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, mine = None, np.empty(0, U)
@@ -153,10 +169,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             ok = []
             for hub, hub_text, text in zip(batch["hub"], batch["hub_text"], batch["text"], strict=True):
                 if last != hub:
-                    last, mine = hub, shingles(hub_text)
-                other = shingles(text)
+                    last, mine = hub, shingles(hub_text, measure.shingle)
+                other = shingles(text, measure.shingle)
                 same = len(np.intersect1d(mine, other, assume_unique=True))
-                ok.append(100 * same >= NEAR * (len(mine) + len(other) - same))
+                ok.append(100 * same >= measure.near * (len(mine) + len(other) - same))
             yield batch.loc[ok, ["hub", "id"]]
 
     counts = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
@@ -170,7 +186,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("hub", "id", "hub_text", "text").mapInPandas(run, "hub long, id long").distinct()
 
 
-def links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def links(rows: DataFrame, docs: DataFrame, measure: Measure, id_col: str, text_col: str) -> DataFrame:
     """Confirmed (u, v) between documents with different sets. ``rows`` has one row for each set."""
     members = buckets(rows)
     # texts are moved once: those of documents in a bucket
@@ -178,12 +194,12 @@ def links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataF
     out, asked, before = None, None, 0
     while True:
         met = hubs(members)
-        fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * NEAR
+        fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * measure.near
         pairs = met.where(fits).select("hub", "id").distinct()
         if asked is not None:
             pairs = pairs.join(asked, ["hub", "id"], "left_anti")
         pairs = stage(pairs)
-        found = stage(confirmed(pairs, texts))
+        found = stage(confirmed(pairs, texts, measure))
         out = found if out is None else out.unionByName(found)
         out = stage(out)
         linked = out.count()
@@ -196,16 +212,16 @@ def links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataF
         members = stage(rest.select("band", "id", "n", "pop"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, measure: Measure = Measure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    rows = stage(signed(docs, id_col, text_col))
+    rows = stage(signed(docs, measure, id_col, text_col))
     sets = rows.where("set_key is not null and id is not null").groupBy("set_key").agg(
         F.min(F.struct("id", "n", "bands")).alias("one"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("low"))
     sets = stage(sets.select("set_key", "one.id", "one.n", "one.bands", "copies"))
     # rows with one id are one document, also if their texts differ
     together = rows.where("set_key is not null and id is not null").select("id", "set_key").distinct()
     reps = together.join(sets.select("set_key", F.col("id").alias("rep")), "set_key") if has_repeats(rows) else None
-    found = links(sets, docs, id_col, text_col)
+    found = links(sets, docs, measure, id_col, text_col)
     if reps is not None:
         found = found.unionByName(reps.select(F.col("id").alias("u"), F.col("rep").alias("v")))
     groups = components(found)
@@ -223,7 +239,7 @@ def has_repeats(rows: DataFrame) -> bool:
     return not rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, measure: Measure = FIVE_WORDS, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each class: that with the smallest id."""
-    gone = stage(classes(docs, id_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = stage(classes(docs, measure, id_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

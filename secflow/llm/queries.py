@@ -39,16 +39,11 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def held_out(ident: str = "doc_id"):
-    """Rows that no classifier may learn from."""
-    return F.crc32(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary")) % 4 == 2
-
-
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
     scored = toxicity.score(docs, chain)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.PREDICT_AT).cast("int").alias("predicted"), "spans")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.PREDICT_AT).cast("int").alias("predicted"), "spans")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

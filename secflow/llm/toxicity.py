@@ -40,6 +40,11 @@ LIMIT = 20.0
 SCHEMA = "score double, spans array<struct<start:int,end:int>>"
 
 
+def held_out(ident: str = "doc_id") -> Column:
+    """Rows that the fit must not learn from."""
+    return F.crc32(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
 def features(word: str) -> list[str]:
     w = word.lower()
     return [f"w{w}", *(f"p{w[:k]}" for k in (3, 4, 5, 6, 7) if len(w) > k)]
@@ -264,7 +269,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     return docs.withColumn("_tag", tag(whole_text(text_col))).select(*[c for c in docs.columns if c != text_col], "_tag.score", "_tag.spans")
 
 
-def toxic_rows(docs: DataFrame, chain: Chain, text_col: str = "text", at: float = PREDICT_AT) -> DataFrame:
+def clean_rows(docs: DataFrame, chain: Chain, text_col: str = "text", at: float = PREDICT_AT) -> DataFrame:
     """``docs`` without the rows that the chain rejects."""
     held = docs.sparkSession.sparkContext.broadcast(chain)
 
