@@ -111,9 +111,11 @@ def disclosing(rows: DataFrame) -> DataFrame:
     # a term cut by the edge of the surroundings isn't one
     left, right = F.regexp_replace(left, r"^[\p{L}\p{N}]+", ""), F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")
     near = stage(one.select("fp", value_of(F.col("x")).alias("value"), F.concat_ws(" ", left, right).alias("around")))
-    pairs = near.select("value", F.xxhash64("around").alias("place"), F.explode(F.array_distinct(terms_of(F.col("around")))).alias("term"))
-    strong = pairs.distinct().groupBy("term", "value").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= SUPPORT)
-    strong = stage(strong)
+    pairs = stage(near.select("value", "fp", F.xxhash64("around").alias("place"), F.explode(F.array_distinct(terms_of(F.col("around")))).alias("term")))
+    strong = pairs.select("term", "value", "place").distinct().groupBy("term", "value").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= SUPPORT)
+    # a term stands in at least the texts where it is near any value: common terms can't reach the share
+    around_any = pairs.join(strong.select("term").distinct(), "term", "left_semi").select("term", "fp").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("near_any"))
+    strong = stage(strong.join(around_any, "term").where(F.col("together") >= SHARE * F.col("near_any")).drop("near_any"))
     asked = stage(strong.select("term").distinct())
     held = document_counts(rows, asked)
     per_value = near.select("value", "fp").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("with_value"))
