@@ -87,12 +87,15 @@ def found(rows: DataFrame) -> DataFrame:
         "card": F.when(digit, F.filter(locate(seps, CARD), lambda x: F.length(digits(x["value"])).between(13, 19) & luhn(digits(x["value"])))).otherwise(none),
         "phone": F.when(F.col("_t").contains("+"), F.filter(locate(F.col("_t"), PHONE), lambda x: F.length(digits(x["value"])).between(9, 15))).otherwise(none),
     }
-    return rows.withColumn("base", F.concat(*[of_kind(n, parts[k]) for n, k in enumerate(KINDS[:4])])).drop("_t")
+    rows = rows.withColumn("_b", F.concat(*[of_kind(n, parts[k]) for n, k in enumerate(KINDS[:4])]))
+    # values as they stand in the text, without the marks
+    value = lambda x: F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"])
+    return rows.withColumn("base", F.transform("_b", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), value(x).alias("value")))).drop("_t", "_b")
 
 
 def value_of(x: Column) -> Column:
     """The protected value as it is compared: lower case, numbers without separators."""
-    return F.concat(x["kind"].cast("string"), F.lit(":"), F.when(x["kind"] >= 2, digits(x["value"])).otherwise(F.lower(F.translate(x["value"], DOT, "."))))
+    return F.concat(x["kind"].cast("string"), F.lit(":"), F.when(x["kind"] >= 2, digits(x["value"])).otherwise(F.lower(x["value"])))
 
 
 def terms_of(text: Column) -> Column:
