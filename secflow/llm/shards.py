@@ -69,7 +69,8 @@ def count_below(rows: DataFrame, ranges: list[tuple[int, int]], known: dict[int,
     at = below(edges)
     inside = rows.withColumn("_at", at).where("_at % 2 = 1").withColumn("_r", F.expr("(_at - 1) div 2").cast("int"))
     pick = lambda values: F.element_at(F.array(*[number(v) for v in values]), F.col("_r") + 1)
-    probe = F.floor((F.col("key") - pick([lo for lo, _ in ranges])) / pick(steps)).cast("long")
+    inside = inside.withColumn("_lo", pick([lo for lo, _ in ranges])).withColumn("_step", pick(steps))
+    probe = F.expr("(key - _lo) div _step")  # exact, unlike a quotient of decimals
     found = inside.groupBy("_r", probe.alias("p")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
     sums: dict[int, dict[int, tuple[int, int]]] = {}
     for r in found:
