@@ -17,6 +17,7 @@ are scored row by row; other columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from secflow.llm.common import whole_text
 
 #: Most labelled documents of each class that the fit reads.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Most tokens of a training stretch, and tokens that all stretches have.
 STRETCH, TRAIN_TOKENS = 40, 240_000
 #: Texts that take their steps together.
@@ -117,11 +118,16 @@ def summary(odds: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 def toxic_features(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
     """Features that mark toxic tokens: in 1.5 % of the toxic documents at least (five if there are few), and e^3
     times as likely there, with two clean documents more than were seen."""
-    seen = Counter(), Counter()
-    for words, y in zip(texts, toxic, strict=True):
-        seen[int(y)].update({f for w in set(words) for f in features(w)})
     n1, n0 = toxic.sum(), (1 - toxic).sum()
-    return {f for f, k in seen[1].items() if k >= max(5, 0.015 * n1) and np.log(k / n1) - np.log((seen[0][f] + 2) / (n0 + 2)) > 3}
+    bad, clean = Counter(), Counter()
+    for words, y in zip(texts, toxic, strict=True):
+        if y:
+            bad.update({f for w in set(words) for f in features(w)})
+    bad = {f: k for f, k in bad.items() if k >= max(5, 0.015 * n1)}
+    for words, y in zip(texts, toxic, strict=True):
+        if not y:
+            clean.update({f for w in set(words) for f in features(w) if f in bad})
+    return {f for f, k in bad.items() if np.log(k / n1) - np.log((clean[f] + 2) / (n0 + 2)) > 3}
 
 
 def stretches(texts: list[list[str]], marks: list[list[int]]) -> tuple[list[list[str]], list[list[int]]]:
@@ -219,12 +225,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     y = np.array([t for _, t in rows])
     if not 0 < y.sum() < len(y):
         return Chain()
-    words = [TOKEN.findall(text) for text, _ in rows]
+    words = [[sys.intern(w) for w in TOKEN.findall(text)] for text, _ in rows]
     marking = toxic_features(words, y)
     marks = [[int(bool(t) and any(f in marking for f in features(w))) for w in ws] for ws, t in zip(words, y, strict=True)]
     chain = fit_chain(*stretches(words, marks))
-    odds, starts, lengths = chain_odds(chain, words)
-    chain.document = fit_document(summary(odds, starts, lengths), y, min(max(share, 1e-3), 0.5))
+    seen = [summary(*chain_odds(chain, words[i : i + 500])) for i in range(0, len(words), 500)]
+    chain.document = fit_document(np.concatenate(seen), y, min(max(share, 1e-3), 0.5))
     chain.known = {}
     return chain
 
