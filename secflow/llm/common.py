@@ -59,7 +59,7 @@ def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return cond
 
 
-def join_split(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, key: str | list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right`` (one row for each key) where some keys of ``left`` are hot.
 
     ``counts`` is (key, n) with the rows of ``left`` by key. Fewer than ``HOT_PARTS`` keys can hold more
@@ -67,7 +67,8 @@ def join_split(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, h
     bound; all other keys go through an ordinary shuffled join.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where(F.col("n") > max(1000, total // HOT_PARTS)).select(key)
+    names = [key] if isinstance(key, str) else key
+    hot = counts.where(F.col("n") > max(1000, total // HOT_PARTS)).select(*names)
     hot_right = right.join(F.broadcast(hot), key, "left_semi")
     flagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     cool = flagged.where(F.col("_hot").isNull()).drop("_hot").join(right, key, how)

@@ -16,16 +16,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secflow.llm.common import keyed, same, stage, whole_text
 from secflow.llm.near import mix
 
 U = np.uint64
-#: Documents that are broadcast at most when a few of them are looked up.
-FEW = 200_000
-SEGMENT = "anchor long, digest binary, id long, fp long, start int, n int"
+#: Segments or runs that are broadcast at most (about 50 bytes each); above that texts are shuffled by document.
+FEW = 500_000
+#: place is start * 2^16 + number of windows
+SEGMENT = "anchor long, digest long, id long, fp long, place long"
+#: Repeated windows of a segment, from the off-th on.
+MARKS = "anchor long, digest long, runs array<struct<off:int,k:int>>"
 
 
 @dataclass(frozen=True)
@@ -75,7 +78,7 @@ def anchors(rows: DataFrame, unit: Unit) -> DataFrame:
 
 
 def segments(rows: DataFrame, unit: Unit) -> DataFrame:
-    """(anchor, digest, id, fp, start, n): every segment, n windows from unit ``start``."""
+    """(anchor, digest, id, fp, place): every segment. Anchor and digest, 64 bits each, name its content."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts, digests = [], []
@@ -86,41 +89,46 @@ def segments(rows: DataFrame, unit: Unit) -> DataFrame:
                 digests += [unit.digest(units[s:e]) for s, e in zip(start.tolist(), (start + n + unit.window - 1).tolist(), strict=True)]
             a, at, start, n = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, U), *[np.empty(0, np.int64)] * 3)
             doc = batch[["id", "fp"]].iloc[at].reset_index(drop=True)
-            yield pd.DataFrame({"anchor": a.view(np.int64), "digest": pd.Series(digests, dtype=object), "id": doc["id"].astype("Int64"), "fp": doc["fp"], "start": start, "n": n})
+            names = np.frombuffer(b"".join(digests), np.int64)
+            yield pd.DataFrame({"anchor": a.view(np.int64), "digest": names, "id": doc["id"].astype("Int64"), "fp": doc["fp"], "place": (start << 16) + n})
 
     return rows.mapInPandas(run, SEGMENT)
 
 
 @dataclass
 class Repeats:
-    """``all``: occurrences of segments with repeated anchors; ``whole``: (anchor, digest) of segments found twice or
-    more; ``open``: one occurrence of each segment of anchors with different segments, ``copies`` its count and
-    ``n_anchor`` the anchor's number of different segments."""
+    """``every``: occurrences of segments with repeated anchors, with their ``copies``; ``open``: one occurrence of each
+    segment of anchors with different segments, with ``copies`` and the anchor's ``n_anchor``; ``again``: do
+    rows with equal id and text exist?"""
 
     rows: DataFrame
-    all: DataFrame
-    whole: DataFrame
+    every: DataFrame
     open: DataFrame
+    again: bool
 
 
 def find(docs: DataFrame, unit: Unit, id_col: str = "doc_id", text_col: str = "text") -> Repeats:
     rows = keyed(docs, whole_text(text_col), id_col).select(F.col("id").cast("long").alias("id"), "text", "fp")
     twice = stage(anchors(rows, unit).groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"))
     met = stage(segments(rows, unit).join(twice, "anchor"))
-    groups = met.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "fp", "start", "n")).alias("one"))
+    groups = met.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "fp", "place")).alias("one"))
     groups = stage(groups.select("anchor", "digest", "copies", "one.*"))
     several = stage(groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_anchor")).where("n_anchor > 1"))
-    return Repeats(rows, met, groups.where("copies > 1").select("anchor", "digest"), stage(groups.join(several, "anchor")))
+    again = not rows.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
+    return Repeats(rows, met, stage(groups.join(several, "anchor")), again)
 
 
-def with_units(found: Repeats, chosen: DataFrame, work: Callable, schema: str, *columns: str) -> DataFrame:
+def lookup(side: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(side) if size <= FEW else side
+
+
+def with_units(found: Repeats, chosen: DataFrame, work: Callable, schema: str) -> DataFrame:
     """Runs ``work(text, segments of the text)`` on the documents that hold the chosen segments.
 
-    ``work`` gives rows of ``schema``; equal (id, text) rows of the table give equal rows more than once. The list of segments is broadcast if few documents have one, else both
-    sides are shuffled by document."""
-    wanted = stage(chosen.groupBy("id", "fp").agg(F.collect_list(F.struct(*columns)).alias("segments")))
-    side = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    texts = found.rows
+    ``work`` gives rows of ``schema``. The segments are broadcast while they are few, else both sides are
+    shuffled by document."""
+    wanted = chosen.groupBy("id", "fp").agg(F.collect_list(F.struct("anchor", "digest", "place", "copies")).alias("segments"))
+    texts, side = found.rows, lookup(wanted, chosen.count())
     met = texts.join(side, same(texts, wanted, ["id", "fp"])).select(texts["text"], "segments")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
@@ -128,13 +136,14 @@ def with_units(found: Repeats, chosen: DataFrame, work: Callable, schema: str, *
         for batch in batches:
             out: list[tuple] = []
             for text, mine in zip(batch["text"], batch["segments"], strict=True):
-                out += work(text, mine)
+                out += work(text, [(s["anchor"], s["digest"], s["copies"], s["place"] >> 16, s["place"] & 65535) for s in mine])
                 if len(out) > 50_000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
             yield pd.DataFrame(out, columns=names)
 
-    return met.mapInPandas(run, schema)
+    made = met.mapInPandas(run, schema)
+    return made.distinct() if found.again else made
 
 
 def runs_of(marked: np.ndarray) -> list[tuple[int, int]]:
@@ -143,15 +152,32 @@ def runs_of(marked: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
+def joined_runs(runs: Column) -> Column:
+    """Sorted runs of windows, those that touch made one."""
+    kind = "array<struct<start:long,k:long>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        end = F.greatest(last["start"] + last["k"], x["start"] + x["k"])
+        one = F.struct(last["start"].alias("start"), (end - last["start"]).alias("k"))
+        return F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["start"] + F.try_element_at(acc, F.lit(-1))["k"]),
+                      F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(one))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.sort_array(runs), F.array().cast(kind), step)
+
+
 def removals(found: Repeats, marks: DataFrame) -> DataFrame:
     """(id, fp, runs): the repeated windows of each document as (first window, windows).
 
-    ``marks`` is (anchor, digest, off, k): k repeated windows from the off-th of a segment."""
-    whole = stage(found.whole)
-    every = found.all.join(whole, ["anchor", "digest"]).select("id", "fp", "start", F.col("n").alias("k"))
-    rest = stage(marks.join(whole, ["anchor", "digest"], "left_anti"))
-    some = found.all.join(rest, ["anchor", "digest"]).select("id", "fp", (F.col("start") + F.col("off")).alias("start"), "k")
-    return stage(every.unionByName(some).groupBy("id", "fp").agg(F.collect_list(F.struct("start", "k")).alias("runs")))
+    A segment that is found twice repeats all its windows; ``marks`` has those of the others."""
+    first, n = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(65535))
+    groups = found.every.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    groups = stage(groups.where("copies > 1").select("anchor", "digest", F.lit(None).cast("array<struct<off:int,k:int>>").alias("runs")).unionByName(marks))
+    hit = found.every.join(groups, ["anchor", "digest"])
+    mine = F.when(F.col("runs").isNull(), F.array(F.struct(first.alias("start"), n.alias("k")))).otherwise(
+        F.transform("runs", lambda r: F.struct((first + r["off"]).alias("start"), r["k"].cast("long").alias("k"))))
+    per_doc = hit.select("id", "fp", mine.alias("runs")).groupBy("id", "fp").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return stage(per_doc.withColumn("runs", joined_runs(F.col("runs"))))
 
 
 def merged(runs, window: int) -> list[tuple[int, int]]:
@@ -169,7 +195,7 @@ def merged(runs, window: int) -> list[tuple[int, int]]:
 def finish(found: Repeats, runs: DataFrame, work: Callable, schema: str) -> DataFrame:
     """``work(text, runs)`` for every document; runs is None for most."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    rows, side = found.rows, F.broadcast(runs) if runs.count() <= FEW else runs
+    rows, side = found.rows, lookup(runs, runs.agg(F.sum(F.size("runs"))).first()[0] or 0)
     met = rows.join(side, same(rows, runs, ["id", "fp"]), "left").select(rows["id"], rows["text"], "runs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

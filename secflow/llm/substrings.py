@@ -39,7 +39,7 @@ def split(text: str) -> tuple[list[bytes], np.ndarray]:
 
 
 def digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    return hashlib.blake2b(b" ".join(words), digest_size=8).digest()
 
 
 UNIT = repeats.Unit(WINDOW, 8, split, digest)
@@ -57,29 +57,27 @@ def rolling(hashes: np.ndarray, window: int, base: np.uint64) -> np.ndarray:
     return (prefix[window:] - prefix[:m]) * undo[:m]
 
 
-def window_rows(text: str, segments) -> list[tuple]:
+WINDOWS = "anchor long, digest long, off int, copies long, h1 long, h2 long"
+
+
+def window_rows(text: str, segments: list[tuple]) -> list[tuple]:
     hashes = split(text)[1]
     out = []
-    for s in segments:
-        part = hashes[s["start"] : s["start"] + s["n"] + WINDOW - 1]
+    for anchor, name, copies, start, n in segments:
+        part = hashes[start : start + n + WINDOW - 1]
         a, b = (rolling(part, WINDOW, base).view(np.int64).tolist() for base in BASES)
-        out += [(s["anchor"], s["digest"], off, s["copies"], x, y) for off, (x, y) in enumerate(zip(a, b, strict=True))]
+        out += [(anchor, name, off, copies, x, y) for off, (x, y) in enumerate(zip(a, b, strict=True))]
     return out
 
 
-def repeated_windows(found: repeats.Repeats, chosen: DataFrame) -> DataFrame:
-    """(anchor, digest, off, k) of the chosen segments' windows that are found elsewhere, by counting hashes."""
-    each = repeats.with_units(found, chosen, window_rows, "anchor long, digest binary, off int, copies long, h1 long, h2 long", "anchor", "digest", "start", "n", "copies")
-    return counted(stage(each.distinct()))
-
-
 def counted(each: DataFrame) -> DataFrame:
-    """Windows (anchor, digest, off) whose hash pair is counted twice or more."""
+    """Marks of the windows (anchor, digest, off, copies, h1, h2) whose hash pair is counted twice or more. Segments
+    found twice need no marks."""
     twice = each.groupBy("h1", "h2").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n")).where("c > 1")
-    twice = stage(twice)
-    each = each.withColumn("h", F.struct("h1", "h2"))
-    hit = join_split(each, twice.select(F.struct("h1", "h2").alias("h")), "h", twice.select(F.struct("h1", "h2").alias("h"), "n"))
-    return stage(hit.select("anchor", "digest", "off", F.lit(1).alias("k")))
+    twice = stage(twice.select("h1", "h2", "n"))
+    hit = join_split(each.where("copies = 1").select("anchor", "digest", "off", "h1", "h2"), twice.drop("n"), ["h1", "h2"], twice)
+    offs = hit.groupBy("anchor", "digest").agg(F.collect_set("off").alias("offs"))
+    return stage(offs.select("anchor", "digest", F.transform("offs", lambda o: F.struct(o.alias("off"), F.lit(1).alias("k"))).alias("runs")))
 
 
 def kept_words(text: str, runs) -> tuple:
@@ -95,7 +93,7 @@ def kept_words(text: str, runs) -> tuple:
 def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[repeats.Repeats, DataFrame]:
     """The found repeats and (id, fp, runs) of repeated windows by document."""
     found = repeats.find(docs, UNIT, id_col, text_col)
-    return found, repeats.removals(found, repeated_windows(found, found.open))
+    return found, repeats.removals(found, counted(stage(repeats.with_units(found, found.open, window_rows, WINDOWS))))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
