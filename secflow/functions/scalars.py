@@ -16,7 +16,6 @@ FUTURE_SKEW_MS = 300_000
 CLAMP_SKEW_MS = 600_000
 FILETIME_EPOCH_MS = 11_644_473_600_000
 ENTITY_VALUE_BYTES = 448
-KEY_VALUE_CHARS = 128
 DAY_MS = 86_400_000
 
 # Outcome words.
@@ -129,7 +128,7 @@ def _ipv6_text(values: pd.Series) -> pd.Series:
         return str(mapped or addr)
 
     table = {v: one(v) for v in values.dropna().unique()}
-    return values.map(table)
+    return pd.Series([table.get(v) for v in values], dtype=object)
 
 
 def valid_ip(text: Column) -> Column:
@@ -222,11 +221,6 @@ def bounded(text: Column, max_bytes: int = ENTITY_VALUE_BYTES) -> Column:
                   F.concat(head, F.lit(":"), F.substring(F.sha2(text, 256), 1, 16))).otherwise(text)
 
 
-def event_fingerprint(*cols: str) -> Column:
-    """16 hex of sha1 over the JSON of the named columns in sorted order (null fields left out)."""
-    return F.substring(F.sha1(F.to_json(F.struct(*sorted(cols)))), 1, 16)
-
-
 def member_id(alert_id: Column, time_ms: Column, rule_id: Column, event_ids: Column) -> Column:
     """The alert's id, or a replay-stable stand-in built from what it carries."""
     parts = F.concat_ws(":", time_ms.cast("string"), rule_id,
@@ -241,11 +235,6 @@ def alert_key(rule: Column, tenant: Column, group: Column, time_ms: Column, wind
                        F.floor(time_ms / width).cast("bigint").cast("string"))
 
 
-def event_alert_key(rule: Column, tenant: Column, event_id: Column, fingerprint: Column) -> Column:
-    return F.concat_ws(":", rule, tenant, F.coalesce(F.when(event_id != "", event_id),
-                                                     F.concat(F.lit("sha:"), fingerprint)))
-
-
 # Spellings of "no value" in key fields.
 NONE_WORDS = ("", "-", "{}", "null", "none")
 
@@ -267,12 +256,11 @@ def canon_guid(raw: Column) -> Column:
 
 def canon_logon_id(raw: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(F.lower(_key_text(raw)), r"\A0x", ""), r"\A0+", "")
-    return F.when(s.rlike(rf"\A[0-9a-f]{{1,{KEY_VALUE_CHARS}}}\z"), s)
+    return F.when(s.rlike(r"\A[0-9a-f]+\z"), s)
 
 
 def canon_flow_id(raw: Column) -> Column:
-    s = _key_text(raw)
-    return F.when(F.length(s) <= KEY_VALUE_CHARS, s)
+    return _key_text(raw)
 
 
 canon_agent_session = canon_flow_id
@@ -304,8 +292,9 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     denom = 1 + z * z / n_d
     centre = (p + z * z / (2 * n_d)) / denom
     half = z * F.sqrt(p * (1 - p) / n_d + z * z / (4 * n_d * n_d)) / denom
-    return F.struct(F.greatest(centre - half, F.lit(0.0)).alias("low"),
-                    F.least(centre + half, F.lit(1.0)).alias("high"))
+    known = n > 0
+    return F.struct(F.when(known, F.greatest(centre - half, F.lit(0.0))).alias("low"),
+                    F.when(known, F.least(centre + half, F.lit(1.0))).alias("high"))
 
 
 # Event class to label.
@@ -334,5 +323,5 @@ def normalise_verdict(verdict: Column, level: Column, summary: Column) -> Column
     v_ok, l_ok = closed(v.isin(*VERDICTS)), closed(lv.isin(*LEVELS))
     return F.struct(F.when(v_ok, v).otherwise("unknown").alias("verdict"),
                     F.when(l_ok, lv).otherwise("low").alias("level"),
-                    F.substring(F.coalesce(summary, F.lit("")), 1, 500).alias("summary"),
+                    F.coalesce(summary, F.lit("")).alias("summary"),
                     (~v_ok | ~l_ok).alias("out_of_set"))

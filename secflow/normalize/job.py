@@ -91,13 +91,19 @@ def normalize_source(bronze: DataFrame, name: str) -> DataFrame:
     if "_scan" in leaves:
         rows = rows.withColumn("scan", J.scan_text(leaves.pop("_scan")))
     ok, given_id, sector = leaves.pop("_ok"), leaves.pop("_id", None), leaves.pop("_sector", None)
+    if src.schema:
+        # A failed parse is a struct of nulls: the record itself must be a JSON object.
+        ok = ok & F.startswith(F.ltrim("raw"), F.lit("{")) & F.get_json_object("raw", "$").isNotNull()
+    for side in ("src_endpoint.ip", "dst_endpoint.ip"):
+        if side in leaves:
+            leaves[side] = S.canonical_ip(leaves[side])
     received = S.magnitude_ms(F.col("meta.received_at"))
     time = F.coalesce(leaves.pop("time", F.lit(None).cast("bigint")), received)
     ids = [S.non_empty(F.col("meta.ingest_id"))] + ([S.non_empty(given_id)] if given_id is not None else [])
     sectors = [F.when(F.col("meta.sector").isin(*SECTORS), F.col("meta.sector"))] + ([sector] if sector is not None else [])
     clean = {p: S.strip_control(leaves[p]) for p in ("message", "actor.user.name", "src_endpoint.hostname", "dst_endpoint.hostname", "api.operation",
                                                      "api.request.data") if p in leaves}
-    label = lambda c: S.non_empty(F.substring(F.trim(S.strip_control(F.col(c))), 1, 128))
+    label = lambda c: S.non_empty(F.trim(S.strip_control(F.col(c))))
     leaves |= clean | identity_leaves(leaves["class_uid"], leaves["activity_id"]) | {
         "metadata.version": F.lit("1.1.0"), "metadata.product.name": F.lit(src.product[0]),
         "metadata.product.vendor_name": F.lit(src.product[1]), "metadata.original_format": F.lit(src.fmt),
@@ -160,9 +166,12 @@ def unwrap_shipper(bronze: DataFrame) -> DataFrame:
                           "StringInserts:array<string>,MESSAGE:string,SYSLOG_IDENTIFIER:string,_HOSTNAME:string,_PID:string,"
                           "__REALTIME_TIMESTAMP:string,log:string,stream:string,time:string>")
     rows = bronze.withColumn("_s", F.when(F.startswith(F.ltrim(raw), F.lit("{")), js))
-    beat = F.to_json(F.map_concat(F.coalesce(F.col("_s.winlog.event_data"), F.create_map().cast("map<string,string>")), F.map_filter(F.create_map(
+    head = F.map_filter(F.create_map(
         F.lit("EventID"), F.col("_s.winlog.event_id"), F.lit("Channel"), F.col("_s.winlog.channel"), F.lit("ProviderName"), F.col("_s.winlog.provider_name"),
-        F.lit("Computer"), F.col("_s.winlog.computer_name"), F.lit("TimeCreated"), F.col("_s.`@timestamp`")), lambda k, v: v.isNotNull())))
+        F.lit("Computer"), F.col("_s.winlog.computer_name"), F.lit("TimeCreated"), F.col("_s.`@timestamp`")), lambda k, v: v.isNotNull())
+    # Event data may repeat a name of the envelope; the envelope's value counts.
+    data = F.map_filter(F.coalesce(F.col("_s.winlog.event_data"), F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(head, k))
+    beat = F.to_json(F.map_concat(data, head))
     stamp = F.date_format(F.timestamp_micros(F.col("_s.__REALTIME_TIMESTAMP").try_cast("bigint")), "MMM d HH:mm:ss")
     journal = F.concat(stamp, F.lit(" "), F.coalesce("_s._HOSTNAME", F.lit("localhost")), F.lit(" "), F.col("_s.SYSLOG_IDENTIFIER"),
                        F.coalesce(F.concat(F.lit("["), F.col("_s._PID"), F.lit("]")), F.lit("")), F.lit(": "), F.col("_s.MESSAGE"))

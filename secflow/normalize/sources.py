@@ -157,11 +157,9 @@ DENY_WORDS = ("blocked", "denied", "deny", "drop", "dropped", "reject", "rejecte
 def cef() -> dict[str, Column]:
     line = F.regexp_replace(F.trim("raw"), r"\A(?:<\d{1,3}>)?[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\S+\s+(?=CEF:)", "")
     parts = F.split(line, r"\|", 8)
-    ext = F.map_from_entries(F.transform(
-        F.filter(F.split(F.coalesce(F.get(parts, F.lit(7)), F.lit("")), r"\s+"), lambda t: t.rlike(r"\A[^=]+=")),
-        lambda t: F.struct(F.substring_index(t, "=", 1), F.substr(t, F.length(F.substring_index(t, "=", 1)) + 2))))
+    ext = F.split(F.coalesce(F.get(parts, F.lit(7)), F.lit("")), r"\s+")
     # The last of repeated keys wins.
-    field = lambda k: F.try_element_at(ext, F.lit(k))
+    field = lambda k: F.substr(F.try_element_at(F.filter(ext, lambda t: F.startswith(t, F.lit(f"{k}="))), F.lit(-1)), F.lit(len(k) + 2))
     user = F.coalesce(S.non_empty(field("suser")), S.non_empty(field("duser")))
     result = S.outcome(F.coalesce(field("outcome"), field("act")))
     deny = closed(F.lower(F.trim(field("act"))).isin(*DENY_WORDS))
@@ -200,7 +198,7 @@ WIN_FIELDS = ("EventID TimeCreated TargetUserName TargetDomainName TargetUserSid
               "HostApplication Data AttributeLDAPDisplayName AttributeValue ObjectDN ObjectClass OperationType "
               "Image ProcessId ProcessGuid ParentImage ParentProcessId ParentProcessGuid User SourceIp SourcePort "
               "SourceHostname DestinationIp DestinationPort DestinationHostname TargetFilename SourceImage TargetImage "
-              "GrantedAccess").split()
+              "GrantedAccess SourceProcessGuid").split()
 WIN_SCHEMA = "struct<" + ",".join(f"{f}:string" for f in WIN_FIELDS) + ">"
 
 # Directory event ids to activity.
@@ -341,7 +339,7 @@ def windows_eventlog() -> dict[str, Column]:
         "unmapped.target_user.domain": F.when(other, F.col("j.TargetDomainName")),
         "unmapped.target_user.uid": F.when(other, F.col("j.TargetUserSid")),
         "unmapped.powershell.script": script, "unmapped.powershell.suspicious": F.when(script.isNotNull(), suspicious_script(script)),
-        "unmapped.powershell.indicators": F.slice(F.concat(script_hits(script, SCRIPT_STRONG), script_hits(script, SCRIPT_WEAK)), 1, 8),
+        "unmapped.powershell.indicators": F.concat(script_hits(script, SCRIPT_STRONG), script_hits(script, SCRIPT_WEAK)),
         "unmapped.service.name": F.when(service, F.col("j.ServiceName")), "unmapped.service.path": path,
         "unmapped.service.suspicious_path": F.when(path.isNotNull(), suspicious_service(path)),
         "unmapped.process_launch.parent": F.when(launch, F.col("j.ParentProcessName")),
@@ -350,7 +348,7 @@ def windows_eventlog() -> dict[str, Column]:
         "unmapped.process_launch.suspicious": F.when(launch, suspicious_launch(F.col("j.ParentProcessName"), F.col("j.NewProcessName"))),
         "unmapped.directory.object_dn": F.when(ds, F.col("j.ObjectDN")),
         "unmapped.directory.attribute": F.when(ds, F.col("j.AttributeLDAPDisplayName")),
-        "unmapped.directory.value": F.when(ds, F.substring("j.AttributeValue", 1, 500)),
+        "unmapped.directory.value": F.when(ds, F.col("j.AttributeValue")),
         "unmapped.directory.sensitive_attribute": F.when(ds, closed(F.lower("j.AttributeLDAPDisplayName").isin(*SENSITIVE_ATTRIBUTES))),
     }
 
@@ -358,8 +356,9 @@ def windows_eventlog() -> dict[str, Column]:
 # Sysmon id -> (class, activity), and rights that allow a memory dump.
 SYSMON_EVENTS = {1: (1002, 1), 3: (4001, 7), 5: (1002, 3), 10: (1002, 5), 11: (1001, 1)}
 DUMP_RIGHTS = ("0x1010", "0x1410", "0x1438", "0x143a", "0x147a", "0x1fffff", "0x1f1fff", "0x1f3fff", "0x1f0fff")
-TRUSTED_CALLERS = tuple("\\windows\\system32\\" + n for n in ("wininit.exe", "csrss.exe", "lsm.exe", "services.exe", "smss.exe")) + (
-    "\\program files\\windows defender\\msmpeng.exe",)
+TRUSTED_CALLERS = (
+    "\\windows\\system32\\wininit.exe", "\\windows\\system32\\csrss.exe", "\\windows\\system32\\lsm.exe",
+    "\\windows\\system32\\services.exe", "\\windows\\system32\\smss.exe", "\\program files\\windows defender\\msmpeng.exe")
 DEFENDER_PLATFORM = "\\programdata\\microsoft\\windows defender\\platform\\"
 
 
@@ -374,18 +373,19 @@ def sysmon() -> dict[str, Column]:
     cls, act = _case(eid, {k: v[0] for k, v in SYSMON_EVENTS.items()}), _case(eid, {k: v[1] for k, v in SYSMON_EVENTS.items()})
     access, net, launch = closed(eid == 10), closed(eid == 3), closed(eid == 1)
     caller = F.regexp_replace(F.lower("j.SourceImage"), r"\A[a-z]:", "")
-    trusted = closed(caller.isin(*TRUSTED_CALLERS)) | closed(F.startswith(caller, F.lit(DEFENDER_PLATFORM)))
+    caller = F.translate(caller, "/", "\\")
+    trusted = closed(caller.isin(*TRUSTED_CALLERS)) | closed(F.startswith(caller, F.lit(DEFENDER_PLATFORM)) & caller.endswith("\\msmpeng.exe"))
     lsass = access & closed(base_name(F.col("j.TargetImage")) == "lsass.exe") & dump_capable(F.col("j.GrantedAccess")) & ~trusted
     parts = F.split("j.User", r"\\", 2)
     user = F.when(F.size(parts) == 2, F.get(parts, F.lit(1))).otherwise(F.col("j.User"))
     image = F.coalesce("j.Image", "j.SourceImage")
     return {
-        "_ok": cls.isNotNull(), "class_uid": cls, "activity_id": act, "status": F.when(~launch, "Success"),
-        "severity_id": F.when(lsass, MEDIUM).otherwise(INFO), "time": S.coerce_ms(F.col("j.TimeCreated")),
+        "_ok": cls.isNotNull(), "class_uid": cls, "activity_id": act, "status": F.lit("Success"),
+        "severity_id": F.when(eid.isin(10, 11), MEDIUM).otherwise(INFO), "time": S.coerce_ms(F.col("j.TimeCreated")),
         "message": F.concat_ws(" ", F.lit("Sysmon event"), F.col("j.EventID"), image),
         "actor.user.name": S.non_empty(user), "actor.user.domain": F.when(F.size(parts) == 2, F.get(parts, F.lit(0))),
         "actor.process.name": image, "actor.process.pid": pid_number(F.col("j.ProcessId")),
-        "actor.process.uid": S.canon_guid(F.col("j.ProcessGuid")),
+        "actor.process.uid": S.canon_guid(F.when(access, F.coalesce("j.SourceProcessGuid", F.get_json_object("raw", "$.SourceProcessGUID"))).otherwise(F.col("j.ProcessGuid"))),
         "actor.process.parent_process.name": F.when(launch, F.col("j.ParentImage")),
         "actor.process.parent_process.pid": F.when(launch, pid_number(F.col("j.ParentProcessId"))),
         "actor.process.parent_process.uid": F.when(launch, S.canon_guid(F.col("j.ParentProcessGuid"))),

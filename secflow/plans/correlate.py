@@ -16,9 +16,7 @@ from secflow.operators.sliding import sessions
 from secflow.session import cut_lineage
 
 HORIZON_MS = 86_400_000
-MEMBER_CAP = 200
 SEVERITY_CAP = 1000
-LINK_CAP = 1000
 # Edge kinds in order of preference, and link bases.
 TYPED_KINDS = ("caused_by", "invoked", "authenticated_as", "wrote_to", "changed")
 BASIS = {"proc": "process_tree", "flow": "network_flow", "agent": "agent_session"}
@@ -58,11 +56,11 @@ def track_members(tracks: DataFrame, horizon_ms: int = HORIZON_MS) -> DataFrame:
     return tracks.join(marked, [*TRACK, "time"])
 
 
-def incidents(tracks: DataFrame, horizon_ms: int = HORIZON_MS) -> tuple[DataFrame, DataFrame]:
+def incidents(tracks: DataFrame, horizon_ms: int = HORIZON_MS, listed: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(incidents, members). A track with two or more tactics is an incident.
 
-    Tactics and first_seen cover the whole run; members are the alerts within the horizon of its last
-    alert, at most 200 newest (more sets ``truncated``).
+    Tactics and first_seen cover the whole run; members are all alerts within the horizon of its last
+    alert, as rows. ``listed`` shortens only the shown list of ids to the newest (``truncated`` tells so).
     """
     key = [*TRACK, "first_seen"]
     rows = track_members(sets.latest_by(tracks, [*TRACK, "alert_id"], "time"), horizon_ms)
@@ -71,15 +69,14 @@ def incidents(tracks: DataFrame, horizon_ms: int = HORIZON_MS) -> tuple[DataFram
              .where(F.size("tactics") >= 2)
              .withColumn("incident_id", F.concat_ws(":", *TRACK, S.bucket(F.col("first_seen"), horizon_ms).cast("string"))))
     live = rows.join(heads, key).where(F.col("time") >= F.col("last_seen") - horizon_ms)
-    members = sets.cap_per_key(live, ["incident_id"], [F.desc("time"), F.asc("alert_id")], MEMBER_CAP)
-    sizes = live.groupBy("incident_id").agg(F.count(F.lit(1)).alias("live_n"))
-    rolled = members.groupBy("incident_id", *key, "tactics", "last_seen").agg(
-        F.array_sort(F.collect_set("alert_id")).alias("member_alert_ids"), F.count(F.lit(1)).cast("int").alias("member_count"),
-        F.least(F.sum("score"), F.lit(SEVERITY_CAP)).cast("int").alias("severity"))
-    out = rolled.join(sizes, "incident_id").select(
-        "incident_id", *TRACK, "first_seen", "last_seen", "tactics", "member_alert_ids", "member_count", "severity",
-        (F.col("live_n") > MEMBER_CAP).alias("truncated"))
-    return out, members.drop("tactics", "last_seen")
+    rolled = live.groupBy("incident_id", *key, "tactics", "last_seen").agg(
+        F.count(F.lit(1)).cast("int").alias("member_count"), F.least(F.sum("score"), F.lit(SEVERITY_CAP)).cast("int").alias("severity"))
+    shown = live if listed is None else sets.cap_per_key(live, ["incident_id"], [F.desc("time"), F.asc("alert_id")], listed)
+    ids = shown.groupBy("incident_id").agg(F.array_sort(F.collect_set("alert_id")).alias("member_alert_ids"))
+    cut = F.lit(False) if listed is None else F.col("member_count") > listed
+    out = rolled.join(ids, "incident_id").select(
+        "incident_id", *TRACK, "first_seen", "last_seen", "tactics", "member_alert_ids", "member_count", "severity", cut.alias("truncated"))
+    return out, live.drop("tactics", "last_seen")
 
 
 def typed_kind(pair: str) -> Column:
@@ -124,7 +121,7 @@ def graph_edges(members: DataFrame) -> DataFrame:
 
 
 def tactic_sources(members: DataFrame) -> DataFrame:
-    """(incident_id, tactic, alert_ids); an incident has at most 200 members."""
+    """(incident_id, tactic, alert_ids)."""
     return (members.where("tactic is not null").groupBy("incident_id", "tactic")
             .agg(F.array_sort(F.collect_set("alert_id")).alias("alert_ids")))
 
@@ -151,7 +148,7 @@ def graph_links(members: DataFrame) -> DataFrame:
     """Evidence links between member alerts that share a key.
 
     A process key gives a tree (earliest holder to each alert naming it as parent), flow and agent keys
-    a chain in time. An incident has at most 200 members, so every window below is small.
+    a chain in time. Windows are by incident and key.
     """
     keys = drop_foreign_keys(held_keys(members))
     base = ["incident_id", "ns", "h"]
@@ -169,10 +166,16 @@ def graph_links(members: DataFrame) -> DataFrame:
     order_of = (F.when(F.col("f_t").isNull() | F.col("t_t").isNull(), "unordered").when(F.col("f_t") < F.col("t_t"), "forward")
                 .when(F.col("f_t") == F.col("t_t"), "concurrent").otherwise("conflict"))
     weakest = F.element_at(F.array(*[F.lit(t) for t in TRUST]), (F.least("f_trust", "t_trust") + 1).cast("int"))
-    links = tree.unionByName(chain).where("f_ev <> t_ev").select(
+    return tree.unionByName(chain).where("f_ev <> t_ev").select(
         "incident_id", F.element_at(basis, F.col("ns")).alias("basis"), F.col("f_ev").alias("from_event_id"), F.col("t_ev").alias("to_event_id"),
         order_of.alias("order"), F.col("f_t").alias("from_ts"), F.col("t_t").alias("to_ts"), weakest.alias("trust"))
-    return sets.cap_per_key(links, ["incident_id"], [F.asc(c) for c in ("basis", "from_event_id", "to_event_id", "order", "trust")], LINK_CAP)
+
+
+def shown_links(links: DataFrame, listed: int) -> DataFrame:
+    """The first links of each incident for display, with ``links_total``."""
+    totals = links.groupBy("incident_id").agg(F.count(F.lit(1)).alias("links_total"))
+    first = sets.cap_per_key(links, ["incident_id"], [F.asc(c) for c in ("basis", "from_event_id", "to_event_id", "order", "trust")], listed)
+    return first.join(totals, "incident_id")
 
 
 def incident_timeline(members: DataFrame) -> DataFrame:
@@ -188,23 +191,25 @@ def tactic_order(members: DataFrame) -> DataFrame:
     return first.groupBy("incident_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "tactic"))), lambda x: x.tactic).alias("tactic_order"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components by alternating star contraction.
 
     ``edges``: (a, b). Each round points neighbours at the smallest node around them, so the depth
     shrinks geometrically. Minima are aggregated before the shuffle and joined back: a hub is never
-    collected. The history of a round is cut with a reliable checkpoint.
+    collected, and since the minima are written first, both sides of that join are exchanged and Spark
+    splits a hub's rows. Rounds go on until nothing moves; each is cut off with a reliable checkpoint.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     nodes = both(edges).select(F.col("a").alias("node")).distinct()
     mark = None
-    for _ in range(max_rounds):
+    while True:
         around = both(links)
-        low = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = cut_lineage(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = around.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut_lineage(large)
+        floor = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(floor, "a").select(F.col("b").alias("x"), "m").unionByName(floor.select(F.col("a").alias("x"), "m"))
         links = cut_lineage(small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
@@ -267,7 +272,12 @@ def resolve_entities(alerts: DataFrame) -> DataFrame:
 
 
 def merge_entities(current: DataFrame, updates: DataFrame) -> DataFrame:
-    """Current entities with newer updates applied: (entity_id, last_seen, attributes map)."""
+    """Current entities with newer updates applied: (entity_id, last_seen, attributes map). Several updates of an
+    entity are folded in time order first: the latest value of each attribute counts."""
+    each = updates.select("entity_id", "last_seen", F.explode_outer("attributes").alias("k", "v"))
+    latest = each.groupBy("entity_id", "k").agg(F.max_by("v", F.struct("last_seen", "v")).alias("v"), F.max("last_seen").alias("t"))
+    updates = latest.groupBy("entity_id").agg(F.max("t").alias("last_seen"), F.map_from_entries(
+        F.filter(F.collect_list(F.struct("k", "v")), lambda x: x["k"].isNotNull())).alias("attributes"))
     new = updates.select("entity_id", F.col("last_seen").alias("n_t"), F.col("attributes").alias("n_a"))
     newer = F.col("last_seen").isNull() | (F.col("n_t") > F.col("last_seen"))
     merged = F.map_from_entries(F.map_entries(F.map_concat(F.map_filter("attributes", lambda k, v: ~F.map_contains_key(F.col("n_a"), k)), F.col("n_a"))))

@@ -24,7 +24,6 @@ from secflow.plans.rules import (CRITICALITY_POINTS, ROUTE_DEEP, ROUTE_LIGHT, RU
 
 DEFAULT_TENANT = "default"
 ACCOUNT_FIELDS = ("actor.user.name", "unmapped.target_user.name")
-EVIDENCE_CAP = 50
 COOLDOWN_MS = 300_000
 GROUP = ["rule_id", "window_ms", "tenant", "grp"]
 
@@ -35,8 +34,11 @@ def detection_tenant(tenant: Column) -> Column:
 
 
 def event_key() -> Column:
-    """The id under which an event counts once: its ingest id, or its ms when it has none."""
-    return F.coalesce(F.col("siem.ingest_id"), F.concat(F.lit("@"), F.col("time").cast("string")))
+    """The id under which an event counts once: its ingest id, or a fingerprint of what it says when it has none."""
+    said = F.struct("class_uid", "activity_id", "time", "message", F.col("src_endpoint.ip").alias("src"), F.col("src_endpoint.port").alias("sport"),
+                    F.col("dst_endpoint.ip").alias("dst"), F.col("dst_endpoint.port").alias("dport"), F.col("dst_endpoint.hostname").alias("host"),
+                    F.col("actor.user.name").alias("user"), F.col("api.operation").alias("operation"))
+    return F.coalesce(S.non_empty(F.col("siem.ingest_id")), F.concat(F.lit("sha:"), F.substring(F.sha1(F.to_json(said)), 1, 16)))
 
 
 def fold_actor(events: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -253,8 +255,8 @@ def collapse(hits: DataFrame) -> DataFrame:
             .select("alert_id", "x.*", "hits"))
 
 
-def evidence(alerts: DataFrame, fed: DataFrame, cap: int = EVIDENCE_CAP) -> DataFrame:
-    """(alert_id, event_ids, event_ids_omitted): what each alert's window holds, oldest first, capped.
+def evidence(alerts: DataFrame, fed: DataFrame, cap: int | None = None) -> DataFrame:
+    """(alert_id, event_ids, event_ids_omitted): what each alert's window holds, oldest first; ``cap`` shortens the list.
 
     Two passes: only windows that fired are looked at, and an event is joined by hash on the two
     window buckets it can belong to. Distinct rules cite the counted values instead of events.
@@ -265,11 +267,14 @@ def evidence(alerts: DataFrame, fed: DataFrame, cap: int = EVIDENCE_CAP) -> Data
     members = fed.withColumn("b", F.explode(F.array(own, own + 1))).join(fired, [*GROUP, "b"])
     inside = (members.where((F.col("t") <= F.col("at")) & (F.col("t") >= F.col("at") - F.col("window_ms")))
               .groupBy("alert_id", F.coalesce("val", "event_key").alias("ident")).agg(F.max("t").alias("t")))
-    return sets.capped_ids(inside, ["alert_id"], ["t", "ident"], "ident", cap)
+    if cap is not None:
+        return sets.capped_ids(inside, ["alert_id"], ["t", "ident"], "ident", cap)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("t", "ident"))), lambda x: x["ident"])
+    return inside.groupBy("alert_id").agg(ids.alias("event_ids"), F.lit(0).cast("bigint").alias("event_ids_omitted"))
 
 
 def causal_keys(events: DataFrame) -> DataFrame:
-    """(event_key, causal_keys): up to 6 hashed process, logon, flow and agent keys of each event."""
+    """(tenant, event_key, causal_keys): hashed process, logon, flow and agent keys of each event."""
     tenant, host = detection_tenant(F.col("siem.tenant")), F.trim("siem.key_scope.host")
     sender = F.trim("siem.sender.ip")
     qualifier = F.coalesce(S.non_empty(host), S.non_empty(sender), S.non_empty(F.trim("siem.sender.source")))
@@ -287,7 +292,7 @@ def causal_keys(events: DataFrame) -> DataFrame:
                                               F.lit("declared" if ns == "agent" else "asserted").alias("scope_trust")))
 
     keys = F.filter(F.array(*[key(*spec) for spec in named]), lambda x: x.isNotNull())
-    return events.select(event_key().alias("event_key"), F.slice(F.array_distinct(keys), 1, 6).alias("causal_keys"))
+    return events.select(tenant.alias("tenant"), event_key().alias("event_key"), F.array_distinct(keys).alias("causal_keys"))
 
 
 def make_alerts(events: DataFrame, rules: Sequence[Rule] = RULES, tenant_rules: DataFrame | None = None,
@@ -297,12 +302,14 @@ def make_alerts(events: DataFrame, rules: Sequence[Rule] = RULES, tenant_rules:
     exposure = exposure_points(events, points) if points is not None else None
     scored = score_events(hits, rules, exposure).select("tenant", "event_key", "score")
     alerts = collapse(hits).join(scored, ["tenant", "event_key"])
-    matched = matches(events, rules, mode, now_ms)
-    fed = once(matched) if any(r.stateful for r in rules) else None
+    fed = once(matches(events, rules, mode, now_ms)) if any(r.stateful for r in rules) else None
     table = rule_table(events.sparkSession, tuple(rules)).select(
         "rule_id", "rule_title", "level", F.struct("framework", "tactic", "technique").alias("mitre"))
+    # only events that raised an alert are looked at again
+    asked = alerts.select(F.col("tenant").alias("_t"), F.col("event_key").alias("_k")).distinct()
+    wanted = events.join(asked, (detection_tenant(F.col("siem.tenant")) == F.col("_t")) & (event_key() == F.col("_k")), "left_semi")
     trigger = sets.latest_by(
-        events.select(event_key().alias("event_key"), detection_tenant(F.col("siem.tenant")).alias("tenant"), "time",
+        wanted.select(event_key().alias("event_key"), detection_tenant(F.col("siem.tenant")).alias("tenant"), "time",
                       F.col("siem.sector").alias("sector"), "src_endpoint", "dst_endpoint",
                       F.struct("actor.user").alias("actor"), F.col("siem.ingest_id").alias("trigger_event_id")),
         ["tenant", "event_key"], "time")
@@ -314,7 +321,7 @@ def make_alerts(events: DataFrame, rules: Sequence[Rule] = RULES, tenant_rules:
         ids, omitted = F.coalesce("event_ids", own), F.coalesce("event_ids_omitted", F.lit(0).cast("bigint"))
     else:
         ids, omitted = own, F.lit(0).cast("bigint")
-    out = out.join(causal_keys(events).dropDuplicates(["event_key"]), "event_key", "left")
+    out = out.join(causal_keys(wanted).dropDuplicates(["tenant", "event_key"]), ["tenant", "event_key"], "left")
     return out.select(
         "alert_id", F.col("time"), "rule_id", "rule_title", "level", "score", "sector", "mitre",
         F.col("tenant").alias("tenant_id"), "src_endpoint", "dst_endpoint", "actor", ids.alias("event_ids"),

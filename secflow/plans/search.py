@@ -51,7 +51,7 @@ def tactic_heat(alerts: DataFrame) -> DataFrame:
     counts = alerts.where("tactic is not null").groupBy("tactic").agg(F.count(F.lit(1)).alias("n"))
     top = counts.agg(F.max("n").alias("top"))
     share = F.col("n") / F.col("top")
-    return counts.crossJoin(top).select("tactic", "n", F.when(share >= 0.66, "h3").when(share >= 0.33, "h2").otherwise("h1").alias("heat"))
+    return counts.crossJoin(top).select("tactic", "n", F.when(share > 0.66, "h3").when(share > 0.33, "h2").otherwise("h1").alias("heat"))
 
 
 def coverage(rules: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def keyed_hash(value: Column, key: str) -> Column:
 
 
 def pseudonymise(df: DataFrame, key: str, columns: dict[str, str], texts: Sequence[str]) -> DataFrame:
-    """``columns`` (name -> kind) replaced by ``kind-<12 hex>``; private values inside ``texts`` likewise.
+    """``columns`` (name -> kind) replaced by ``kind-<64 hex>``; private values inside ``texts`` likewise.
 
     The same value gives the same pseudonym everywhere under one key.
     """
@@ -162,13 +162,13 @@ def pseudonymise(df: DataFrame, key: str, columns: dict[str, str], texts: Sequen
 
         def one(text):
             for kind, pattern in PRIVATE_PATTERNS.items():
-                text = re.sub(pattern, lambda m, k=kind: f"{k}-" + hmac.new(key.encode(), m.group().encode(), hashlib.sha256).hexdigest()[:12], text)
+                text = re.sub(pattern, lambda m, k=kind: f"{k}-" + hmac.new(key.encode(), m.group().encode(), hashlib.sha256).hexdigest(), text)
             return text
 
         return values.map(one, na_action="ignore")
 
     for name, kind in columns.items():
-        df = df.withColumn(name, F.when(F.col(name).isNotNull(), F.concat(F.lit(kind + "-"), F.substring(keyed_hash(F.col(name), key), 1, 12))))
+        df = df.withColumn(name, F.when(F.col(name).isNotNull(), F.concat(F.lit(kind + "-"), keyed_hash(F.col(name), key))))
     for name in texts:
         private = reduce(lambda a, b: a | b, [F.col(name).rlike(p) for p in PRIVATE_PATTERNS.values()])
         df = df.withColumn(name, F.coalesce(mask(F.when(private, F.col(name))), F.col(name)))

@@ -28,8 +28,9 @@ def _text(spark: SparkSession, path: str, stream: bool) -> DataFrame:
 def read_raw_json(spark: SparkSession, path: str, source_type: str | None = None, tenant: str = "default", received_ms: int | None = None, stream: bool = False) -> DataFrame:
     """One JSON record (or JSON array of records) per line; a record without an id is named by its content."""
     lines = _text(spark, path, stream).where(F.length(F.trim("value")) > 0)
-    many = F.from_json("value", "array<string>")
-    one = lines.select(F.explode(F.when(F.startswith(F.ltrim("value"), F.lit("[")), many).otherwise(F.array("value"))).alias("raw"))
+    # A line that starts like an array and isn't one stays a record, so that it reaches the dead letter.
+    many = F.when(F.startswith(F.ltrim("value"), F.lit("[")) & F.get_json_object("value", "$").isNotNull(), F.from_json("value", "array<string>"))
+    one = lines.select(F.explode(F.coalesce(many, F.array("value"))).alias("raw"))
     ident = F.coalesce(F.get_json_object("raw", "$.ingest_id"), content_id(F.col("raw")))
     return envelope(one, F.lit(source_type).cast("string"), F.col("raw"), F.lit(received_ms).cast("bigint"), ident, F.lit(tenant))
 
@@ -68,42 +69,49 @@ def read_winevent_xml(spark: SparkSession, path: str) -> DataFrame:
               "EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>")
     rows = spark.read.format("xml").option("rowTag", "Event").schema(schema).load(path)
     named = F.filter("EventData.Data", lambda d: d["_Name"].isNotNull())
-    data = F.coalesce(F.map_from_entries(F.transform(named, lambda d: F.struct(d["_Name"], d["_VALUE"]))), F.create_map().cast("map<string,string>"))
+    names = F.array_distinct(F.transform(named, lambda d: d["_Name"]))
+    # The last of repeated names wins.
+    data = F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(named, lambda d: d["_Name"] == n), -1)["_VALUE"]))
+    data = F.coalesce(data, F.create_map().cast("map<string,string>"))
     system = F.create_map(F.lit("EventID"), F.col("System.EventID"), F.lit("Channel"), F.col("System.Channel"), F.lit("Computer"), F.col("System.Computer"),
                           F.lit("ProviderName"), F.col("System.Provider._Name"), F.lit("TimeCreated"), F.col("System.TimeCreated._SystemTime"))
     return rows.select(F.to_json(F.map_concat(system, F.map_filter(data, lambda k, v: ~k.isin("EventID", "Channel", "Computer", "ProviderName", "TimeCreated")))).alias("raw"))
 
 
-def detect_dns_format(spark: SparkSession, path: str) -> str:
-    """Log format from the first lines of the folder."""
-    head = [r["value"] for r in spark.read.text(path).limit(20).collect()]
-    if any(h.startswith("#fields") or h.startswith("#separator") for h in head):
-        return "zeek"
-    if any(h.lstrip().startswith("{") for h in head):
-        return "jsonl"
-    if any("query[" in h for h in head):
-        return "dnsmasq"
-    return "bind" if any("query:" in h for h in head) else "csv"
+# Columns of a resolver log without a header line.
+ZEEK_DNS_FIELDS = ("ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "trans_id", "rtt", "query")
+DNSMASQ_LINE = r"^(\S+ +\S+ +\S+) .*query\[[A-Za-z]+\] (\S+) from (\S+)"
+BIND_LINE = r"^(\S+ \S+) .*client (?:@\S+ )?([^#\s]+)#\d+.*query: (\S+) "
 
 
-def read_dns_log(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """(ts text, name, client) of a resolver log in any of five formats."""
-    fmt = fmt or detect_dns_format(spark, path)
-    if fmt == "csv":
-        return spark.read.option("header", True).csv(path).select(F.col("ts").cast("string"), "name", "client")
-    rows = spark.read.text(path)
+def read_dns_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((ts, name, client), lines of no known form) of resolver logs. Each line is told by its own form, so files
+    of five formats may lie together; a ``#fields`` line names the columns of its file."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     v = F.col("value")
-    if fmt == "jsonl":
-        out = rows.select(*[F.get_json_object(v, f"$.{c}").alias(c) for c in ("ts", "name", "client")])
-    elif fmt == "zeek":
-        cells = F.split(v, "\t")
-        out = rows.where(~F.startswith(v, F.lit("#"))).select(F.get(cells, F.lit(0)).alias("ts"), F.get(cells, F.lit(9)).alias("name"), F.get(cells, F.lit(2)).alias("client"))
-    else:
-        pattern = r"^(\S+ +\S+ +\S+) .*query\[[A-Za-z]+\] (\S+) from (\S+)" if fmt == "dnsmasq" else r"^(\S+ \S+) .*client (?:@\S+ )?([^#\s]+)#\d+.*query: (\S+) "
-        g = [F.regexp_extract(v, pattern, i) for i in (1, 2, 3)]
-        ts, name, client = (g[0], g[1], g[2]) if fmt == "dnsmasq" else (g[0], g[2], g[1])
-        out = rows.where(v.rlike(pattern)).select(ts.alias("ts"), name.alias("name"), client.alias("client"))
-    return out.where(F.length("name") > 0)
+    fields = F.split(F.regexp_replace(v, r"^#fields\t", ""), "\t")
+    heads = rows.where(F.startswith(v, F.lit("#fields"))).groupBy("file").agg(F.max(fields).alias("fields"))
+    lines = rows.where(~F.startswith(v, F.lit("#")) & (F.length(F.trim(v)) > 0)).join(heads, "file", "left")
+    names = F.coalesce("fields", F.array(*[F.lit(c) for c in ZEEK_DNS_FIELDS]))
+    cells = F.split(v, "\t")
+    cell = lambda c: F.get(cells, F.array_position(names, c).cast("int") - 1)
+    group = lambda pattern, i: F.regexp_extract(v, pattern, i)
+    csv = F.split(v, ",")
+    make = lambda ts, name, client: F.struct(ts.alias("ts"), name.alias("name"), client.alias("client"))
+    told = (F.when(F.startswith(F.ltrim(v), F.lit("{")), make(*[F.get_json_object(v, f"$.{c}") for c in ("ts", "name", "client")]))
+            .when(F.contains(v, F.lit("\t")), make(cell("ts"), cell("query"), cell("id.orig_h")))
+            .when(v.rlike(DNSMASQ_LINE), make(*[group(DNSMASQ_LINE, i) for i in (1, 2, 3)]))
+            .when(v.rlike(BIND_LINE), make(group(BIND_LINE, 1), group(BIND_LINE, 3), group(BIND_LINE, 2)))
+            .when(F.size(csv) == 3, make(F.get(csv, F.lit(0)), F.get(csv, F.lit(1)), F.get(csv, F.lit(2)))))
+    out = lines.select("value", told.alias("r"))
+    good = F.coalesce(F.length("r.name") > 0, F.lit(False))
+    header = F.coalesce(F.col("r.name") == "name", F.lit(False)) & F.coalesce(F.col("r.ts") == "ts", F.lit(False))
+    return out.where(good & ~header).select("r.*"), out.where(~good).select("value")
+
+
+def read_dns_log(spark: SparkSession, path: str) -> DataFrame:
+    """(ts text, name, client) of resolver logs in any of five formats."""
+    return read_dns_lines(spark, path)[0]
 
 
 REFERENCE_DDL = {

@@ -12,7 +12,6 @@ from secflow.operators import sets
 # Retention in days per family.
 RETENTION_DAYS = {"events-bank": 400, "events-datacenter": 90, "events-common": 90, "alerts": 365, "incidents": 365, "reports": 365}
 TRIAGE_STATES = ("new", "in_progress", "resolved", "false_positive")
-NOTE_CHARS = 2000
 
 
 def routed(df: DataFrame) -> DataFrame:
@@ -37,6 +36,9 @@ def write_routed(df: DataFrame, base: str) -> DataFrame:
 def upsert_alerts(current: DataFrame, batch: DataFrame) -> DataFrame:
     """Current alerts with a batch applied: newest payload wins, the analyst's status and note stay."""
     new = sets.latest_by(batch, ["alert_id"], "time")
+    # An older payload than the stored one changes nothing.
+    stored = current.select("alert_id", F.col("time").alias("_t"))
+    new = new.join(stored, "alert_id", "left").where(F.col("_t").isNull() | (F.col("time") >= F.col("_t"))).select(*new.columns)
     kept = current.select("alert_id", F.col("status").alias("_s"), F.col("note").alias("_n"))
     merged = new.join(kept, "alert_id", "left").select(*[c for c in new.columns if c not in ("status", "note")],
                                                       F.coalesce("_s", "status").alias("status"), F.coalesce("_n", "note").alias("note"))
@@ -49,9 +51,9 @@ def insert_if_absent(current: DataFrame, batch: DataFrame, key: str) -> DataFram
 
 
 def apply_triage(alerts: DataFrame, updates: DataFrame) -> DataFrame:
-    """Last valid update per alert: status from the closed set, note kept unless given, note length capped."""
+    """Last valid status and last given note per alert, each on its own, so an update without a note keeps the one before."""
     valid = updates.where(F.col("status").isin(*TRIAGE_STATES))
-    last = sets.latest_by(valid.select("alert_id", "at", F.col("status").alias("_s"), F.substring("note", 1, NOTE_CHARS).alias("_n")), ["alert_id"], "at")
+    last = valid.groupBy("alert_id").agg(F.max_by("status", F.struct("at", "status")).alias("_s"), F.max_by("note", F.when(F.col("note").isNotNull(), F.struct("at", "note"))).alias("_n"))
     return alerts.join(last, "alert_id", "left").withColumn("status", F.coalesce("_s", "status")).withColumn("note", F.coalesce("_n", "note")).select(*alerts.columns)
 
 
@@ -69,6 +71,6 @@ def replay(dead: DataFrame) -> DataFrame:
 
 
 def drop_expired(df: DataFrame, today: str, days: dict[str, int] | None = None) -> DataFrame:
-    """Rows within their family's retention (a filter on the day partition)."""
+    """Rows within their family's retention (a filter on the day partition); families without one are kept."""
     table = F.create_map(*[F.lit(x) for kv in (days or RETENTION_DAYS).items() for x in kv])
-    return df.where(F.datediff(F.lit(today).cast("date"), F.col("day").cast("date")) <= F.coalesce(F.try_element_at(table, F.col("family")), F.lit(90)))
+    return df.where(F.datediff(F.lit(today).cast("date"), F.col("day").cast("date")) <= F.coalesce(F.try_element_at(table, F.col("family")), F.lit(2**31 - 1)))
