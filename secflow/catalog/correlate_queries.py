@@ -20,8 +20,7 @@ ALERT_TEXT = {
     "actor": "concat('User', u)", "ip": "concat('10.0.', k % 5, '.', u % 40)", "device": "CASE WHEN k % 4 <> 0 THEN concat('H', u % 30) END",
     "event_id": "concat('e', event_id)", "anomaly": "CAST(NULL AS STRING)",
 }
-WHERE = "value > 60"
-ALERTS_SQL = (BASE_SQL + ", al AS (SELECT " + ", ".join(f"{v.replace('STRING', 'VARCHAR')} AS {k}" for k, v in ALERT_TEXT.items()) + f" FROM base WHERE {WHERE})")
+ALERTS_SQL = (BASE_SQL + ", al AS (SELECT " + ", ".join(f"{v.replace('STRING', 'VARCHAR')} AS {k}" for k, v in ALERT_TEXT.items()) + f" FROM base)")
 TRACKS_SQL = ALERTS_SQL + """, tr AS (SELECT *, 'actor' AS entity_type, actor AS entity_value FROM al UNION ALL SELECT *, 'ip', ip FROM al WHERE ip NOT LIKE '10.0.3.%'
 UNION ALL SELECT *, 'device', device FROM al WHERE device IS NOT NULL AND device <> 'H7')"""
 SESS_SQL = TRACKS_SQL + f""", op AS (SELECT *, CASE WHEN time - lag(time) OVER w <= {DAY} THEN NULL ELSE time END AS o FROM tr
@@ -36,7 +35,7 @@ inc AS (SELECT incident_id, tenant_id, entity_type, entity_value, first_seen, la
 
 
 def alerts(spark, sf):
-    return base_events(spark, sf).where(WHERE).selectExpr(*[f"{v} AS {k}" for k, v in ALERT_TEXT.items()])
+    return base_events(spark, sf).selectExpr(*[f"{v} AS {k}" for k, v in ALERT_TEXT.items()])
 
 
 def shared(spark):
@@ -88,7 +87,7 @@ def tactic_order(spark, sf):
     return C.tactic_order(tracked(spark, sf)[1])
 
 
-@query("graph_links", f"""WITH {SESS_SQL}, ky AS (SELECT incident_id, tenant_id, alert_id, event_id, time, ip AS h FROM mb WHERE right(alert_id, 1) IN ('1', '3', '5')),
+@query("graph_links", f"""WITH {SESS_SQL}, ky AS (SELECT incident_id, tenant_id, alert_id, event_id, time, ip AS h FROM mb),
 hl AS (SELECT tenant_id, h, count(DISTINCT alert_id) AS every FROM ky GROUP BY 1, 2), mn AS (SELECT tenant_id, h, incident_id, count(*) AS mine FROM ky GROUP BY 1, 2, 3),
 ok AS (SELECT ky.* FROM ky JOIN hl USING (tenant_id, h) JOIN mn USING (tenant_id, h, incident_id) WHERE mine = every),
 ch AS (SELECT incident_id, lag(event_id) OVER w AS f, lag(time) OVER w AS ft, event_id AS x, time FROM ok WINDOW w AS (PARTITION BY incident_id, h ORDER BY time, event_id))
@@ -97,8 +96,7 @@ SELECT incident_id, 'network_flow' AS basis, f AS from_event_id, x AS to_event_i
 def graph_links(spark, sf):
     members = tracked(spark, sf)[1]
     key = F.struct(F.lit("flow").alias("ns"), F.lit("self").alias("role"), F.col("ip").alias("h"), F.lit("asserted").alias("scope_trust"))
-    keys = F.when(F.substring("alert_id", -1, 1).isin("1", "3", "5"), F.array(key))
-    return C.graph_links(members.withColumn("causal_keys", keys))
+    return C.graph_links(members.withColumn("causal_keys", F.array(key)))
 
 
 CAMP_SQL = SESS_SQL + """, sh AS (SELECT incident_id, tenant_id, unnest(member_alert_ids) AS a FROM inc),
@@ -211,7 +209,7 @@ def cidr_lpm(spark, sf):
 @query("not_listed", """SELECT c_custkey FROM customer WHERE NOT (c_custkey % 8 = 3) AND NOT (c_custkey % 8 = 5 AND c_custkey % 5 = 2) AND c_custkey % 8 NOT IN (6, 7) OR c_custkey % 11 = 0""")
 def not_listed(spark, sf):
     rows = table(spark, sf, "customer").selectExpr("c_custkey", f"CASE WHEN c_custkey % 11 <> 0 THEN {IPS_SQL} END AS ip")
-    nets = table(spark, sf, "nation").where("n_nationkey = 0").selectExpr("explode(array('10.3.0.0/16', '10.5.2.0/24', '10.6.0.0/15')) AS entry")
+    nets = spark.createDataFrame([("10.3.0.0/16",), ("10.5.2.0/24",), ("10.6.0.0/15",)], "entry string")
     return joins.not_listed(rows, "ip", nets).select("c_custkey")
 
 

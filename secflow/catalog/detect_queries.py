@@ -309,3 +309,19 @@ def causal_keys(spark, sf):
               .withColumn("siem", F.col("siem").withField("key_scope", F.struct(host.alias("host"), F.lit(None).cast("string").alias("sensor"), F.lit(None).cast("string").alias("boot"))))
               .withColumn("actor", F.col("actor").withField("session", F.struct(F.concat(F.lit("0x00"), F.hex("_n")).alias("uid")))))
     return detect.causal_keys(scoped).select("event_key", F.transform("causal_keys", lambda x: x.h).alias("hashes"))
+
+
+# ---- the whole job: all rules, shipped limits, the default clock ---------------------------------
+
+NOW_MS = 1_706_500_000_000
+
+
+@query("run_rules_all")
+def run_rules_all(spark, sf):
+    """All rules as shipped over all events; tests hold it against each rule run alone."""
+    return detect.run_rules(security_events(spark, sf), RULES, now_ms=NOW_MS)
+
+
+@query("make_alerts_all")
+def make_alerts_all(spark, sf):
+    return detect.make_alerts(security_events(spark, sf), RULES, now_ms=NOW_MS)

@@ -67,7 +67,7 @@ def newest_per_key(spark, sf):
     return sets.cap_per_key(alerts(spark, sf), ["actor"], [F.desc("time"), F.asc("alert_id")], 5).select("actor", "alert_id")
 
 
-@query("overview_tactic_heat", f"WITH {AL_SQL}, c AS (SELECT tactic, count(*) AS n FROM al WHERE tactic IS NOT NULL GROUP BY 1) SELECT tactic, n, CASE WHEN n / (SELECT max(n) FROM c) >= 0.66 THEN 'h3' WHEN n / (SELECT max(n) FROM c) >= 0.33 THEN 'h2' ELSE 'h1' END AS heat FROM c")
+@query("overview_tactic_heat", f"WITH {AL_SQL}, c AS (SELECT tactic, count(*) AS n FROM al WHERE tactic IS NOT NULL GROUP BY 1) SELECT tactic, n, CASE WHEN n / (SELECT max(n) FROM c) > 0.66 THEN 'h3' WHEN n / (SELECT max(n) FROM c) > 0.33 THEN 'h2' ELSE 'h1' END AS heat FROM c")
 def overview_tactic_heat(spark, sf):
     return Q.tactic_heat(alerts(spark, sf))
 
@@ -177,7 +177,7 @@ WILSON = "(tp / n + 3.8416 / (2 * n) {s} 1.96 * sqrt((tp / n) * (1 - tp / n) / n
 @query("label_precision", f"""WITH v AS (SELECT doc_id % 25 AS rule_id, CASE WHEN toxic = 1 THEN 'unknown' WHEN quality = 1 THEN 'tp' ELSE 'fp' END AS v FROM labels JOIN documents USING (doc_id)),
 c AS (SELECT rule_id, count(*) FILTER (WHERE v = 'tp') AS tp, count(*) FILTER (WHERE v = 'fp') AS fp, count(*) FILTER (WHERE v = 'unknown') AS unknown FROM v GROUP BY 1),
 d AS (SELECT *, CAST(nullif(tp + fp, 0) AS DOUBLE) AS n FROM c)
-SELECT rule_id, tp, fp, unknown, round(tp / n, 6) AS precision, CASE WHEN n IS NULL THEN 0.0 ELSE round(greatest({WILSON.format(s='-')}, 0), 4) END AS low, CASE WHEN n IS NULL THEN 1.0 ELSE round(least({WILSON.format(s='+')}, 1), 4) END AS high, tp + fp < 10 AS low_n FROM d""")
+SELECT rule_id, tp, fp, unknown, round(tp / n, 6) AS precision, CASE WHEN n IS NOT NULL THEN round(greatest({WILSON.format(s='-')}, 0), 4) END AS low, CASE WHEN n IS NOT NULL THEN round(least({WILSON.format(s='+')}, 1), 4) END AS high, tp + fp < 10 AS low_n FROM d""")
 def label_precision(spark, sf):
     verdict = F.when(F.col("toxic") == 1, "unknown").when(F.col("quality") == 1, "tp").otherwise("fp")
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("alert_id"), verdict.alias("verdict"), F.col("doc_id").alias("pos"))
@@ -246,12 +246,12 @@ def correlation_metrics(spark, sf):
 REL = "SELECT DISTINCT o_custkey % 5 AS storyline, o_custkey AS from_step, o_custkey + 1 AS to_step, o_custkey % 3 <> 0 AS allowed FROM orders"
 
 
-@query("chain_fidelity", f"""WITH r AS ({REL}), e AS (SELECT DISTINCT c_custkey AS from_step, c_custkey + 1 AS to_step FROM customer WHERE c_nationkey % 2 = 0),
+@query("chain_fidelity", f"""WITH r AS ({REL}), e AS (SELECT DISTINCT c_custkey AS from_step, c_custkey + 1 + c_nationkey % 2 AS to_step FROM customer),
 j AS (SELECT r.*, e.from_step IS NOT NULL AS hit FROM r LEFT JOIN e USING (from_step, to_step)), c AS (SELECT storyline, count(*) FILTER (WHERE allowed) AS wanted, count(*) FILTER (WHERE allowed AND hit) AS found, count(*) FILTER (WHERE NOT allowed AND hit) AS forbidden_found FROM j GROUP BY 1)
 SELECT *, round(found / (wanted + forbidden_found), 6) AS fidelity FROM c""")
 def chain_fidelity(spark, sf):
     rel = table(spark, sf, "orders").selectExpr("o_custkey % 5 AS storyline", "o_custkey AS from_step", "o_custkey + 1 AS to_step", "o_custkey % 3 <> 0 AS allowed").distinct()
-    return M.chain_fidelity(table(spark, sf, "customer").where("c_nationkey % 2 = 0").selectExpr("c_custkey AS from_step", "c_custkey + 1 AS to_step"), rel)
+    return M.chain_fidelity(table(spark, sf, "customer").selectExpr("c_custkey AS from_step", "c_custkey + 1 + c_nationkey % 2 AS to_step"), rel)
 
 
 @query("timed_order", """WITH c AS (SELECT count(*) FILTER (WHERE l_partkey + 50 < l_suppkey * 20) AS forward, count(*) FILTER (WHERE NOT (l_partkey + 50 < l_suppkey * 20) AND NOT (l_suppkey * 20 + 50 < l_partkey)) AS concurrent,
@@ -261,12 +261,12 @@ def timed_order(spark, sf):
     return M.timed_order(table(spark, sf, "lineitem").selectExpr("l_partkey AS a_lo", "l_partkey + 50 AS a_hi", "l_suppkey * 20 AS b_lo", "l_suppkey * 20 + 50 AS b_hi"))
 
 
-@query("link_metrics", """WITH e AS (SELECT DISTINCT 'k' || o_custkey % 3 AS basis, o_custkey AS a, o_custkey + 1 AS b FROM orders WHERE o_custkey % 2 = 0), t AS (SELECT DISTINCT 'k' || c_custkey % 3 AS basis, c_custkey AS a, c_custkey + 1 AS b FROM customer WHERE c_nationkey > 5),
+@query("link_metrics", """WITH e AS (SELECT DISTINCT 'k' || o_custkey % 3 AS basis, o_custkey AS a, o_custkey + 1 AS b FROM orders), t AS (SELECT DISTINCT 'k' || c_custkey % 3 AS basis, c_custkey + 1000000 * CAST(c_nationkey > 5 AS INT) AS a, c_custkey + 1000000 * CAST(c_nationkey > 5 AS INT) + 1 AS b FROM customer),
 j AS (SELECT coalesce(e.basis, t.basis) AS basis, e.a AS ea, t.a AS ta FROM e FULL OUTER JOIN t ON e.basis = t.basis AND e.a = t.a), c AS (SELECT basis, count(*) FILTER (WHERE ea IS NOT NULL AND ta IS NOT NULL) AS tp, count(ea) AS en, count(ta) AS tn FROM j GROUP BY 1)
 SELECT basis, tp, tp AS directed, round(tp / nullif(en, 0), 6) AS precision, round(tp / nullif(tn, 0), 6) AS recall FROM c""")
 def link_metrics(spark, sf):
-    e = table(spark, sf, "orders").where("o_custkey % 2 = 0").selectExpr("concat('k', o_custkey % 3) AS basis", "o_custkey AS a", "o_custkey + 1 AS b")
-    return M.link_metrics(e, table(spark, sf, "customer").where("c_nationkey > 5").selectExpr("concat('k', c_custkey % 3) AS basis", "c_custkey AS a", "c_custkey + 1 AS b"))
+    e = table(spark, sf, "orders").selectExpr("concat('k', o_custkey % 3) AS basis", "o_custkey AS a", "o_custkey + 1 AS b")
+    return M.link_metrics(e, table(spark, sf, "customer").selectExpr("concat('k', c_custkey % 3) AS basis", "c_custkey + 1000000 * cast(c_nationkey > 5 as int) AS a", "c_custkey + 1000000 * cast(c_nationkey > 5 as int) + 1 AS b"))
 
 
 @query("attribution", f"WITH {BASE_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE k % 9 <> 0) AS \"right\", round(count(*) FILTER (WHERE k % 9 <> 0) / count(*), 6) AS accuracy FROM base WHERE u % 4 <> 0")
@@ -292,12 +292,12 @@ def severity_confusion(spark, sf):
     return M.severity_confusion(alerts(spark, sf).select(F.col("level").alias("expected"), F.when(F.col("k") % 3 == 0, "high").otherwise(F.col("level")).alias("actual")))
 
 
-@query("metric_regressions", f"""WITH {BASE_SQL}, b AS (SELECT k, count(*) AS v FROM base WHERE t < 1705000000000 AND k < 90 GROUP BY 1), c AS (SELECT k, count(*) AS v FROM base WHERE t >= 1705000000000 AND k > 5 GROUP BY 1)
+@query("metric_regressions", f"""WITH {BASE_SQL}, b AS (SELECT k, count(*) AS v FROM base WHERE t < 1705000000000 GROUP BY 1), c AS (SELECT k, count(*) AS v FROM base WHERE t >= 1705000000000 GROUP BY 1)
 SELECT coalesce(b.k, c.k) AS metric, CASE WHEN b.k IS NULL THEN 'new' WHEN c.k IS NULL THEN 'missing' WHEN (b.k % 3 = 0 AND c.v < b.v) OR (b.k % 3 = 1 AND c.v > b.v) OR (b.k % 3 = 2 AND c.v <> b.v) THEN 'regressed' WHEN c.v <> b.v THEN 'improved' ELSE 'same' END AS state FROM b FULL OUTER JOIN c ON b.k = c.k""")
 def metric_regressions(spark, sf):
     side = lambda cond: base_events(spark, sf).where(cond).groupBy(F.col("k").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
     way = F.when(F.col("metric") % 3 == 0, "higher").when(F.col("metric") % 3 == 1, "lower").otherwise("pinned")
-    return M.metric_regressions(side("t < 1705000000000 and k < 90").withColumn("direction", way), side("t >= 1705000000000 and k > 5"))
+    return M.metric_regressions(side("t < 1705000000000").withColumn("direction", way), side("t >= 1705000000000"))
 
 
 @query("verdict_metrics", """WITH v AS (SELECT CASE WHEN quality = 1 THEN 'a' ELSE 'b' END AS l, CASE WHEN doc_id % 10 = 0 THEN 'unknown' WHEN toxic = 0 THEN 'a' ELSE 'b' END AS p FROM labels),
