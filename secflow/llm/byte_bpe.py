@@ -19,12 +19,15 @@ from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from secflow.llm.common import whole_text
 
@@ -150,12 +153,38 @@ def _over(docs: DataFrame, schema: str, make, path: str, text_col: str, name: st
     return docs.withColumn(name, F.pandas_udf(run, schema, F.PandasUDFType.SCALAR_ITER)(whole_text(text_col)))
 
 
+#: Texts whose ids a worker holds at a time.
+SLICE = 128
+
+
+def _with_ids(docs: DataFrame, keep: list[str], path: str, text_col: str, digests_too: bool) -> DataFrame:
+    """The kept columns with ``ids`` (and digests), a slice of texts at a time, so that a worker's memory doesn't
+    follow the size of a batch."""
+    held = docs.sparkSession.sparkContext.broadcast(build(path or public_tokenizers.path(VOCABULARY)))
+    rows = docs.select(*[F.col(c) for c in keep], whole_text(text_col).alias("_text"))
+    added = T.StructType().add("ids", T.ArrayType(T.IntegerType()))
+    if digests_too:
+        added = added.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "_text"], *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(held.value)
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                texts = part.column(len(keep)).to_pylist()
+                columns = [pa.array([np.array(codec.encode(t), np.int32) for t in texts], pa.list_(pa.int32()))]
+                if digests_too:
+                    found = list(zip(*[codec.digests(t) for t in texts], strict=True))
+                    columns += [pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.string(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], [*keep, *added.names])
+
+    return rows.mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame, path: str = "", text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids``."""
-    def make(codec: Codec, texts: pd.Series) -> pd.Series:
-        return pd.Series([codec.encode(t) for t in texts], dtype=object)
-
-    return _over(docs, "array<int>", make, path or public_tokenizers.path(VOCABULARY), text_col, "ids")
+    return _with_ids(docs, [c for c in docs.columns if c != "ids"], path, text_col, False)
 
 
 def decode(rows: DataFrame, path: str = "", ids_col: str = "ids") -> DataFrame:
@@ -172,11 +201,7 @@ def decode(rows: DataFrame, path: str = "", ids_col: str = "ids") -> DataFrame:
 
 def checked(docs: DataFrame, path: str = "", text_col: str = "text") -> DataFrame:
     """``docs`` without the text and with the ids, their number and the digests of the ids and of the decoded bytes."""
-    def make(codec: Codec, texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(codec.encode(t), *codec.digests(t)) for t in texts], columns=["ids", *NAMES])
-
-    rows = _over(docs, "ids array<int>, " + DIGESTS, make, path or public_tokenizers.path(VOCABULARY), text_col, "_encoded")
-    return rows.select(*[c for c in docs.columns if c not in (text_col, "ids", *NAMES)], "_encoded.*")
+    return _with_ids(docs, [c for c in docs.columns if c not in (text_col, "ids", *NAMES)], path, text_col, True)
 
 
 def digests(docs: DataFrame, path: str = "", text_col: str = "text") -> DataFrame:
