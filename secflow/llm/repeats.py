@@ -23,8 +23,8 @@ from secflow.llm.common import keyed, same, stage, whole_text
 from secflow.llm.near import mix
 
 U = np.uint64
-#: Segments or runs that are broadcast at most (about 50 bytes each); above that texts are shuffled by document.
-FEW = 500_000
+#: Places that a key of the window minimum can hold.
+PLACES = 1 << 24
 #: place is start * 2^16 + number of windows
 SEGMENT = "anchor long, digest long, id long, fp long, place long"
 #: Repeated windows of a segment, from the off-th on.
@@ -47,22 +47,30 @@ def window_anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarr
     anchor, and a segment has ``window - gram + 1`` windows at most."""
     if len(hashes) < window:
         return np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
-    h, k = mix(hashes), 1
+    h, k, base = hashes, 1, 0x9E3779B97F4A7C15
     while k < gram:
-        h, k = mix(h[:-k] * U(0x9E3779B97F4A7C15) + h[k:]), 2 * k
-    place, width, k = np.arange(len(h), dtype=np.int32), window - gram + 1, 1
-
-    def smaller(left: int, right: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        keep = h[left : left + n] <= h[right : right + n]
-        return np.where(keep, h[left : left + n], h[right : right + n]), np.where(keep, place[left : left + n], place[right : right + n])
-
+        h, k, base = h[:-k] * U(base) + h[k:], 2 * k, base * base % (1 << 64)
+    h = mix(h)
+    width, k, n = window - gram + 1, 1, len(hashes) - window + 1
+    # the upper bits of a hash, then its place: the smallest is the leftmost of the smallest
+    if len(h) > PLACES:
+        return by_pieces(hashes, window, gram)
+    low = (h & ~U(PLACES - 1)) | np.arange(len(h), dtype=U)
     while 2 * k <= width:
-        h, place = smaller(0, k, len(h) - k)
-        k *= 2
-    n = len(hashes) - window + 1
-    h, place = smaller(0, width - k, n)
+        low, k = np.minimum(low[:-k], low[k:]), 2 * k
+    place = (np.minimum(low[:n], low[width - k : width - k + n]) & U(PLACES - 1)).astype(np.int64)
     edge = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [n]])
-    return h[edge[:-1]], edge[:-1], np.diff(edge)
+    return h[place[edge[:-1]]], edge[:-1], np.diff(edge)
+
+
+def by_pieces(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for very long texts, in pieces that overlap by a window. A segment that a piece's end cuts becomes two;
+    each of its windows keeps its anchor."""
+    step, out = PLACES // 2, []
+    for at in range(0, len(hashes) - window + 1, step):
+        a, start, n = window_anchors(hashes[at : at + step + window - 1], window, gram)
+        out.append((a, start + at, n))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def anchors(rows: DataFrame, unit: Unit) -> DataFrame:
@@ -118,18 +126,13 @@ def find(docs: DataFrame, unit: Unit, id_col: str = "doc_id", text_col: str = "t
     return Repeats(rows, met, stage(groups.join(several, "anchor")), again)
 
 
-def lookup(side: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(side) if size <= FEW else side
-
-
 def with_units(found: Repeats, chosen: DataFrame, work: Callable, schema: str) -> DataFrame:
     """Runs ``work(text, segments of the text)`` on the documents that hold the chosen segments.
 
-    ``work`` gives rows of ``schema``. The segments are broadcast while they are few, else both sides are
-    shuffled by document."""
+    ``work`` gives rows of ``schema``. Both sides are shuffled by document: the segments grow with the table."""
     wanted = chosen.groupBy("id", "fp").agg(F.collect_list(F.struct("anchor", "digest", "place", "copies")).alias("segments"))
-    texts, side = found.rows, lookup(wanted, chosen.count())
-    met = texts.join(side, same(texts, wanted, ["id", "fp"])).select(texts["text"], "segments")
+    texts = found.rows
+    met = texts.join(wanted, same(texts, wanted, ["id", "fp"])).select(texts["text"], "segments")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,8 +198,8 @@ def merged(runs, window: int) -> list[tuple[int, int]]:
 def finish(found: Repeats, runs: DataFrame, work: Callable, schema: str) -> DataFrame:
     """``work(text, runs)`` for every document; runs is None for most."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    rows, side = found.rows, lookup(runs, runs.agg(F.sum(F.size("runs"))).first()[0] or 0)
-    met = rows.join(side, same(rows, runs, ["id", "fp"]), "left").select(rows["id"], rows["text"], "runs")
+    rows = found.rows
+    met = rows.join(runs, same(rows, runs, ["id", "fp"]), "left").select(rows["id"], rows["text"], "runs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
