@@ -129,10 +129,11 @@ def find(docs: DataFrame, unit: Unit, id_col: str = "doc_id", text_col: str = "t
 def with_units(found: Repeats, chosen: DataFrame, work: Callable, schema: str) -> DataFrame:
     """Runs ``work(text, segments of the text)`` on the documents that hold the chosen segments.
 
-    ``work`` gives rows of ``schema``. Both sides are shuffled by document: the segments grow with the table."""
+    ``work`` gives rows of ``schema``. Both sides are shuffled by document, since the segments grow with
+    the table; the texts aren't sorted."""
     wanted = chosen.groupBy("id", "fp").agg(F.collect_list(F.struct("anchor", "digest", "place", "copies")).alias("segments"))
     texts = found.rows
-    met = texts.join(wanted, same(texts, wanted, ["id", "fp"])).select(texts["text"], "segments")
+    met = texts.join(wanted.hint("shuffle_hash"), same(texts, wanted, ["id", "fp"])).select(texts["text"], "segments")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +200,7 @@ def finish(found: Repeats, runs: DataFrame, work: Callable, schema: str) -> Data
     """``work(text, runs)`` for every document; runs is None for most."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     rows = found.rows
-    met = rows.join(runs, same(rows, runs, ["id", "fp"]), "left").select(rows["id"], rows["text"], "runs")
+    met = rows.join(runs.hint("shuffle_hash"), same(rows, runs, ["id", "fp"]), "left").select(rows["id"], rows["text"], "runs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
