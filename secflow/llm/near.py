@@ -5,13 +5,14 @@ of every shingle gives a bin and a value; the smallest value of each bin is the
 bin takes the value of the first filled bin in its own fixed random order (optimal densification). Bands
 of the signature are bucket keys. In a bucket, every document is compared with one hub only: the member
 whose bands are the most popular, which is the text that the others were copied from where there is one.
-So a bucket of n documents gives n - 1 pairs. Pairs are confirmed on the full sets; members that aren't
-near their hub get another hub among themselves, in rounds, until a round links nothing new.
+So a bucket of n documents gives n - 1 pairs. Pairs are confirmed on the full sets. Then every pair of other
+members of a bucket that the links so far don't join is compared too: members are dealt in blocks, and a pair
+of blocks is one product of their shingle tables, so no row is made for a pair.
 
 Equal sets are joined before the bands, so copies cost one row each.
 
 Recall: with 48 bands of 8 bins a pair at the threshold 0.85 shares a bucket with probability 1 - 2e-7.
-Pairs in one bucket that are both near none of its hubs can be missed; measured figures are in the README.
+No pair of one bucket is left out: it is compared, joined by other links, or too unlike in size.
 
 Defined cases: null and empty texts, and texts without words, have no set and are linked with nothing; rows
 with equal ids are one document; a null id is never linked and is kept; other columns are not read.
@@ -36,6 +37,8 @@ from secflow.llm.common import HOT_PARTS, components, join_split, stage, whole_t
 BINS = 384
 #: Members of a hub that one task compares.
 BLOCK = 512
+#: Members of a bucket in a block, shingles of a table that are multiplied at once.
+SIDE, WIDE = 256, 8192
 #: Texts that are signed together, words whose hash a worker remembers.
 SLICE, REMEMBERED = 2000, 400_000
 U = np.uint64
@@ -153,12 +156,12 @@ def buckets(rows: DataFrame) -> DataFrame:
     return stage(met.join(pop, "id").select("band", "id", "n", "pop"))
 
 
-def hubs(members: DataFrame) -> DataFrame:
-    """``members`` of each bucket but its hub, with ``hub`` and ``hub_n``."""
+def hubs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(band, hub, hub_n, k) of each bucket, and its ``members`` but the hub, with ``hub`` and ``hub_n``."""
     best = members.groupBy("band").agg(F.max(F.struct("pop", (-F.col("id")).alias("low"), "n")).alias("h"), F.count(F.lit(1)).alias("k"))
     best = stage(best.where("k > 1").select("band", (-F.col("h.low")).alias("hub"), F.col("h.n").alias("hub_n"), "k"))
     met = join_split(members, best.drop("k"), "band", best.select("band", F.col("k").alias("n")))
-    return stage(met.where("id <> hub"))
+    return best, stage(met.where("id <> hub"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
@@ -186,30 +189,120 @@ def confirmed(pairs: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame
     return met.select("hub", "id", "hub_text", "text").mapInPandas(run, "hub long, id long").distinct()
 
 
+def unsettled(best: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
+    """Members, without hubs, of the buckets that ``found`` doesn't join into one component: (band, p, q, block, id,
+    n, component), a row for each pair of blocks (p, q) that a member's block is in. The hub's component isn't
+    compared with itself. Buckets of the same members count once."""
+    groups = stage(components(found.select(F.col("hub").alias("u"), F.col("id").alias("v"))))
+    mine = met.join(groups, met["id"] == groups["node"], "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+    mine = stage(mine)
+    homes = best.join(groups, best["hub"] == groups["node"], "left").select("band", F.coalesce("component", "hub").alias("home"))
+    parts = mine.groupBy("band", "component").agg(
+        F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"))
+    away = F.coalesce(F.sum(F.when(F.col("component") != F.col("home"), F.col("c"))), F.lit(0))
+    each = parts.join(homes, "band").groupBy("band", "home").agg(F.sum("c").alias("k"), away.alias("away"), F.count(F.lit(1)).alias("kinds"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"))
+    one = each.where("kinds > 1").groupBy("k", "s", "x").agg(F.min(F.struct("band", "home", "away")).alias("b"))
+    one = stage(one.select("b.band", "b.home", "b.away", "k"))
+    rows = join_split(mine, one, "band", one.select("band", F.col("k").alias("n")))
+    few = F.col("k") <= SIDE
+    outer = F.when(few, 1).otherwise(F.ceil(F.col("away") / SIDE)).cast("int")
+    inner = F.when(few, 0).otherwise(F.ceil((F.col("k") - F.col("away")) / SIDE)).cast("int")
+    at_home = ~few & (F.col("component") == F.col("home"))
+    rows = rows.withColumn("outer", outer).withColumn("all", F.col("outer") + inner).withColumn("at_home", at_home)
+    place = F.when(F.col("at_home"), F.col("outer") + F.pmod(F.xxhash64("id"), F.col("all") - F.col("outer"))).otherwise(F.pmod(F.xxhash64("id"), F.col("outer"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("at_home"), F.col("outer")).otherwise(F.col("all")) - 1)
+    rows = rows.withColumn("block", place).withColumn("other", F.explode(others))
+    return rows.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "n", "component")
+
+
+def held(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+    """Which of ``some`` sorted shingles each set has, as a table of 0 and 1."""
+    out = np.zeros((len(sets), len(some)), np.float32)
+    for row, s in zip(out, sets, strict=True):
+        s = s[np.searchsorted(s, some[0]) : np.searchsorted(s, some[-1], "right")]
+        at = np.searchsorted(some, s)
+        row[at[some[at] == s]] = 1
+    return out
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """How many shingles each set of one side shares with each of the other; without ``right``, the sets of one side
+    with one another (the diagonal isn't filled). Shingles of a single set don't matter and are dropped."""
+    if right is None:
+        found, n = np.unique(np.concatenate(left), return_counts=True)
+        both = found[n > 1]
+    else:
+        both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(left if right is None else right)), np.float32)
+    for i in range(0, len(both), WIDE):
+        a = held(left, both[i : i + WIDE])
+        out += a @ (a if right is None else held(right, both[i : i + WIDE])).T
+    return out.astype(np.int64)
+
+
+def joined(part: pd.DataFrame, measure: Measure) -> list[tuple[int, int]]:
+    """Links (u, v) that join the components of the members of one pair of blocks as all its near pairs do."""
+    alone = part["p"].iat[0] == part["q"].iat[0]
+    sides = [part] if alone else [part[part["block"] == part["p"]], part[part["block"] == part["q"]]]
+    n, c = [x["n"].to_numpy() for x in sides], [x["component"].to_numpy() for x in sides]
+    fits = np.minimum(n[0][:, None], n[-1]) * 100 >= np.maximum(n[0][:, None], n[-1]) * measure.near
+    fits &= c[0][:, None] != c[-1]
+    if not fits.any():
+        return []
+    rows, cols = fits.any(1), fits.any(0)
+    sets = [[shingles(t, measure.shingle) for t in x["text"][keep]] for x, keep in zip(sides, (rows, cols))]
+    size = [np.array([len(s) for s in x]) for x in sets]
+    same = overlaps(sets[0], None if alone else sets[1])
+    near = fits[np.ix_(rows, cols)] & (100 * same >= measure.near * (size[0][:, None] + size[-1] - same))
+    ids, of = [x["id"].to_numpy()[k] for x, k in zip((sides[0], sides[-1]), (rows, cols))], (c[0][rows], c[-1][cols])
+    low: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := low.get(x, x)) != x:
+            low[x] = low.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for i, j in np.argwhere(near):
+        a, b = find(int(of[0][i])), find(int(of[1][j]))
+        if a != b:
+            low[max(a, b)] = min(a, b)
+            out.append((int(ids[0][i]), int(ids[1][j])))
+    return out
+
+
+def crossed(rows: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
+    """Links (u, v) between members of different components in the pairs of blocks of ``rows``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, parts = None, []
+        for batch in batches:
+            out = []
+            for key, part in batch.groupby(["band", "p", "q"], sort=False):
+                if key != last and parts:
+                    out += joined(pd.concat(parts), measure)
+                    parts = []
+                last = key
+                parts.append(part)
+            yield pd.DataFrame(out, columns=["u", "v"])
+        if parts:
+            yield pd.DataFrame(joined(pd.concat(parts), measure), columns=["u", "v"])
+
+    met = rows.join(texts, "id").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    return met.select("band", "p", "q", "block", "id", "n", "component", "text").mapInPandas(run, "u long, v long").distinct()
+
+
 def links(rows: DataFrame, docs: DataFrame, measure: Measure, id_col: str, text_col: str) -> DataFrame:
-    """Confirmed (u, v) between documents with different sets. ``rows`` has one row for each set."""
+    """Confirmed (u, v) that join documents with different sets as all near pairs of the buckets do. ``rows`` has
+    one row for each set."""
     members = buckets(rows)
     # texts are moved once: those of documents in a bucket
     texts = stage(docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")).join(members.select("id").distinct(), "id"))
-    out, asked, before = None, None, 0
-    while True:
-        met = hubs(members)
-        fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * measure.near
-        pairs = met.where(fits).select("hub", "id").distinct()
-        if asked is not None:
-            pairs = pairs.join(asked, ["hub", "id"], "left_anti")
-        pairs = stage(pairs)
-        found = stage(confirmed(pairs, texts, measure))
-        out = found if out is None else out.unionByName(found)
-        out = stage(out)
-        linked = out.count()
-        if linked == before or not pairs.count():
-            return out.select(F.col("hub").alias("u"), F.col("id").alias("v"))
-        before = linked
-        asked = pairs if asked is None else stage(asked.unionByName(pairs))
-        near = out.withColumn("_near", F.lit(True))
-        rest = met.join(near, ["hub", "id"], "left").where("_near is null")
-        members = stage(rest.select("band", "id", "n", "pop"))
+    best, met = hubs(members)
+    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * measure.near
+    found = stage(confirmed(stage(met.where(fits).select("hub", "id").distinct()), texts, measure))
+    more = stage(crossed(stage(unsettled(best, met, found)), texts, measure))
+    return found.select(F.col("hub").alias("u"), F.col("id").alias("v")).unionByName(more)
 
 
 def classes(docs: DataFrame, measure: Measure = Measure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -322,3 +322,30 @@ def test_near_hub(spark):
     want = brute.near([r for r in rows if r[0] < 2000])
     assert {i: got[i] for i in want} == {i: c for i, (_, c) in want.items()}
     assert {got[i] for i in range(2000, 3500)} == {2000}
+
+
+def swapped(rng, words, n):
+    """``words`` with ``n`` of them changed."""
+    out = list(words)
+    for k in rng.sample(range(len(out)), n):
+        out[k] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+def test_near_chain(spark):
+    """Near pairs whose members are both near no hub: in a chain, and among pages of one template."""
+    rng = random.Random(8)
+    words = prose(rng, 400).split(" ")
+    page = [f"w{k}" for k in range(200)]
+    rows, chain = [], words
+    for i in range(12):
+        rows.append((i, " ".join(chain)))
+        chain = swapped(rng, chain, 8)
+    rows += [(100 + i, " ".join(swapped(rng, page, 9))) for i in range(700)]
+    for i in range(5):  # pairs far from the other pages
+        one = swapped(rng, page, 10)
+        rows += [(1000 + 2 * i, " ".join(one)), (1001 + 2 * i, " ".join(swapped(rng, one, 4)))]
+    want = brute.near(rows)
+    got = {r.doc_id: r.component_id for r in near.classes(frame(spark, rows).repartition(4)).collect()}
+    assert got == {i: w[1] for i, w in want.items()}
+    assert all(got[1001 + 2 * i] == 1000 + 2 * i for i in range(5)) and len(set(got.values())) > 500
