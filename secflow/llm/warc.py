@@ -7,7 +7,8 @@ header. Magic inside a payload makes false candidates, so only those reachable f
 count: pointer jumping doubles the known part of every chain in a round, until nothing is added.
 Payloads that hold magic are put together again from their segments.
 
-Defined cases: null html is an empty payload; a null url is empty; line breaks in a url are escaped; a
+Defined cases: null html is an empty payload; a null url is empty; line breaks in a url are escaped, and so is the
+slash of a ``WARC/1.0`` that ends it, which the line end would make a magic; a header may have any length; a
 null page id is written as an empty name and read back as null; equal payloads of ``REVISIT_FROM`` bytes or more share one
 response (the largest id); a record cut off by the end of its file is dropped; no pages give no records.
 """
@@ -45,7 +46,7 @@ def responses(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def write(pages: DataFrame, path: str) -> None:
     """One record for each page."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"),
+    rows = pages.select(F.col("page_id").cast("long"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A"), r"WARC/1\.0\z", "WARC%2F1.0").alias("url"),
                         body.alias("_body"), F.octet_length(body).alias("_len"), F.sha1(body.cast("binary")).alias("_digest"))
     counts, keepers = responses(rows)
     rows = join_split(rows, keepers, "_digest", counts, "left")
@@ -75,7 +76,7 @@ def named(text: bytes | None) -> int | None:
 
 def candidate(data: bytes) -> tuple:
     """(head, length, page id, kind, refers to, digest, full length) of what follows a magic; nulls if it is no header."""
-    end = data.find(b"\r\n\r\n", 0, 65_536)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         return (None,) * 7
     fields = dict(line.split(b": ", 1) for line in data[:end].split(b"\r\n") if b": " in line)

@@ -214,6 +214,14 @@ def test_warc_payloads(spark, tmp_path):
     assert got == {i: (h or "").encode() for i, h in enumerate(html)}
 
 
+def test_warc_urls(spark):
+    """A url of 100 KB and one that ends in the magic, with further records behind them in one file."""
+    urls = ["https://a.example/" + "q" * 100_000, "https://a.example/WARC/1.0", "https://a.example/WARC/1.0/b"]
+    rows = [(i, urls[i] if i < 3 else "https://a.example/x", f"page {i}") for i in range(8)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert sorted((r.page_id, r.sha1) for r in got) == [(i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows]
+
+
 def test_decontaminate(spark, rows, docs, none):
     texts = dict(rows)
     items = [(1, texts[15]), (2, "Two words"), (3, None), (4, "... !!"), (5, texts[15]), (6, " ".join(texts[80].split()[30:60])), (10, "one"), (11, "alpha bravo carbon delta ember fjord gamma harbor indigo jungle absent")]
