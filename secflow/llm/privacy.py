@@ -2,7 +2,7 @@
 
 Base: e-mail and network addresses, card and phone numbers, found on whole texts with their places in code
 points. Then information theory: a term (a run of letters and digits) that stands near a protected value in
-``SUPPORT`` different surroundings or more is weighed by how strongly it reveals the value: the share
+``SUPPORT`` different documents or more is weighed by how strongly it reveals the value: the share
 P(value | term) of the documents with the term in which the value is near, and the disclosure
 log2(P(value | term) / P(value)) in bits. Terms above both thresholds are removed wherever they stand, or
 generalised if the share is below ``REMOVE_AT``. Documents with equal texts count once, so copies of one
@@ -26,7 +26,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
 #: Characters around a value that count as near.
 NEAR = 80
-#: Least different surroundings of a term and a value; least share, disclosure in bits; share from which a term is removed.
+#: Least different texts with a term near a value; least share, disclosure in bits; share from which a term is removed.
 SUPPORT, SHARE, BITS, REMOVE_AT = 4, 0.6, 3.0, 0.8
 #: Shortest term.
 LETTERS = 4
@@ -106,7 +106,7 @@ def terms_of(text: Column) -> Column:
 def disclosing(rows: DataFrame) -> DataFrame:
     """(term, share, bits) of the terms that reveal a protected value; ``rows`` has fp, text and base.
 
-    Surroundings are compared without the value, so a value pasted into the same sentence counts once."""
+    Different texts count, also if a passage with the value and the term is the same in all of them."""
     n = rows.select("fp").distinct().count()
     one = rows.where(F.size("base") > 0).select("fp", "text", F.explode("base").alias("x"))
     left = F.expr(f"substring(text, greatest(x.start - {NEAR}, 0) + 1, x.start - greatest(x.start - {NEAR}, 0))")
@@ -114,8 +114,8 @@ def disclosing(rows: DataFrame) -> DataFrame:
     # a term cut by the edge of the surroundings isn't one
     left, right = F.regexp_replace(left, r"^[\p{L}\p{N}]+", ""), F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")
     near = stage(one.select("fp", value_of(F.col("x")).alias("value"), F.concat_ws(" ", left, right).alias("around")))
-    pairs = stage(near.select("value", "fp", F.xxhash64("around").alias("place"), F.explode(F.array_distinct(terms_of(F.col("around")))).alias("term")))
-    strong = pairs.select("term", "value", "place").distinct().groupBy("term", "value").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= SUPPORT)
+    pairs = stage(near.select("value", "fp", F.explode(F.array_distinct(terms_of(F.col("around")))).alias("term")))
+    strong = pairs.distinct().groupBy("term", "value").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= SUPPORT)
     # a term stands in at least the texts where it is near any value: common terms can't reach the share
     around_any = pairs.join(strong.select("term").distinct(), "term", "left_semi").select("term", "fp").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("near_any"))
     strong = stage(strong.join(around_any, "term").where(F.col("together") >= SHARE * F.col("near_any")).drop("near_any"))

@@ -303,6 +303,19 @@ def test_privacy_terms(spark):
     assert all("Wintergreen " not in t and "boss" not in t for i, t in done.items() if 200 <= i < 300)
 
 
+def disclosed(spark, rows):
+    return {r.term for r in privacy.disclosing(privacy.found(privacy.keyed(frame(spark, rows), privacy.whole_text()))).collect()}
+
+
+def test_privacy_footer(spark):
+    """One footer, the same around the value for more than its surroundings, in many different documents."""
+    rng = random.Random(9)
+    footer = " sent from the northern office of our house where every letter is answered Contact Jane Wintergreen boss@corp.example.org on weekdays before noon or write to the registry of the house by the old harbour "
+    rows = [(i, prose(rng, 30)) for i in range(150)] + [(200 + i, prose(rng, 12) + footer + prose(rng, 12)) for i in range(12)]
+    assert "Wintergreen" in disclosed(spark, rows)
+    assert disclosed(spark, rows[:150] + [(200 + i, rows[150][1]) for i in range(12)]) == set()
+
+
 def test_near(spark, docs, rows, none):
     want = brute.near(rows)
     got = near.classes(docs)
