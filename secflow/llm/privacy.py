@@ -100,7 +100,7 @@ def value_of(x: Column) -> Column:
 
 def terms_of(text: Column) -> Column:
     """Terms of a piece of text: runs of letters and digits with a letter, ``LETTERS`` long or more."""
-    return F.filter(F.split(text, NOT_TERM), lambda x: (F.length(x) >= LETTERS) & x.rlike(r"^\p{L}+$"))
+    return F.filter(F.split(text, NOT_TERM), lambda x: (F.length(x) >= LETTERS) & x.rlike(r"\p{L}"))
 
 
 def disclosing(rows: DataFrame) -> DataFrame:
@@ -112,7 +112,9 @@ def disclosing(rows: DataFrame) -> DataFrame:
     left = F.expr(f"substring(text, greatest(x.start - {NEAR}, 0) + 1, x.start - greatest(x.start - {NEAR}, 0))")
     right = F.expr(f"substring(text, x.end + 1, {NEAR})")
     # a term cut by the edge of the surroundings isn't one
-    left, right = F.regexp_replace(left, r"^[\p{L}\p{N}]+", ""), F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")
+    cut = lambda at: F.expr(f"substring(text, {at}, 1)").rlike(r"[\p{L}\p{N}]")
+    left = F.when(F.expr(f"x.start > {NEAR}") & cut(f"x.start - {NEAR}"), F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
+    right = F.when(cut(f"x.end + {NEAR + 1}"), F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
     near = stage(one.select("fp", value_of(F.col("x")).alias("value"), F.concat_ws(" ", left, right).alias("around")))
     pairs = stage(near.select("value", "fp", F.explode(F.array_distinct(terms_of(F.col("around")))).alias("term")))
     strong = pairs.distinct().groupBy("term", "value").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= SUPPORT)

@@ -316,6 +316,15 @@ def test_privacy_footer(spark):
     assert disclosed(spark, rows[:150] + [(200 + i, rows[150][1]) for i in range(12)]) == set()
 
 
+def test_privacy_edges(spark):
+    """Terms at the start and end of a text, and terms with digits."""
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 30)) for i in range(150)]
+    rows += [(200 + i, f"Wintergreen, boss@corp.example.org {i}") for i in range(8)] + [(300 + i, f"{i} chief@firm.example.org Summerfield") for i in range(8)]
+    rows += [(400 + i, f"{prose(rng, 6)} emp4711 {rng.choice(VOICE)} clerk@desk.example.org {prose(rng, 6)}") for i in range(8)]
+    assert disclosed(spark, rows) >= {"Wintergreen", "Summerfield", "emp4711"}
+
+
 def test_near(spark, docs, rows, none):
     want = brute.near(rows)
     got = near.classes(docs)
