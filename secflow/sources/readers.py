@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,37 +83,62 @@ def read_winevent_xml(spark: SparkSession, path: str) -> DataFrame:
 # Columns of a resolver log without a header line.
 ZEEK_DNS_FIELDS = ("ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "trans_id", "rtt", "query")
 DNSMASQ_LINE = r"^(\S+ +\S+ +\S+) .*query\[[A-Za-z]+\] (\S+) from (\S+)"
+#: Names of the columns of a CSV log, the first that its header has counts.
+CSV_NAME = ("qname", "query", "name", "domain")
+CSV_TS = ("ts", "time", "timestamp", "@timestamp", "datetime")
+CSV_CLIENT = ("id.orig_h", "client", "client_ip", "src", "src_ip", "source", "orig_h")
+CSV_CELL = r',(\s*+"[^"]*+(?:""[^"]*+)*+"\s*+(?=,|$)|[^,]*+)'
 BIND_LINE = r"^(\S+ \S+) .*client (?:@\S+ )?([^#\s]+)#\d+.*query: (\S+) "
 
 
+def csv_cells(line: Column) -> Column:
+    """The cells of a CSV line, without their quotes."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CSV_CELL), F.lit(1))
+    bare = lambda c: F.replace(F.regexp_extract(c, r'(?s)^"(.*)"$', 1), F.lit('""'), F.lit('"'))
+    return F.transform(F.transform(cells, lambda c: F.trim(c)), lambda c: F.when(c.rlike(r'(?s)^".*"$'), bare(c)).otherwise(c))
+
+
 def read_dns_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """((ts, name, client), lines of no known form) of resolver logs. Each line is told by its own form, so files
-    of five formats may lie together; a ``#fields`` line names the columns of its file."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    of five formats may lie together; a ``#fields`` line names the columns of its file, and so does a first line of
+    comma-separated names with one of ``CSV_NAME``; time and client are optional there. CSV lines without a header
+    are (ts, name, client)."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     v = F.col("value")
     fields = F.split(F.regexp_replace(v, r"^#fields\t", ""), "\t")
     heads = rows.where(F.startswith(v, F.lit("#fields"))).groupBy("file").agg(F.max(fields).alias("fields"))
-    lines = rows.where(~F.startswith(v, F.lit("#")) & (F.length(F.trim(v)) > 0)).join(heads, "file", "left")
+    some = ~F.startswith(v, F.lit("#")) & (F.length(F.trim(v)) > 0)
+    # lines of a block are read in order
+    tops = rows.where(some).withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("top"))
+    tops = tops.withColumn("columns", F.transform(csv_cells(F.col("top")), lambda c: F.lower(c)))
+    tops = tops.where(F.arrays_overlap("columns", F.array(*[F.lit(c) for c in CSV_NAME])))
+    lines = rows.where(some).join(heads, "file", "left").join(tops, "file", "left")
     names = F.coalesce("fields", F.array(*[F.lit(c) for c in ZEEK_DNS_FIELDS]))
     cells = F.split(v, "\t")
     cell = lambda c: F.get(cells, F.array_position(names, c).cast("int") - 1)
     group = lambda pattern, i: F.regexp_extract(v, pattern, i)
-    csv = F.split(v, ",")
+    csv = csv_cells(v)
+    place = lambda c: F.array_position("columns", F.lit(c))
+    named = lambda keys: F.get(csv, F.coalesce(*[F.when(place(c) > 0, place(c)) for c in keys]).cast("int") - 1)
     make = lambda ts, name, client: F.struct(ts.alias("ts"), name.alias("name"), client.alias("client"))
     told = (F.when(F.startswith(F.ltrim(v), F.lit("{")), make(*[F.get_json_object(v, f"$.{c}") for c in ("ts", "name", "client")]))
             .when(F.contains(v, F.lit("\t")), make(cell("ts"), cell("query"), cell("id.orig_h")))
             .when(v.rlike(DNSMASQ_LINE), make(*[group(DNSMASQ_LINE, i) for i in (1, 2, 3)]))
             .when(v.rlike(BIND_LINE), make(group(BIND_LINE, 1), group(BIND_LINE, 3), group(BIND_LINE, 2)))
+            .when(F.col("columns").isNotNull(), make(named(CSV_TS), named(CSV_NAME), named(CSV_CLIENT)))
             .when(F.size(csv) == 3, make(F.get(csv, F.lit(0)), F.get(csv, F.lit(1)), F.get(csv, F.lit(2)))))
-    out = lines.select("value", told.alias("r"))
+    out = lines.where(~F.coalesce(F.col("columns").isNotNull() & (v == F.col("top")), F.lit(False))).select("value", told.alias("r"))
     good = F.coalesce(F.length("r.name") > 0, F.lit(False))
     header = F.coalesce(F.col("r.name") == "name", F.lit(False)) & F.coalesce(F.col("r.ts") == "ts", F.lit(False))
     return out.where(good & ~header).select("r.*"), out.where(~good).select("value")
 
 
 def read_dns_log(spark: SparkSession, path: str) -> DataFrame:
-    """(ts text, name, client) of resolver logs in any of five formats."""
-    return read_dns_lines(spark, path)[0]
+    """(ts text, name, client) of resolver logs in any of five formats; warns of lines of no known form, with their number."""
+    good, bad = read_dns_lines(spark, path)
+    if n := bad.count():
+        warnings.warn(f"{n} lines of no known form in {path}", stacklevel=2)
+    return good
 
 
 REFERENCE_DDL = {

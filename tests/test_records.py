@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from secflow.normalize import job
@@ -55,6 +56,18 @@ def test_dns_lines_of_five_forms(spark, tmp_path):
     assert [r.value for r in bad.collect()] == ["no form at all"]
 
 
+def test_dns_csv_by_header(spark, tmp_path):
+    (tmp_path / "four.csv").write_text('ts,client,qname,type\n1,10.0.0.1,a.example,A\n2,10.0.0.2,"b,c.example",A\n')
+    (tmp_path / "one.csv").write_text("Domain\nd.example\ndomain.example\n")
+    (tmp_path / "two.csv").write_text("client,query\n10.0.0.3,query\n,e.example\n10.0.0.4\n")
+    good, bad = readers.read_dns_lines(spark, str(tmp_path))
+    assert sorted((r.name, r.client or "", r.ts or "") for r in good.collect()) == [
+        ("a.example", "10.0.0.1", "1"), ("b,c.example", "10.0.0.2", "2"), ("d.example", "", ""), ("domain.example", "", ""), ("e.example", "", ""), ("query", "10.0.0.3", "")]
+    assert [r.value for r in bad.collect()] == ["10.0.0.4"]
+    with pytest.warns(UserWarning, match="1 lines"):
+        assert readers.read_dns_log(spark, str(tmp_path)).count() == 6
+
+
 def test_one_spelling_of_addresses(spark):
     records = [json.dumps({"operation": "select", "ip": ip, "timestamp": 1_700_000_000}) for ip in ("::ffff:10.0.0.1", "2001:DB8:0::5", "::::", "10.0.0.9")]
     events, _ = job.normalize(bronze(spark, [("db_audit", r) for r in records]), ["db_audit"])
