@@ -379,3 +379,17 @@ def test_near_chain(spark):
     got = {r.doc_id: r.component_id for r in near.classes(frame(spark, rows).repartition(4)).collect()}
     assert got == {i: w[1] for i, w in want.items()}
     assert all(got[1001 + 2 * i] == 1000 + 2 * i for i in range(5)) and len(set(got.values())) > 500
+
+
+def test_near_one_bucket(spark):
+    """Members of a bucket that are near each other and not near its hub: where the hub is near none, and in a chain."""
+    rng = random.Random(12)
+    a, x = prose(rng, 200).split(" "), prose(rng, 200).split(" ")
+    b = a[:-10] + [f"b{k}" for k in range(10)]
+    c = [f"c{k}" for k in range(10)] + b[10:]
+    rows = [(0, prose(rng, 200)), (1, " ".join(x)), (2, " ".join(x[:-5]) + " end"), (10, " ".join(a)), (11, " ".join(b)), (12, " ".join(c))]
+    sets = spark.createDataFrame([(i, brute.near([(i, t)])[i][0], [i // 10]) for i, t in rows], "id long, n long, bands array<long>")
+    got = near.links(sets, frame(spark, rows), near.Measure(), "doc_id", "text").collect()
+    want = brute.near(rows)
+    assert {i: w[1] for i, w in want.items()} == {0: 0, 1: 1, 2: 1, 10: 10, 11: 10, 12: 10}
+    assert {tuple(sorted((r.u, r.v))) for r in got} == {(1, 2), (10, 11), (11, 12)}
