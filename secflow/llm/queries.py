@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secflow.llm import byte_bpe, decontaminate, near, privacy, quality, shards, substrings, suffixes, toxicity, warc
+from secflow.llm import byte_bpe, conversations, decontaminate, merkle, near, privacy, quality, shards, substrings, suffixes, token_files, toxicity, warc
 from secflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,7 +115,88 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+#: crc32 of the ASCII texts ``k``, from a table of 256 entries made by eight shifts of each byte.
+CRC_SQL = """b(i, c, r) AS (SELECT i, CAST(i AS BIGINT), 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, r + 1 FROM b WHERE r < 8),
+crcs AS (SELECT i, c FROM b WHERE r = 8),
+crc(k, j, c) AS (SELECT k, 0, 4294967295 FROM keys UNION ALL SELECT crc.k, j + 1, xor(crc.c >> 8, crcs.c) FROM crc JOIN crcs ON crcs.i = xor(crc.c & 255, ascii(substr(crc.k, j + 1, 1))) WHERE j < length(crc.k)),
+sums AS (SELECT k, xor(c, 4294967295) AS crc FROM crc WHERE j = length(k))"""
+FIELD_SQL = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in merkle.FIELDS)
+OP11_SQL = f"""WITH RECURSIVE keys AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS k FROM documents WHERE doc_id IS NOT NULL), {CRC_SQL},
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({FIELD_SQL}) AS leaf, sha256({FIELD_SQL.replace("CAST(n_chars AS", "CAST(n_chars + 1 AS")}) AS forged, coalesce(crc % {merkle.TAMPER} = 0, FALSE) AS hit
+ FROM documents LEFT JOIN sums ON k = CAST(doc_id AS VARCHAR)),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+t(tree, lvl, l) AS (SELECT tree, 0, list(leaf ORDER BY pos) FROM p GROUP BY tree UNION ALL SELECT tree, lvl + 1, [sha256(l[i] || coalesce(l[i + 1], '')) FOR i IN range(1, len(l) + 1, 2)] FROM t WHERE len(l) > 1),
+s AS (SELECT tree, lvl AS h, l[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM t WHERE len(l) = 1),
+u(lvl, l) AS (SELECT 0, list(subroot ORDER BY place) FROM s UNION ALL SELECT lvl + 1, [sha256(l[i] || coalesce(l[i + 1], '')) FOR i IN range(1, len(l) + 1, 2)] FROM u WHERE len(l) > 1),
+f(doc_id, tree, pos, lvl, h, place, cur, proof, leaf) AS (SELECT doc_id, p.tree, pos, 0, h, place, CASE WHEN hit THEN forged ELSE leaf END, '', leaf FROM p JOIN s ON s.tree = p.tree
+ UNION ALL SELECT doc_id, f.tree, pos // 2, f.lvl + 1, h, place, sha256(CASE WHEN pos % 2 = 1 THEN t.l[pos] || cur ELSE cur || coalesce(t.l[pos + 2], '') END), proof || coalesce(CASE WHEN pos % 2 = 1 THEN t.l[pos] ELSE t.l[pos + 2] END, ''), leaf
+ FROM f JOIN t ON t.tree = f.tree AND t.lvl = f.lvl WHERE len(t.l) > 1),
+g(doc_id, tree, pos, lvl, cur, proof, leaf) AS (SELECT doc_id, tree, place, 0, cur, proof, leaf FROM f WHERE lvl = h
+ UNION ALL SELECT doc_id, tree, pos // 2, g.lvl + 1, sha256(CASE WHEN pos % 2 = 1 THEN u.l[pos] || cur ELSE cur || coalesce(u.l[pos + 2], '') END), proof || coalesce(CASE WHEN pos % 2 = 1 THEN u.l[pos] ELSE u.l[pos + 2] END, ''), leaf
+ FROM g JOIN u ON u.lvl = g.lvl WHERE len(u.l) > 1)
+SELECT doc_id, leaf, subroot, l[1] AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = l[1] AS verified FROM g JOIN s USING (tree) JOIN u ON u.lvl = g.lvl WHERE len(u.l) = 1"""
+
+
+def _best(*options: str) -> str:
+    return f"least({', '.join(options)})"
+
+
+def _grown(state: str, cost: str, edits: str, line: str, began: bool) -> str:
+    """A state ``cost edits chr(1) rows`` with more of each; null stays null. Cost comes first, so ``least`` picks the cheapest, then the least edits."""
+    cut = f"strpos({state}, chr(1))"
+    new = "" if not line else f" || {line if not began else f'chr(10) || {line}'}"
+    return f"(lpad(CAST(CAST({state}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10, {cut} - 10) || '{edits}' || substr({state}, {cut}){new})"
+
+
+def _op12_sql() -> str:
+    """The repair as a recursion over a conversation's rows with one text for each place in the grammar."""
+    extra, may = "CASE WHEN fault = 3 THEN 1 ELSE 0 END", "fault NOT IN (1, 2)"
+    when = lambda cond, x: f"CASE WHEN {cond} THEN {x} END"
+    user, aide = "('user:' || text)", "('assistant:' || text)"
+    keep = lambda s, i, began: when(f"{may} AND initial = '{i}'", _grown(s, extra, "K", "(role || ':' || text)", began))
+    rerole = lambda s, line, began: when(may, _grown(s, f"2 + {extra}", "R", line, began))
+    delete = lambda s: _grown(s, "3", "D", "", True)
+    # places with an insertion before the row
+    into_u = lambda s, began: _grown(s, "2", "I", "'user:'", began)
+    before_u = _best(into_u("s0", False), into_u("s1", True), into_u("s3", True))
+    before_a = _grown("s2", "2", "I", "'assistant:'", True)
+    to_u = [f(s, *more, began) for s, began in (("s0", False), ("s1", True), ("s3", True), ("i3", True)) for f, more in ((keep, ("u",)), (rerole, (user,)))]
+    to_a = [f(s, *more, True) for s in ("s2", "i2") for f, more in ((keep, ("a",)), (rerole, (aide,)))]
+    s0, s1 = delete("s0"), _best(delete("s1"), keep("s0", "s", False))
+    s2, s3 = _best(delete("s2"), delete("i2"), *to_u), _best(delete("s3"), delete("i3"), *to_a)
+    last_u = _grown("s2", "2", "I", "'assistant:'", True)
+    return rf"""WITH RECURSIVE keys AS (SELECT DISTINCT coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations), {CRC_SQL},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, crc % 20 AS what FROM conversations JOIN sums ON k = coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')),
+a AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM c, (SELECT unnest([1, 2]) AS n) WHERE what <> 0 AND (n = 1 OR what = 3)),
+m AS (SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS l FROM a),
+r AS MATERIALIZED (SELECT conv_id, turn, role, text, initial, CASE WHEN l = '' THEN 1 WHEN seen > 1 THEN 2 WHEN l[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+ row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS j, lag(initial) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS prior FROM m),
+w(conv_id, j, s0, s1, s2, s3) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '000000000' || chr(1), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM r
+ UNION ALL SELECT conv_id, j, {s0}, {s1}, {s2}, {s3} FROM (SELECT w.conv_id, r.j, role, text, initial, fault, s0, s1, s2, s3, {before_u} AS i2, {before_a} AS i3 FROM w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.j = w.j + 1)),
+z AS (SELECT conv_id, max(j) AS last FROM w GROUP BY 1), e AS (SELECT w.conv_id, {_best("s0", "s3", last_u)} AS s FROM w JOIN z ON w.conv_id IS NOT DISTINCT FROM z.conv_id AND w.j = z.last),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+ count(*) FILTER (prior IS NOT NULL AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ coalesce(CAST(s[1:9] AS BIGINT), 0) AS cost, coalesce(substr(s, 10, strpos(s, chr(1)) - 10), '') AS audit, sha256(coalesce(substr(s, strpos(s, chr(1)) + 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+OP12_SQL = _op12_sql()
+
+
 QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_shards": op2_shards, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_warc": op5_warc,
                              "op6_decontaminate": op6_decontaminate, "op7_suffixes": op7_suffixes, "op8_privacy": op8_privacy, "op9_near": op9_near,
-                             "op10_substrings": op10_substrings}
-ORACLES: dict[str, str] = {"op1_quality": OP1_SQL, "op5_warc": OP5_SQL, "op6_decontaminate": OP6_SQL, "op9_near": OP9_SQL, "op10_substrings": OP10_SQL}
+                             "op10_substrings": op10_substrings, "op11_merkle": op11_merkle, "op12_conversations": op12_conversations, "op13_token_files": op13_token_files}
+ORACLES: dict[str, str] = {"op1_quality": OP1_SQL, "op5_warc": OP5_SQL, "op6_decontaminate": OP6_SQL, "op9_near": OP9_SQL, "op10_substrings": OP10_SQL, "op11_merkle": OP11_SQL, "op12_conversations": OP12_SQL}
