@@ -125,12 +125,21 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("etype"), "value", k.alias("k"), (k % 20).alias("s"))
 
 
+def flattened(base: DataFrame) -> DataFrame:
+    return base.selectExpr("*", *[f"{sql} AS {name}" for name, sql in FLAT.items()])
+
+
 def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base_events(spark, sf_dir).selectExpr("*", *[f"{sql} AS {name}" for name, sql in FLAT.items()])
+    return flattened(base_events(spark, sf_dir))
 
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as rows of the event schema."""
+    return as_security(base_events(spark, sf_dir))
+
+
+def as_security(base: DataFrame) -> DataFrame:
+    """Rows of :func:`base_events`, in a table or a stream, as rows of the event schema."""
     leaves = {path: F.col(name) for name, path in PATHS.items()}
     leaves |= identity_leaves(F.col("class_uid"), F.col("activity_id"))
     leaves |= {
@@ -139,4 +148,4 @@ def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "unmapped.suricata.flow.bytes_toserver": F.when(F.col("source_type") == "suricata_eve", F.col("bytes_out")),
         "unmapped.zeek.conn.orig_bytes": F.when(F.col("source_type") == "zeek_json", F.col("bytes_out")),
     }
-    return assemble(flat_events(spark, sf_dir), leaves)
+    return assemble(flattened(base), leaves)

@@ -58,8 +58,8 @@ def fold_actor(events: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def matches(events: DataFrame, rules: Sequence[Rule] = RULES, mode: str = "clamp",
-            now_ms: int | None = None) -> DataFrame:
-    """(rule_id, window_ms, tenant, grp, val, t, event_key, companion_of) per event and matching rule.
+            now_ms: int | None = None, received: bool = False) -> DataFrame:
+    """(rule_id, window_ms, tenant, grp, val, t, event_key, companion_of) per event and matching rule; with ``received_ms`` on demand.
 
     ``grp`` is null exactly for stateless rules; a stateful rule ignores events without its group or
     counted value. With ``now_ms``, times too far ahead of it are ignored and smaller leads clamped.
@@ -90,8 +90,9 @@ def matches(events: DataFrame, rules: Sequence[Rule] = RULES, mode: str = "clamp
     # inferred filters.
     rows = events.where(F.col("class_uid").isin(classes)).select(
         "*", detection_tenant(F.col("siem.tenant")).alias("tenant"), event_key().alias("event_key"))
-    return (rows.select("tenant", "event_key", F.explode(F.array(*[row(r) for r in rules])).alias("m"))
-            .where("m is not null").select("tenant", "event_key", "m.*"))
+    more = {"received_ms": F.col("siem.received_ms").cast("bigint").alias("received_ms")} if received else {}
+    return (rows.select("tenant", "event_key", *more.values(), F.explode(F.array(*[row(r) for r in rules])).alias("m"))
+            .where("m is not null").select("tenant", "event_key", *more, "m.*"))
 
 
 def gate(matched: DataFrame, tenant_rules: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
