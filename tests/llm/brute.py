@@ -1,8 +1,10 @@
 """Brute-force versions of the operators, one text at a time."""
 
 import hashlib
+import heapq
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -113,3 +115,91 @@ def private(text):
                               ("card", CARD, lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))), ("phone", PHONE, lambda m: 9 <= len(digits(m)) <= 15)):
         out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if ok(m.group())]
     return out
+
+
+def halved(nodes):
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + 2])) for i in range(0, len(levels[-1]), 2)])
+    return levels
+
+
+def merkle(rows, fields=("doc_id", "source", "lang", "n_chars", "text")):
+    """(doc_id, leaf, subroot, root, proof digest, folded root, verified) of dicts, in no order."""
+    leaf = lambda x: sha("".join("-" if x[c] is None else f"{len(str(x[c]).encode())}:{x[c]}" for c in fields))
+    by = defaultdict(list)
+    for x in rows:
+        by[x["lang"]].append(x)
+    names, trees = sorted(by, key=lambda k: (k is not None, (k or "").encode())), {}
+    for k in names:
+        by[k].sort(key=lambda x: (x["doc_id"] is not None, x["doc_id"] or 0, leaf(x)))
+        trees[k] = halved([leaf(x) for x in by[k]])
+    crown, out = halved([trees[k][-1][0] for k in names]), []
+    for j, k in enumerate(names):
+        for i, x in enumerate(by[k]):
+            now, near = leaf(x), []
+            if x["doc_id"] is not None and x["n_chars"] is not None and zlib.crc32(str(x["doc_id"]).encode()) % 7 == 0:
+                now = leaf(x | {"n_chars": x["n_chars"] + 1})
+            for levels, at in ((trees[k], i), (crown, j)):
+                for level in levels[:-1]:
+                    run = level[at // 2 * 2 : at // 2 * 2 + 2]
+                    near += [z for q, z in enumerate(run) if q != at % 2]
+                    run[at % 2] = now
+                    now, at = sha("".join(run)), at // 2
+            out.append((x["doc_id"], leaf(x), trees[k][-1][0], crown[-1][0], sha("".join(near)), now, now == crown[-1][0]))
+    return out
+
+
+def repair(rows):
+    """conv_id to (gaps, blank, duplicate, truncated, illegal, cost, audit, digest) by a search over all edits, cheapest and least first."""
+    by, out = defaultdict(list), {}
+    for x in rows:
+        by[x["conv_id"]].append(x)
+    follows = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    for k, members in by.items():
+        after = []
+        for x in members:
+            conv, turn, role, text = (" " if v is None else v for v in (k, x["turn"], x["role"], x["text"]))
+            what = zlib.crc32(f"{conv}:{turn}".encode()) % 20
+            text = {1: "", 2: re.sub("[.!?]", "", text)}.get(what, text)
+            after += [(x["turn"], "user" if what == 4 else role, text)] * {0: 0, 3: 2}.get(what, 1)
+        after.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+        seen, faults = set(), []
+        for _, role, text in after:
+            left = text.rstrip(" \t\n\x0b\x0c\r")
+            faults.append("b" if not left else "d" if (role, text) in seen else "t" if left[-1] not in ".!?" else "")
+            seen.add((role, text))
+        turns = {x[0] for x in after if x[0] is not None}
+        heap, done = [(0, "", 0, "", [])], set()
+        while True:
+            cost, audit, i, last, lines = heapq.heappop(heap)
+            if i == len(after) and last in ("", "a"):
+                break
+            if (i, last) in done:
+                continue
+            done.add((i, last))
+            roles = [(c, w) for c, w in (("u", "user"), ("a", "assistant")) if (last, c) in follows]
+            moves = [(2, "I", i, c, [f"{w}:"]) for c, w in roles]
+            if i < len(after):
+                _, role, text = after[i]
+                moves.append((3, "D", i + 1, last, []))
+                if faults[i] not in ("b", "d"):
+                    more = faults[i] == "t"
+                    if (last, role[:1]) in follows:
+                        moves.append((more, "K", i + 1, role[:1], [f"{role}:{text}"]))
+                    moves += [(2 + more, "R", i + 1, c, [f"{w}:{text}"]) for c, w in roles]
+            for c, e, j, to, add in moves:
+                heapq.heappush(heap, (cost + c, audit + e, j, to if e != "D" else last, lines + add))
+        out[k] = (max(turns) - min(turns) + 1 - len(turns) if turns else 0, *[faults.count(c) for c in "bdt"],
+                  sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(after, after[1:])), cost, audit, sha("\n".join(lines)))
+    return out
+
+
+def token_rows(rows, encode):
+    """(doc_id, start, n_tokens, crc) of (doc_id, text) in order; ``encode`` gives the ids of a text."""
+    out, at = [], 0
+    for ident, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+        ids = [*encode(text or ""), 1]
+        out.append((ident, at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
+        at += len(ids)
+    return out
