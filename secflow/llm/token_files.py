@@ -13,7 +13,7 @@ One document is read by its place alone (``fetch``): a seek and one frame.
 
 The dictionary is trained on at most ``SAMPLE`` documents of at most ``SHORT`` characters, chosen by a hash: short documents
 are those it serves. Every document is encoded whole: white space separates what the tokenizer treats for itself, so a
-worker remembers the ids of the runs between spaces and line feeds, up to ``REMEMBERED`` of at most ``LONGEST`` characters.
+worker remembers the ids of the runs between spaces and line feeds.
 
 Defined cases: a null text is an empty text, which has the end id only; null ids come first; rows with equal ids are
 ordered by their texts, and equal rows stay as many; no rows give no files and no rows. Columns other than the two are not read.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -57,36 +58,91 @@ LEVEL = 3
 FILE_BYTES = 32 << 20
 #: Bytes of text that a worker holds encoded at a time.
 SLICE_BYTES = 1 << 20
-REMEMBERED, LONGEST = 100_000, 48
+#: Runs of each half of a worker's memory (more by one slice at most), and characters of a run in it.
+REMEMBERED, LONGEST = 350_000, 48
+LATIN = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u024F]+"
+#: Words of Latin letters that normalisation leaves as many letters (a capital I with a dot becomes two characters); such words with
+#: marks behind them, which are a piece of their own (no quote, and nothing that a special token is made of).
+PLAIN_WORD = re.compile(LATIN).fullmatch
+MARKED = re.compile(rf"({LATIN})([!-&(-/:;=?@\[-`{{}}~]+)").fullmatch
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes."""
+    """Ids of whole texts as little-endian bytes.
+
+    A text is looked up by runs between spaces and line feeds; new runs go to the tokenizer. Found runs stay in the
+    young half of the memory, the old half goes when the young one is full."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def fresh(self, runs: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        runs = text.replace("\n", " ").split(" ")
-        new = list({r for r in runs if r not in self.known})
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {"": b""}
-                new = list({r for r in runs if r})
-            found = dict(zip(new, self.fresh(new), strict=True))
-            if len(new) > REMEMBERED or max(map(len, new)) > LONGEST:
-                self.known.update((r, i) for r, i in found.items() if len(r) <= LONGEST and len(self.known) < REMEMBERED)
-                known = self.known
-                return b"".join([found[r] if r in found else known[r] for r in runs])
-            self.known.update(found)
-        return b"".join(map(self.known.__getitem__, runs))
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def fresh(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of runs. A plain word is one piece, whose last id ends a word, so words are encoded together and cut there."""
+        out, words, others = {}, [], []
+        for run in runs:
+            (words if PLAIN_WORD(run) else others).append(run)
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                others += part
+                continue
+            data, last = ids.tobytes(), 0
+            for run, cut in zip(part, (4 * cuts).tolist(), strict=True):
+                out[run] = data[last:cut]
+                last = cut
+        if others:
+            out.update((r, np.asarray(e.ids, "<u4").tobytes()) for r, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True))
+        return out
+
+    def learned(self, runs: set[str]) -> None:
+        """Brings runs into the young half: from the old half, from a stem and its marks, or from the tokenizer."""
+        young, old = self.young, self.old
+        stems, new = {}, set()
+        for run in runs:
+            if run in old:
+                young[run] = old[run]
+            elif match := MARKED(run):
+                stems[run] = match.groups()
+            else:
+                new.add(run)
+        for part in set().union(*stems.values()).difference(young):
+            if part in old:
+                young[part] = old[part]
+            else:
+                new.add(part)
+        young.update(self.fresh(list(new)))
+        young.update((run, young[stem] + young[marks]) for run, (stem, marks) in stems.items())
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        split = [runs_of(t) for t in texts]
+        missing = set().union(*split).difference(self.young)
+        if missing:
+            self.learned(missing)
+        out = [b"".join(map(self.young.__getitem__, runs)) for runs in split]
+        for run in missing:
+            if len(run) > LONGEST:
+                self.young.pop(run, None)
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {"": b""}, self.young
+        return out
+
+
+def runs_of(text: str) -> list[str]:
+    """The runs of a text. Capitals of plain texts are small letters to the tokenizer, which makes fewer different runs; a text
+    that may hold special tokens keeps its letters."""
+    if text.isascii() and "<|" not in text:
+        text = text.lower()
+    return text.replace("\n", " ").split(" ")
 
 
 @lru_cache(maxsize=2)
@@ -103,7 +159,7 @@ def dictionary(docs: DataFrame, path: str, rows: int, end: int) -> bytes:
     share = min(1.0, 1.2 * SAMPLE / max(rows, 1))
     chosen = docs.where(F.length("text") <= SHORT).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     encoder = encoder_of(path)
-    samples = [encoder.ids(r["text"]) + end_bytes(end) for r in chosen.select("text").limit(SAMPLE).collect()]
+    samples = [x + end_bytes(end) for x in encoder.ids_of([r["text"] for r in chosen.select("text").limit(SAMPLE).collect()])]
     if len(samples) < 8 or sum(map(len, samples)) < 8 * DICTIONARY_BYTES:
         return b""
     return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -139,8 +195,8 @@ def lines_of(path: str, held, end: int):
                 if not index and hi > lo:
                     out.append(json.dumps({"format": FORMAT, "shard": TaskContext.get().partitionId(), "dictionary": sha(held.value), "end": end}).encode())
                     at = len(out[0]) + 1
-                for doc, text in zip(ids[lo:hi], batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True):
-                    data = encoder.ids(text) + ending
+                for doc, data in zip(ids[lo:hi], encoder.ids_of(batch.column(1).slice(lo, hi - lo).to_pylist()), strict=True):
+                    data += ending
                     out.append(packer.compress(data))
                     index.append((doc or 0, doc is None, at, len(out[-1]), len(data) // 4))
                     at += len(out[-1]) + 1
