@@ -6,7 +6,8 @@ is fitted to those tokens; its forward-backward marginals give the offending off
 marginal log-odds, the expected number of toxic tokens and their share of a document give its score by a small
 logistic model.
 
-The fit uses a bounded sample (``SAMPLE`` documents of each class, chosen by a hash of the id); scoring
+The fit uses a bounded sample (``SAMPLE`` documents of each class of at most ``LONGEST`` characters, chosen by a hash of the
+id, and ``TRAIN_TOKENS`` tokens of them in stretches of ``STRETCH``); scoring
 covers every document and the whole of each text. Only words are inputs of a score.
 
 Defined cases: null and empty texts, and texts without a letter, have no tokens and get the score of the
@@ -19,7 +20,7 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,12 +30,12 @@ from pyspark.sql import functions as F
 
 from secflow.llm.common import whole_text
 
-#: Most labelled documents of each class that the fit reads.
-SAMPLE = 2000
+#: Most labelled documents of each class that the fit reads, and characters of each at most: longer ones are not learnt from.
+SAMPLE, LONGEST = 2000, 30_000
 #: Most tokens of a training stretch, and tokens that all stretches have.
 STRETCH, TRAIN_TOKENS = 40, 240_000
-#: Texts that take their steps together.
-SLICE = 4000
+#: Characters of texts that take their steps together, about; words that a worker remembers.
+SLICE, REMEMBERED = 4 << 20, 150_000
 PREDICT_AT = 0.3
 TOKEN = re.compile(r"[^\W\d_]+")
 LIMIT = 20.0
@@ -65,7 +66,7 @@ class Chain:
         if found is None:
             get = self.weights.get
             found = max(-LIMIT, min(LIMIT, get("bias", 0.0) + sum(get(f, 0.0) for f in features(word))))
-            if len(self.known) > 300_000:
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
             self.known[word] = found
         return found
@@ -213,7 +214,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, sample: in
     n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     chosen = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     # at most 2 * sample rows of two numbers: a proven bound
-    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    texts = docs.select("doc_id", whole_text().alias("text")).where(F.length("text") <= LONGEST).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
     rows = texts.dropDuplicates(["text", "toxic"]).orderBy("doc_id", "text").collect()
     total = sum(n.values())
     return [(r["text"], r["toxic"]) for r in rows], (n.get(1, 0) / total if total else 0.0)
@@ -235,20 +236,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     return chain
 
 
-def chain_odds(chain: Chain, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lengths = np.array([len(w) for w in words], dtype=np.int64)
-    starts = np.cumsum(lengths) - lengths
+def chain_odds(chain: Chain, words: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-odds of the tokens of some texts. The words of one text only are held at a time."""
     known, unary = chain.known, chain.unary
-    u = np.fromiter((known[w] if w in known else unary(w) for ws in words for w in ws), dtype=float, count=int(lengths.sum()))
-    return log_odds(u, starts, lengths, chain.moves), starts, lengths
+    u = [np.array([known[w] if w in known else unary(w) for w in ws], dtype=float) for ws in words]
+    lengths = np.array([len(x) for x in u], dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    return log_odds(np.concatenate(u) if u else np.empty(0), starts, lengths, chain.moves), starts, lengths
 
 
 def tagged(chain: Chain, texts: list[str]) -> tuple[np.ndarray, list[list[dict]]]:
     """Scores and toxic spans of some texts."""
     if chain.document is None:
         return np.zeros(len(texts)), [[] for _ in texts]
-    words = [TOKEN.findall(t) for t in texts]
-    odds, starts, lengths = chain_odds(chain, words)
+    odds, starts, lengths = chain_odds(chain, map(TOKEN.findall, texts))
     scores = sigmoid(summary(odds, starts, lengths) @ chain.document)
     spans: list[list[dict]] = []
     bad = odds > 0
@@ -262,14 +263,33 @@ def tagged(chain: Chain, texts: list[str]) -> tuple[np.ndarray, list[list[dict]]
     return scores, spans
 
 
+def tagged_batch(chain: Chain, batch: pd.Series) -> tuple[np.ndarray, list[list[dict]]]:
+    """``tagged`` for a batch, slice by slice. Texts of like length go together, so few slices take as many steps as a long text has."""
+    texts = batch.tolist()
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    scores, spans = np.zeros(len(texts)), [[] for _ in texts]
+    at = 0
+    while at < len(order):
+        end, size = at, 0
+        while end < len(order) and (end == at or size + len(texts[order[end]]) <= SLICE):
+            size += len(texts[order[end]])
+            end += 1
+        some = order[at:end]
+        scores[some], found = tagged(chain, [texts[i] for i in some])
+        for i, mine in zip(some, found, strict=True):
+            spans[i] = mine
+        at = end
+    return scores, spans
+
+
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text, with ``score`` and the offending ``spans`` (code points)."""
     held = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            parts = [tagged(held.value, batch.iloc[i : i + SLICE].tolist()) for i in range(0, len(batch), SLICE)]
-            yield pd.DataFrame({"score": np.concatenate([p[0] for p in parts]) if parts else [], "spans": [s for p in parts for s in p[1]]})
+            scores, spans = tagged_batch(held.value, batch)
+            yield pd.DataFrame({"score": scores, "spans": spans})
 
     tag = F.pandas_udf(run, SCHEMA)
     return docs.withColumn("_tag", tag(whole_text(text_col))).select(*[c for c in docs.columns if c != text_col], "_tag.score", "_tag.spans")
@@ -281,7 +301,6 @@ def clean_rows(docs: DataFrame, chain: Chain, text_col: str = "text", at: float
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            parts = [tagged(held.value, batch.iloc[i : i + SLICE].tolist())[0] for i in range(0, len(batch), SLICE)]
-            yield pd.Series(np.concatenate(parts) if parts else [], dtype=float)
+            yield pd.Series(tagged_batch(held.value, batch)[0], dtype=float)
 
     return docs.where(F.pandas_udf(run, "double")(whole_text(text_col)) < at)
