@@ -131,22 +131,22 @@ def rule_hits(spark, sf):
     return hits.select("tenant", "event_key", "rule_id", "grp", "t", "n")
 
 
-def _covered_sql() -> str:
-    pos = {r.name: i for i, r in enumerate(PICKED)}
-    c, s = pos["common_bruteforce_by_account"], pos["common_bruteforce"]
-    wc = PICKED[c].window_s * 1000
-    events = f"""SELECT c.eid, c.rule_id FROM hits c JOIN hits s ON s.eid = c.eid AND s.rule_id = '{PICKED[s].id}'
-      WHERE c.rule_id = '{PICKED[c].id}' AND NOT EXISTS (SELECT 1 FROM m{c} b WHERE b.tenant = c.tenant AND b.grp = c.grp
-      AND b.t BETWEEN c.t - {wc} AND c.t AND NOT EXISTS (SELECT 1 FROM m{s} d WHERE d.eid = b.eid AND d.grp = s.grp
-      AND d.t BETWEEN s.t - {wc} AND s.t))"""
-    c2, s2 = pos["common_port_scan_by_target"], pos["common_port_scan"]
-    w2 = PICKED[c2].window_s * 1000
-    vals = lambda i: (f"SELECT a.eid, list_sort(list(DISTINCT b.val)) AS vals FROM m{i} a JOIN m{i} b ON a.tenant = b.tenant"
-                      f" AND a.grp = b.grp AND b.t BETWEEN a.t - {w2} AND a.t GROUP BY 1")
-    values = f"""SELECT c.eid, c.rule_id FROM hits c JOIN hits s ON s.eid = c.eid AND s.rule_id = '{PICKED[s2].id}'
-      JOIN ({vals(c2)}) cv ON cv.eid = c.eid JOIN ({vals(s2)}) sv ON sv.eid = c.eid
-      WHERE c.rule_id = '{PICKED[c2].id}' AND cv.vals = sv.vals"""
-    return f"covered AS ({events} UNION ALL {values}), kept AS (SELECT * FROM hits WHERE (eid, rule_id) NOT IN (SELECT eid, rule_id FROM covered))"
+def _covered_sql(rules=PICKED) -> str:
+    """CTEs ending in kept: hits without those of a companion whose windows its sibling's windows hold. Only windows that fired together with
+    the sibling's are looked at; events of a window are compared by number, values as sorted lists."""
+    pos, ctes, found = {r.name: i for i, r in enumerate(rules)}, [], []
+    for r in rules:
+        if not r.stateful or r.companion_of not in pos:
+            continue
+        c, s, w = pos[r.name], pos[r.companion_of], r.window_s * 1000
+        ctes.append(f"p{c} AS (SELECT c.eid, c.tenant, c.rule_id, c.grp, c.t, c.n, s.grp AS sgrp, s.t AS st FROM hits c JOIN hits s ON s.eid = c.eid AND s.rule_id = '{rules[s].id}' WHERE c.rule_id = '{r.id}')")
+        inside = f"m{{0}} b ON b.tenant = p.tenant AND b.grp = p.{{1}} AND b.t BETWEEN p.{{2}} - {w} AND p.{{2}}"
+        if r.distinct:
+            vals = lambda m, grp, t: f"SELECT p.eid, list_sort(list(DISTINCT b.val)) AS vals FROM p{c} p JOIN {inside.format(m, grp, t)} GROUP BY 1"  # noqa: E731,B023
+            found.append(f"SELECT x.eid, '{r.id}' AS rule_id FROM ({vals(c, 'grp', 't')}) x JOIN ({vals(s, 'sgrp', 'st')}) y ON x.eid = y.eid AND x.vals = y.vals")
+        else:
+            found.append(f"SELECT p.eid, p.rule_id FROM p{c} p JOIN {inside.format(c, 'grp', 't')} JOIN m{s} d ON d.eid = b.eid AND d.grp = p.sgrp GROUP BY p.eid, p.rule_id, p.n HAVING count(*) = p.n")
+    return f"{', '.join(ctes)}, covered AS ({' UNION ALL '.join(found)}), kept AS (SELECT h.* FROM hits h ANTI JOIN covered c ON c.eid = h.eid AND c.rule_id = h.rule_id)"
 
 
 @query("companion_suppression", f"WITH {hits_sql()}, {_covered_sql()} SELECT tenant, eid AS event_key, rule_id, grp, t, n FROM kept")
@@ -271,7 +271,17 @@ def after_hours_privileged(spark, sf):
             .where(outside_hours("t", "22:00", "06:00", tz_offset_minutes=60)).select("event_id"))
 
 
-@query("review_queue")
+TITLES_SQL = "tt AS (SELECT * FROM (VALUES " + ", ".join(f"('{r.id}', '{r.title.replace(chr(39), chr(39) * 2)}')" for r in RULES) + ") AS x(rule_id, title))"
+
+
+@query("review_queue", f"""WITH RECURSIVE {hits_sql()}, {_covered_sql()}, {SCORE_SQL.replace(POINTS_SQL, 'pts AS (SELECT NULL AS eid, 0 AS p WHERE FALSE)')}, {WIDTHS_SQL}, {TITLES_SQL},
+tier AS (SELECT tenant, eid, CASE WHEN routing_score >= 60 THEN 'deep' ELSE 'light' END AS tier FROM scored WHERE routing_score >= 20),
+keyed AS (SELECT {ALERT_ID_SQL} AS alert_id, kept.*, tier FROM kept JOIN wd USING (rule_id) JOIN tier USING (tenant, eid)),
+firsts AS MATERIALIZED (SELECT alert_id, t, min((tenant, eid)) AS x FROM keyed GROUP BY 1, 2),
+nx AS MATERIALIZED (SELECT a.alert_id, a.t, min(b.t) AS nt FROM firsts a JOIN firsts b ON a.alert_id = b.alert_id AND b.t >= a.t + {6 * HOUR} GROUP BY 1, 2),
+walk AS (SELECT alert_id, min(t) AS t FROM firsts GROUP BY 1 UNION ALL SELECT w.alert_id, nx.nt AS t FROM walk w JOIN nx ON nx.alert_id = w.alert_id AND nx.t = w.t),
+asked AS (SELECT DISTINCT x FROM walk JOIN firsts USING (alert_id, t))
+SELECT tenant, eid AS event_key, tier, list_sort(list(DISTINCT title)) AS reasons FROM keyed JOIN asked ON x = (tenant, eid) JOIN tt USING (rule_id) GROUP BY 1, 2, 3""")
 def review_queue(spark, sf):
     hits = detect.run_rules(security_events(spark, sf), PICKED, mode="event")
     return detect.review_queue(hits, PICKED, 6 * HOUR)
@@ -316,9 +326,22 @@ def causal_keys(spark, sf):
 NOW_MS = 1_706_500_000_000
 
 
-@query("run_rules_all")
+def shipped_sql() -> str:
+    """CTEs ending in hits of all rules as shipped, at NOW_MS: times over five minutes ahead are in no window, smaller leads count as now (but for the regularity of gaps)."""
+    text = hits_sql(RULES)
+    for i, r in enumerate(RULES):
+        if r.stateful:
+            t = "t" if r.measure == "cv" else f"least(t, {NOW_MS}) AS t"
+            text = text.replace(members_sql(r, f"m{i}"), members_sql(r, f"m{i}").replace(" AS grp, t, ", f" AS grp, {t}, ").replace("FROM ev WHERE ", f"FROM ev WHERE t <= {NOW_MS + 300_000} AND "))
+            if r.max_cv is not None:
+                text = text.replace(f"FROM lv{i} WHERE n >= {r.threshold}", f"FROM lv{i} WHERE n >= {r.threshold} AND n >= 3 AND cv <= {r.max_cv}")
+    return text
+
+
+@query("run_rules_all", f"""WITH {shipped_sql()}, {_covered_sql(RULES)}, wa AS (SELECT * FROM (VALUES {', '.join(f"('{r.id}', CAST({r.window_s * 1000} AS BIGINT))" for r in RULES)}) AS x(rule_id, window_ms))
+SELECT tenant, eid AS event_key, rule_id, window_ms, grp, t, n FROM kept JOIN wa USING (rule_id)""")
 def run_rules_all(spark, sf):
-    """All rules as shipped over all events; tests hold it against each rule run alone."""
+    """All rules as shipped over all events."""
     return detect.run_rules(security_events(spark, sf), RULES, now_ms=NOW_MS)
 
 

@@ -196,6 +196,48 @@ def sliding_cv(df: DataFrame, keys: Sequence[str], window_ms: Span, time: str =
     return level.select(*keys, "t", "n", cv.alias("cv"))
 
 
+def sliding_measures(df: DataFrame, keys: Sequence[str], window_ms: Span, measure: str = "measure", value: str = "val", time: str = "t",
+                     fingerprint: bool = False) -> DataFrame:
+    """Counts, distinct values and regularity of many groups in one pass: (keys, t, n, cv[, f0..f3]).
+
+    ``measure`` says what is asked of a row's group: ``count``, ``distinct`` (of ``value``) or ``cv``; it must be one for all rows of a group, so rules with
+    different measures have different keys. Changes of all three are one typed running state (events or values, gap sums, content words): they share the exchange of
+    neighbours and that of running totals, where :func:`sliding_count`, :func:`sliding_distinct` and :func:`sliding_cv` take two each."""
+    kind = F.col(measure)
+    own = F.when(kind == "distinct", F.col(value).cast("string")).otherwise("")
+    per = df.select(*keys, kind.alias("_m"), own.alias("_v"), F.col(time).alias("t")).groupBy(*keys, "_m", "_v", "t").agg(F.count(F.lit(1)).alias("c"))
+    near = neighbours(per, [*keys, "_m", "_v"], "t", window_ms)
+    distinct, cv = F.col("_m") == "distinct", F.col("_m") == "cv"
+    zero = F.lit(0).cast("bigint")
+    gap_in = F.when(cv, F.col("t") - F.col("prev_t"))
+    gap_out = F.when(cv, F.col("next_t") - F.col("t"))
+    weights = [F.when(distinct, 1).otherwise(F.col("c")).cast("bigint")]
+    names = ["n", "s1", "s2"]
+    if fingerprint:
+        digest = F.sha2(F.col("_v"), 256)
+        names += WORDS
+        weights += [F.when(distinct, F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint")).otherwise(zero) for i in range(len(WORDS))]
+
+    def change(at: Column, sign: int, when: Column, gap: Column, seen: bool) -> Column:
+        gap = F.coalesce(gap, zero)
+        amounts = [F.when(when, w * sign).otherwise(zero) for w in weights]
+        return F.struct(at.alias("t"), *[a.alias(n) for n, a in zip(names, [amounts[0], gap * sign, gap * gap * sign, *amounts[1:]], strict=True)], F.lit(seen).alias("_seen"))
+
+    opens, closes = ~distinct | F.col("prev_t").isNull(), ~distinct | F.col("next_t").isNull()
+    changes = near.select(*keys, F.explode(F.filter(F.array(
+        change(F.col("t"), 1, opens, gap_in, True),
+        F.when(closes, change(F.col("t") + _ms(window_ms) + 1, -1, closes, gap_out, False))
+    ), lambda x: x.isNotNull())).alias("x"), F.col("_m")).select(*keys, "_m", "x.*")
+    changes = changes.groupBy(*keys, "t").agg(*[F.sum(n).alias(n) for n in names], F.max("_seen").alias("_seen"), F.max("_m").alias("_m"))
+    levels = running(changes, keys, "t", {f"_{n}": ("sum", n) for n in names}, block_width(window_ms)).where("_seen")
+    level = levels.select(*keys, "t", "_m", *[F.col(f"_{n}").cast("bigint").alias(n) for n in names])
+    gaps = (F.col("n") - 1).cast("double")
+    mean = F.try_divide(F.col("s1").cast("double"), gaps)
+    var = F.greatest(F.try_divide(F.col("s2").cast("double"), gaps) - mean * mean, F.lit(0.0))
+    regular = F.when((F.col("_m") == "cv") & (F.col("n") >= 3) & (mean > 0), F.sqrt(var) / mean)
+    return level.select(*keys, "t", "n", regular.alias("cv"), *(WORDS if fingerprint else ()))
+
+
 def peak(levels: DataFrame, keys: Sequence[str], measure: str = "n") -> DataFrame:
     """Largest window per key and the first time it was reached: (keys, peak, peak_t)."""
     return (levels.groupBy(*keys)

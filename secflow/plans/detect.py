@@ -18,7 +18,7 @@ from secflow.functions import scalars as S
 from secflow.functions.predicates import closed
 from secflow.operators import sets
 from secflow.operators.cooldown import cooldown
-from secflow.operators.sliding import WORDS, sliding_count, sliding_cv, sliding_distinct
+from secflow.operators.sliding import WORDS, sliding_count, sliding_measures
 from secflow.session import cut_lineage
 from secflow.plans.rules import (CRITICALITY_POINTS, ROUTE_DEEP, ROUTE_LIGHT, RULES, Rule, floor_of, rule_table)
 
@@ -120,24 +120,9 @@ def once(matched: DataFrame) -> DataFrame:
             .agg(F.max(F.struct("t", "val")).alias("x")).select(*keys, "x.t", "x.val"))
 
 
-def windows(stateful: DataFrame, rules: Sequence[Rule] = RULES, fingerprint: bool = False) -> DataFrame:
-    """(rule_id, window_ms, tenant, grp, t, n, cv[, f0..f3]) of every rule at every time it was fed."""
-    used = {r.measure for r in rules if r.stateful}
-    none = F.lit(None).cast("double").alias("cv")
-    words = list(WORDS) if fingerprint else []
-    blank = [F.lit(0).cast("bigint").alias(w) for w in words]
-    parts = []
-    if "count" in used:
-        counts = sliding_count(stateful.where("measure = 'count'"), GROUP, "window_ms")
-        parts.append(counts.select(*GROUP, "t", "n", none, *blank))
-    if "distinct" in used:
-        distinct = sliding_distinct(stateful.where("measure = 'distinct'"), GROUP, "val", "window_ms",
-                                    fingerprint=fingerprint)
-        parts.append(distinct.select(*GROUP, "t", "n", none, *words))
-    if "cv" in used:
-        regular = sliding_cv(stateful.where("measure = 'cv'"), GROUP, "window_ms")
-        parts.append(regular.select(*GROUP, "t", "n", "cv", *blank))
-    return sets.union_all(parts)
+def windows(stateful: DataFrame, fingerprint: bool = False) -> DataFrame:
+    """(rule_id, window_ms, tenant, grp, t, n, cv[, f0..f3]) of every rule at every time it was fed, in one pass for all measures."""
+    return sliding_measures(stateful, GROUP, "window_ms", fingerprint=fingerprint)
 
 
 def crossed(levels: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -153,32 +138,45 @@ def crossed(levels: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 def run_rules(events: DataFrame, rules: Sequence[Rule] = RULES, tenant_rules: DataFrame | None = None,
               mode: str = "clamp", now_ms: int | None = None, suppress: bool = True) -> DataFrame:
     """Rule hits: (tenant, event_key, rule_id, window_ms, grp, t, n), one per event and rule."""
+    return detected(events, rules, tenant_rules, mode, now_ms, suppress)[0]
+
+
+def detected(events: DataFrame, rules: Sequence[Rule] = RULES, tenant_rules: DataFrame | None = None,
+             mode: str = "clamp", now_ms: int | None = None, suppress: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """The hits of :func:`run_rules`, and what fed the windows (null without stateful rules).
+
+    Rules are evaluated once: matches are far fewer than events, and they are written to reliable storage before windows,
+    hits, suppression and evidence read them."""
     matched = matches(events, rules, mode, now_ms)
     if tenant_rules is not None:
         matched = gate(matched, tenant_rules, rules)
+    stateful = any(r.stateful for r in rules)
+    if stateful:
+        matched = cut_lineage(matched)
     columns = ["tenant", "event_key", "rule_id", "window_ms", "grp", "t", "n"]
-    parts = []
+    parts, fed = [], None
     if any(not r.stateful for r in rules):
         alone = matched.where("grp is null").groupBy("tenant", "event_key", "rule_id", "window_ms").agg(F.max("t").alias("t"))
         parts.append(alone.select("tenant", "event_key", "rule_id", "window_ms",
                                   F.lit(None).cast("string").alias("grp"), "t", F.lit(None).cast("bigint").alias("n")))
-    if any(r.stateful for r in rules):
+    if stateful:
         fed = once(matched)
         pairs = suppress and any(r.companion_of in {s.name for s in rules} for r in rules if r.companion_of)
-        over = crossed(windows(fed, rules, fingerprint=pairs), rules)
+        over = crossed(windows(fed, fingerprint=pairs), rules)
         hits = fed.join(over, [*GROUP, "t"])
         if pairs:
             # Few rows (windows over their limit), read four times below: kept on reliable storage.
             hits = drop_covered(cut_lineage(hits), fed)
         parts.append(hits.select(*columns))
-    return sets.union_all(parts).select(*columns)
+    return sets.union_all(parts).select(*columns), fed
 
 
 def drop_covered(hits: DataFrame, fed: DataFrame) -> DataFrame:
     """Hits without those of a companion whose sibling's alert already carries the same evidence.
 
     Count windows: every event of the companion's window lies in the sibling's, i.e. the number of
-    events in the companion's group that are also in the sibling's group equals the whole count.
+    events in the companion's group that are also in the sibling's group equals the whole count; only
+    groups that fired together with their sibling are counted.
     Distinct windows: both windows hold the same set of values (equal count and content sums).
     """
     sib = hits.select("tenant", "event_key", F.col("rule_id").alias("companion_of"), F.col("grp").alias("s_grp"),
@@ -187,13 +185,14 @@ def drop_covered(hits: DataFrame, fed: DataFrame) -> DataFrame:
     same_values = reduce(lambda a, w: a & (F.col(w) == F.col(f"s_{w}")), WORDS, F.col("n") == F.col("s_n"))
     covered_values = pair.where((F.col("measure") == "distinct") & same_values)
 
-    member = fed.where("measure = 'count'")
-    in_sibling = member.select("tenant", "event_key", F.col("rule_id").alias("companion_of"), F.col("grp").alias("s_grp"))
-    shared = (member.where("companion_of is not null").join(in_sibling, ["tenant", "event_key", "companion_of"])
-              .select(*GROUP, "s_grp", "t"))
+    counted = pair.where(F.col("measure") == "count")
+    fired = counted.select(*GROUP, "companion_of", "s_grp").distinct()
+    # events of the groups that fired, with each sibling group they fired with, and of those the ones that are in it
+    member = fed.where("measure = 'count' and companion_of is not null").select(*GROUP, "companion_of", "event_key", "t").join(fired, [*GROUP, "companion_of"])
+    in_sibling = fed.where("measure = 'count'").select("tenant", "event_key", F.col("rule_id").alias("companion_of"), F.col("grp").alias("s_grp"))
+    shared = member.join(in_sibling, ["tenant", "event_key", "companion_of", "s_grp"]).select(*GROUP, "s_grp", "t")
     shared_n = sliding_count(shared, [*GROUP, "s_grp"], "window_ms").withColumnRenamed("n", "both")
-    covered_events = (pair.where(F.col("measure") == "count").join(shared_n, [*GROUP, "s_grp", "t"])
-                      .where(F.col("both") == F.col("n")))
+    covered_events = counted.join(shared_n, [*GROUP, "s_grp", "t"]).where(F.col("both") == F.col("n"))
     covered = (covered_values.select("tenant", "event_key", "rule_id")
                .unionByName(covered_events.select("tenant", "event_key", "rule_id")))
     return hits.join(covered, ["tenant", "event_key", "rule_id"], "left_anti")
@@ -299,11 +298,11 @@ def causal_keys(events: DataFrame) -> DataFrame:
 def make_alerts(events: DataFrame, rules: Sequence[Rule] = RULES, tenant_rules: DataFrame | None = None,
                 points: DataFrame | None = None, mode: str = "clamp", now_ms: int | None = None) -> DataFrame:
     """The alert table: one row per alert id, carrying the newest hit's event and the window's evidence."""
-    hits = cut_lineage(run_rules(events, rules, tenant_rules, mode, now_ms))
+    hits, fed = detected(events, rules, tenant_rules, mode, now_ms)
+    hits = cut_lineage(hits)
     exposure = exposure_points(events, points) if points is not None else None
     scored = score_events(hits, rules, exposure).select("tenant", "event_key", "score")
     alerts = collapse(hits).join(scored, ["tenant", "event_key"])
-    fed = once(matches(events, rules, mode, now_ms)) if any(r.stateful for r in rules) else None
     table = rule_table(events.sparkSession, tuple(rules)).select(
         "rule_id", "rule_title", "level", F.struct("framework", "tactic", "technique").alias("mitre"))
     # only events that raised an alert are looked at again

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secflow.functions import scalars as S
 from secflow.operators import sets
+from secflow.operators.quantiles import quantiles
 from secflow.operators.sliding import peak, sliding_distinct
 
 LOW_N = 10
@@ -52,24 +53,9 @@ def alert_volume(alerts: DataFrame) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Exact interpolated percentiles per group.
-
-    Values are counted first, so a group is its distinct values; running counts give each value its ranks,
-    and the two ranks around a percentile are picked. No task holds the rows of a group."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(by).orderBy("v"))
-    ranks = counts.withColumn("hi", upto - 1).withColumn("lo", F.col("hi") - F.col("c") + 1).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("lo") <= rank) & (rank <= F.col("hi")), F.col("v")))
-
-    out = []
-    for p in shares:
-        place = (F.col("n") - 1) * F.lit(p)
-        low, part = F.floor(place), place - F.floor(place)
-        high = F.least(low + 1, F.col("n") - 1)
-        out.append(F.round(at(low) * (1 - F.max(part)) + at(high) * F.max(part), 6).alias(f"p{int(p * 100)}"))
-    return ranks.groupBy(by).agg(*out)
+    """Exact interpolated percentiles per group, by radix refinement: no task holds the values of a group."""
+    found = quantiles(df, [by], value, shares)
+    return found.select(by, *[F.round(f"q{i}", 6).alias(f"p{int(p * 100)}") for i, p in enumerate(shares)])
 
 
 def label_ceiling(cases: DataFrame) -> DataFrame:
