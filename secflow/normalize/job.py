@@ -12,6 +12,7 @@ from secflow.functions.predicates import closed
 from secflow.normalize import json_sources as J
 from secflow.normalize import sources as X
 from secflow.normalize.assemble import assemble, identity_leaves
+from secflow.normalize.enrich import enrich
 from secflow.normalize.sources import Source
 from secflow.operators import sets
 from secflow.schema import EVENT_CLASSES
@@ -141,11 +142,14 @@ def contract_errors() -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(f"bad {name}")) for name, test in bad.items()]))
 
 
-def normalize(bronze: DataFrame, sources: Sequence[str] = tuple(SOURCES)) -> tuple[DataFrame, DataFrame]:
-    """(events, dead letter). Routing runs once and lays bronze out by source; each branch then reads its own part."""
-    routed = staged(resolved(bronze), "resolved_source")
+def normalize(bronze: DataFrame, sources: Sequence[str] = tuple(SOURCES), cut: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, dead letter). Routing runs once and lays bronze out by source; each branch then reads its own part.
+
+    Records in envelopes of known shippers are unwrapped first. ``cut`` (``enrich.reference_segments``) adds reputation and country to endpoints."""
+    routed = staged(resolved(unwrap_shipper(bronze)), "resolved_source")
     branches = sets.union_all([normalize_source(routed.where(F.col("resolved_source") == s), s) for s in sources])
     events = branches.where(F.size("_errors") == 0).drop("_raw", "_errors")
+    events = events if cut is None else enrich(events, cut)
     failed = branches.where(F.size("_errors") > 0).select("_raw.*", F.col("_errors").alias("errors"))
     unrouted = (routed.where(~closed(F.col("resolved_source").isin(*sources)))
                 .select("source_type", "raw", "meta", F.array(F.lit("ambiguous source")).alias("errors")))
