@@ -133,9 +133,15 @@ def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flattened(base_events(spark, sf_dir))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out by a key if they lie in fewer parts than there are cores (one small file); else as they are, without an exchange."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as rows of the event schema."""
-    return as_security(base_events(spark, sf_dir))
+    return as_security(spread(base_events(spark, sf_dir), "event_id"))
 
 
 def as_security(base: DataFrame) -> DataFrame:

@@ -197,9 +197,11 @@ def sliding_cv(df: DataFrame, keys: Sequence[str], window_ms: Span, time: str =
 
 
 def sliding_measures(df: DataFrame, keys: Sequence[str], window_ms: Span, measure: str = "measure", value: str = "val", time: str = "t",
-                     fingerprint: bool = False) -> DataFrame:
+                     fingerprint: Column | None = None) -> DataFrame:
     """Counts, distinct values and regularity of many groups in one pass: (keys, t, n, cv[, f0..f3]).
 
+    ``fingerprint`` says of which groups the content words are wanted; they are 0 for the others.
+
     ``measure`` says what is asked of a row's group: ``count``, ``distinct`` (of ``value``) or ``cv``; it must be one for all rows of a group, so rules with
     different measures have different keys. Changes of all three are one typed running state (events or values, gap sums, content words): they share the exchange of
     neighbours and that of running totals, where :func:`sliding_count`, :func:`sliding_distinct` and :func:`sliding_cv` take two each."""
@@ -213,10 +215,10 @@ def sliding_measures(df: DataFrame, keys: Sequence[str], window_ms: Span, measur
     gap_out = F.when(cv, F.col("next_t") - F.col("t"))
     weights = [F.when(distinct, 1).otherwise(F.col("c")).cast("bigint")]
     names = ["n", "s1", "s2"]
-    if fingerprint:
+    if fingerprint is not None:
         digest = F.sha2(F.col("_v"), 256)
         names += WORDS
-        weights += [F.when(distinct, F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint")).otherwise(zero) for i in range(len(WORDS))]
+        weights += [F.when(distinct & fingerprint, F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint")).otherwise(zero) for i in range(len(WORDS))]
 
     def change(at: Column, sign: int, when: Column, gap: Column, seen: bool) -> Column:
         gap = F.coalesce(gap, zero)
@@ -235,7 +237,7 @@ def sliding_measures(df: DataFrame, keys: Sequence[str], window_ms: Span, measur
     mean = F.try_divide(F.col("s1").cast("double"), gaps)
     var = F.greatest(F.try_divide(F.col("s2").cast("double"), gaps) - mean * mean, F.lit(0.0))
     regular = F.when((F.col("_m") == "cv") & (F.col("n") >= 3) & (mean > 0), F.sqrt(var) / mean)
-    return level.select(*keys, "t", "n", regular.alias("cv"), *(WORDS if fingerprint else ()))
+    return level.select(*keys, "t", "n", regular.alias("cv"), *(WORDS if fingerprint is not None else ()))
 
 
 def peak(levels: DataFrame, keys: Sequence[str], measure: str = "n") -> DataFrame:

@@ -120,9 +120,16 @@ def once(matched: DataFrame) -> DataFrame:
             .agg(F.max(F.struct("t", "val")).alias("x")).select(*keys, "x.t", "x.val"))
 
 
-def windows(stateful: DataFrame, fingerprint: bool = False) -> DataFrame:
-    """(rule_id, window_ms, tenant, grp, t, n, cv[, f0..f3]) of every rule at every time it was fed, in one pass for all measures."""
-    return sliding_measures(stateful, GROUP, "window_ms", fingerprint=fingerprint)
+def paired(rules: Sequence[Rule]) -> list[str]:
+    """Ids of companions whose sibling is among ``rules``, and of those siblings."""
+    ids = {r.name: r.id for r in rules}
+    return sorted({x for r in rules if r.companion_of in ids for x in (r.id, ids[r.companion_of])})
+
+
+def windows(stateful: DataFrame, compared: Sequence[str] = ()) -> DataFrame:
+    """(rule_id, window_ms, tenant, grp, t, n, cv[, f0..f3]) of every rule at every time it was fed, in one pass for all measures; with content
+    words for the rules that are ``compared``."""
+    return sliding_measures(stateful, GROUP, "window_ms", fingerprint=F.col("rule_id").isin(*compared) if compared else None)
 
 
 def crossed(levels: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -161,8 +168,8 @@ def detected(events: DataFrame, rules: Sequence[Rule] = RULES, tenant_rules: Dat
                                   F.lit(None).cast("string").alias("grp"), "t", F.lit(None).cast("bigint").alias("n")))
     if stateful:
         fed = once(matched)
-        pairs = suppress and any(r.companion_of in {s.name for s in rules} for r in rules if r.companion_of)
-        over = crossed(windows(fed, fingerprint=pairs), rules)
+        pairs = paired(rules) if suppress else []
+        over = crossed(windows(fed, pairs), rules)
         hits = fed.join(over, [*GROUP, "t"])
         if pairs:
             # Few rows (windows over their limit), read four times below: kept on reliable storage.
