@@ -20,6 +20,7 @@ from secflow.operators import sets
 from secflow.operators.cooldown import cooldown
 from secflow.operators.sliding import WORDS, sliding_count, sliding_measures
 from secflow.session import cut_lineage
+from secflow.plans.identity import fold_events
 from secflow.plans.rules import (CRITICALITY_POINTS, ROUTE_DEEP, ROUTE_LIGHT, RULES, Rule, floor_of, rule_table)
 
 DEFAULT_TENANT = "default"
@@ -41,22 +42,6 @@ def event_key() -> Column:
     return F.coalesce(S.non_empty(F.col("siem.ingest_id")), F.concat(F.lit("sha:"), F.substring(F.sha1(F.to_json(said)), 1, 16)))
 
 
-def fold_actor(events: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Events with ``actor.user.name`` rewritten to ``name@canonical`` where the tenant lists the realm.
-
-    ``aliases`` has one row per (tenant, spelling): the canonical realm. Unlisted names stay as they are.
-    """
-    split = S.account_realm(S.fold_account(F.col("actor.user.name")))
-    side = aliases.select(F.col("tenant").alias("_t"), F.lower(F.trim("spelling")).alias("_r"),
-                          F.col("canonical").alias("_c")).dropDuplicates(["_t", "_r"])
-    joined = (events.withColumn("_a", split)
-              .join(side, (F.col("siem.tenant") == F.col("_t")) & (F.col("_a.realm") == F.col("_r")), "left"))
-    plain = (F.length("_a.name") > 0) & ~F.col("_a.name").rlike(r"[\\@]")
-    folded = F.when(plain & F.col("_c").isNotNull(), F.concat(F.col("_a.name"), F.lit("@"), F.col("_c")))
-    renamed = F.when(folded.isNotNull(), F.col("actor").withField("user.name", folded)).otherwise(F.col("actor"))
-    return joined.withColumn("actor", renamed).select(*events.columns)
-
-
 def matches(events: DataFrame, rules: Sequence[Rule] = RULES, mode: str = "clamp",
             now_ms: int | None = None, received: bool = False) -> DataFrame:
     """(rule_id, window_ms, tenant, grp, val, t, event_key, companion_of) per event and matching rule; with ``received_ms`` on demand.
@@ -143,17 +128,21 @@ def crossed(levels: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def run_rules(events: DataFrame, rules: Sequence[Rule] = RULES, tenant_rules: DataFrame | None = None,
-              mode: str = "clamp", now_ms: int | None = None, suppress: bool = True) -> DataFrame:
+              mode: str = "clamp", now_ms: int | None = None, suppress: bool = True, aliases: DataFrame | None = None) -> DataFrame:
     """Rule hits: (tenant, event_key, rule_id, window_ms, grp, t, n), one per event and rule."""
-    return detected(events, rules, tenant_rules, mode, now_ms, suppress)[0]
+    return detected(events, rules, tenant_rules, mode, now_ms, suppress, aliases)[0]
 
 
 def detected(events: DataFrame, rules: Sequence[Rule] = RULES, tenant_rules: DataFrame | None = None,
-             mode: str = "clamp", now_ms: int | None = None, suppress: bool = True) -> tuple[DataFrame, DataFrame | None]:
+             mode: str = "clamp", now_ms: int | None = None, suppress: bool = True, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """The hits of :func:`run_rules`, and what fed the windows (null without stateful rules).
 
+    With ``aliases`` (``identity.realm_aliases``) accounts are folded before any rule sees them.
+
     Rules are evaluated once: matches are far fewer than events, and they are written to reliable storage before windows,
     hits, suppression and evidence read them."""
+    if aliases is not None:
+        events = fold_events(events, aliases, detection_tenant(F.col("siem.tenant")))
     matched = matches(events, rules, mode, now_ms)
     if tenant_rules is not None:
         matched = gate(matched, tenant_rules, rules)
