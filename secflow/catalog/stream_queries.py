@@ -12,6 +12,7 @@ from secflow.catalog.registry import query
 from secflow.catalog.rule_queries import FILTERS, level_sql, members_sql, stretched
 from secflow.plans.rules import BY_NAME
 from secflow.session import checkpoint_dir
+from secflow.streaming import job
 from secflow.streaming.windows_stream import replayed, rule_windows
 
 DAY = 86_400_000
@@ -46,7 +47,7 @@ def _fed_sql(ev: str, out: str = "fed") -> str:
     return f"{', '.join(ctes)}, {out} AS ({' UNION ALL '.join(parts)})"
 
 
-def _streamed(spark, sf, lateness: str, order) -> DataFrame:
+def _streamed(spark, sf, lateness: str, order, each=None, path: str = "") -> DataFrame | None:
     """The parts of the events table in an order of arrival, closed by an event that no rule matches, far behind all others."""
     base = base_events(spark, sf)
     first, last = base.agg(F.min("t"), F.max("t")).first()
@@ -54,8 +55,9 @@ def _streamed(spark, sf, lateness: str, order) -> DataFrame:
     whole = [base.where((F.lit(True) if lo is None else F.col("t") >= lo) & (F.lit(True) if hi is None else F.col("t") < hi)) for lo, hi in zip(cuts, cuts[1:])]
     names = base.columns
     closing = spark.createDataFrame([(-1, last + 400 * DAY, 1, "view", 0.0, 18, 18)], base.select(*names).schema)
-    out = replayed([*[whole[i] for i in order], closing], lambda s: rule_windows(as_security(s), STREAMED, lateness, "event"), f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}")
-    return out.where(~F.coalesce(F.col("event_key") == "e-1", F.lit(False))).select("kind", "rule_id", "tenant", "grp", "t", "rows", "n", F.round("cv", 6).alias("cv"), "event_key")
+    out = replayed([*[whole[i] for i in order], closing], lambda s: rule_windows(as_security(s), STREAMED, lateness, "event"),
+                   path or f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}", each)
+    return None if each else out.where(~F.coalesce(F.col("event_key") == "e-1", F.lit(False))).select("kind", "rule_id", "tenant", "grp", "t", "rows", "n", F.round("cv", 6).alias("cv"), "event_key")
 
 
 def _summed(out: DataFrame) -> DataFrame:
@@ -84,3 +86,17 @@ UNION ALL SELECT 'late' AS kind, rule_id, tenant, grp, t, count(*) AS rows, NULL
 def stream_late(spark, sf):
     """The last third arrives first, which moves the watermark into the second: rows behind it are named, the others are as in a batch of them alone."""
     return _summed(_streamed(spark, sf, f"{LATE_DAYS} days", (2, 0, 1)))
+
+
+LIMITS_SQL = " OR ".join(f"(rule_id = '{r.id}' AND n >= {r.threshold}{f' AND cv <= {r.max_cv}' if r.max_cv is not None else ''})" for r in STREAMED if r.stateful)
+SPAN_SQL = "CASE rule_id " + " ".join(f"WHEN '{r.id}' THEN {max(r.window_s, 1) * 1000}" for r in STREAMED) + " END"
+
+
+@query("stream_alerts", f"""WITH {EV_SQL}, {_windows_sql('ev')}
+SELECT concat(rule_id, ':', tenant, ':', length(grp), ':', grp, ':', t // {SPAN_SQL}) AS alert_id, max(t) AS time, arg_max(n, t) AS n, 'new' AS status FROM w WHERE {LIMITS_SQL} GROUP BY 1
+UNION ALL SELECT concat('{STREAMED[-1].id}', ':', tenant, ':', ingest_id) AS alert_id, t AS time, NULL AS n, 'new' AS status FROM ev WHERE {FILTERS[STREAMED[-1].name]}""")
+def stream_alerts(spark, sf):
+    """The streaming job: the alert table that its batches leave."""
+    path = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    _streamed(spark, sf, "400 days", (2, 0, 1), job.each_batch(path, STREAMED, 16), path)
+    return job.alert_table(spark, path, 16).read().where(~F.col("alert_id").endswith(":e-1")).select("alert_id", "time", "n", "status")

@@ -288,8 +288,9 @@ def rule_windows(events: DataFrame, rules: Sequence[Rule] = RULES, lateness: str
     return fed(marked, rules, mode).groupBy(*KEYS).transformWithStateInPandas(RuleWindows(), OUT, "Append", "EventTime")
 
 
-def replayed(parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
-    """What a stream makes of ``parts`` that arrive one after another: each is appended to a folder, and the query goes on from its checkpoint."""
+def replayed(parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], path: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+    """What a stream makes of ``parts`` that arrive one after another: each is appended to a folder, and the query goes on from its
+    checkpoint. With ``each`` the batches go to that function and nothing is returned."""
     spark, provider = parts[0].sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -297,8 +298,8 @@ def replayed(parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame]
         for part in parts:
             part.write.mode("append").parquet(f"{path}/in")
             made = build(spark.readStream.schema(parts[0].schema).parquet(f"{path}/in"))
-            query = made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
-            query.awaitTermination()
+            sink = made.writeStream.foreachBatch(each) if each else made.writeStream.format("parquet").option("path", f"{path}/out")
+            sink.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)
-    return spark.read.schema(made.schema).parquet(f"{path}/out")
+    return None if each else spark.read.schema(made.schema).parquet(f"{path}/out")
