@@ -1,56 +1,9 @@
-"""Incremental detection: keyed sliding state, tumbling and session forms, and multi-table sinks."""
+"""Built-in stream forms: redelivery taken out, tumbling counts and session tracks. Sliding windows of rules are in ``windows_stream``."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-
-class SlidingState(StatefulProcessor):
-    """Per (rule, tenant, group): member -> newest time within the window. Emits the size at each event.
-
-    A member is an event id (count rules) or a value (distinct rules). Time to live drops idle keys.
-    """
-
-    def __init__(self, window_ms: int, ttl_ms: int | None = None):
-        self.window_ms, self.ttl_ms = window_ms, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.members = handle.getMapState("members", "member string", "t bigint", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fed = pd.concat(list(rows)).sort_values(["t", "member"])
-        state = {k[0]: v[0] for k, v in self.members.iterator()} if self.members.exists() else {}
-        out, order = [], sorted(state.values())
-        for t, member in zip(fed["t"].astype(int), fed["member"], strict=True):
-            held = state.get(member)
-            if held is None or t > held:
-                if held is not None:
-                    order.pop(bisect_left(order, held))
-                insort(order, t)
-                state[member] = t
-            out.append((*key, t, member, bisect_right(order, t) - bisect_left(order, t - self.window_ms)))
-        newest = max(state.values())
-        for member, t in state.items():
-            if t >= newest - self.window_ms:
-                self.members.updateValue((member,), (t,))
-            elif self.members.containsKey((member,)):
-                self.members.removeKey((member,))
-        yield pd.DataFrame(out, columns=["rule_id", "tenant", "grp", "t", "member", "n"])
-
-    def close(self) -> None:
-        pass
-
-
-def sliding_stream(fed: DataFrame, window_ms: int, ttl_ms: int | None = None) -> DataFrame:
-    """(rule_id, tenant, grp, t, member, n) of a stream with those first four columns and ``member``. Needs RocksDB state."""
-    return fed.groupBy("rule_id", "tenant", "grp").transformWithStateInPandas(
-        SlidingState(window_ms, ttl_ms), "rule_id string, tenant string, grp string, t bigint, member string, n bigint", "Append", "None")
 
 
 def redelivered_once(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -66,21 +19,3 @@ def tumbling_counts(events: DataFrame, keys: list[str], width: str, lateness: st
 def track_sessions(alerts: DataFrame, keys: list[str], gap: str = "24 hours", lateness: str = "1 hour") -> DataFrame:
     return (alerts.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap), *keys).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
             .select(*keys, F.unix_millis("lo").alias("first_seen"), F.unix_millis("hi").alias("last_seen"), "n"))
-
-
-def split_late(events: DataFrame, watermark_ms: int) -> tuple[DataFrame, DataFrame]:
-    """(in time, late): late rows are kept aside with a reason instead of being dropped."""
-    late = F.col("t") < watermark_ms
-    return events.where(~late), events.where(late).withColumn("reason", F.lit("late"))
-
-
-def fan_out(**writers: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that feeds several tables from one read of the micro-batch."""
-    def write(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        try:
-            for writer in writers.values():
-                writer(batch)
-        finally:
-            batch.unpersist()
-    return write

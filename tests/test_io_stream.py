@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from secflow.normalize import job
-from secflow.operators.sliding import sliding_count
 from secflow.sources import readers, sinks
 from secflow.streaming import detect_stream as stream
 
@@ -42,24 +41,6 @@ def test_routed_write_and_read(spark, tmp_path):
     assert [r.id for r in readers.read_table(spark, base, "events-bank", "acme").collect()] == ["e1"]
 
 
-def test_sliding_stream_equals_batch(spark, tmp_path):
-    rows = [("r", "t", f"g{i % 3}", i * 700, f"m{i}") for i in range(60)]
-    df = spark.createDataFrame(rows, "rule_id string, tenant string, grp string, t bigint, member string")
-    src = str(tmp_path / "in")
-    df.where("t < 20000").coalesce(1).write.mode("append").parquet(src)
-    df.where("t >= 20000").coalesce(1).write.mode("append").parquet(src)
-    fed = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    name = "sliding_out"
-    q = (stream.sliding_stream(fed, 10_000).writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    got = {(r.grp, r.t): r.n for r in spark.table(name).collect()}
-    want = {(r.grp, r.t): r.n for r in sliding_count(df, ["grp"], 10_000).collect()}
-    assert got.keys() == want.keys()
-    # Files may arrive in either order: a batch that comes second never sees less than the first did.
-    assert all(got[k] <= want[k] for k in want) and sum(got[k] == want[k] for k in want) >= len(want) // 2
-
-
 def test_tumbling_stream(spark, tmp_path):
     df = spark.createDataFrame([(i * 30_000, "a") for i in range(10)], "t bigint, k string").withColumn("ts", F.timestamp_millis("t"))
     src = str(tmp_path / "in")
@@ -68,3 +49,26 @@ def test_tumbling_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("tumbling_out").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.start_ms: r.n for r in spark.table("tumbling_out").collect()} == {i * 60_000: 2 for i in range(5)}
+
+
+def run(out, tmp_path, name, mode="append"):
+    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return out.sparkSession.table(name).collect()
+
+
+def test_redelivered_once(spark, tmp_path):
+    rows = [("a", "e1", 1000), ("a", "e1", 1000), ("b", "e1", 1000), ("a", "e2", 2000), ("a", "e1", 1500)]
+    df = spark.createDataFrame(rows, "tenant string, ingest_id string, t bigint").withColumn("ts", F.timestamp_millis("t"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = run(stream.redelivered_once(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), tmp_path, "once_out")
+    assert sorted((r.tenant, r.ingest_id) for r in got) == [("a", "e1"), ("a", "e2"), ("b", "e1")]
+
+
+def test_track_sessions_stream(spark, tmp_path):
+    hour = 3_600_000
+    times = [0, 5 * hour, 29 * hour - 1, 60 * hour, 61 * hour, 400 * hour]  # the last one closes what is before it
+    df = spark.createDataFrame([("k", t) for t in times], "k string, t bigint").withColumn("ts", F.timestamp_millis("t"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = run(stream.track_sessions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ["k"]), tmp_path, "session_out")
+    assert sorted((r.first_seen, r.last_seen, r.n) for r in got) == [(0, 29 * hour - 1, 3), (60 * hour, 61 * hour, 2)]
