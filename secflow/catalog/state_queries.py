@@ -78,3 +78,30 @@ def alert_table(spark, sf):
     alerts.apply(part(2), sinks.upsert_alerts, "alerts", 2)
     alerts.apply(rows.withColumn("time", F.col("time") - 400 * DAY).withColumn("payload", F.lit(-1).cast("bigint")), sinks.upsert_alerts, "alerts", 3)
     return alerts.read()
+
+
+LISTED_RULES = tuple(BY_NAME[n] for n in ("agent_egress_non_allowlisted_domain", "common_after_hours_admin", "common_large_outbound_flow", "ot_write_unlisted_source", "ot_opcua_write_unauthorized_node"))
+# List entries by supplier: exact texts, networks of several lengths, and addresses.
+ENTRIES = {"service_accounts": "CASE WHEN s_suppkey % 3 = 0 THEN concat('User', s_suppkey % 20) END", "agent_egress_domains": "CASE WHEN s_suppkey % 2 = 0 THEN concat('x', s_suppkey, '.example') END",
+           "opcua_authorized_nodes": "CASE WHEN s_suppkey % 4 = 0 THEN concat('ns=2;s=', s_suppkey % 9) END", "large_transfer_destinations": "CASE WHEN s_suppkey % 5 = 0 THEN concat('203.0.113.', s_suppkey % 50) END",
+           "corp_ranges": "concat('10.9.', s_suppkey % 3, '.0/24')", "ot_authorized_writers": "concat('10.', s_suppkey % 4, '.0.', 8 * (s_suppkey % 2), '/29')"}
+NOT_LISTED = {"agent_egress_non_allowlisted_domain": ("mcp_domain", "mcp_domain IN (SELECT e FROM en WHERE l = 'agent_egress_domains')"),
+              "common_after_hours_admin": ("user_name", "user_name IN (SELECT e FROM en WHERE l = 'service_accounts')"),
+              "common_large_outbound_flow": ("dst_ip", "dst_ip IN (SELECT e FROM en WHERE l = 'large_transfer_destinations') OR concat(regexp_extract(dst_ip, '^[0-9]+.[0-9]+.[0-9]+', 0), '.0/24') IN (SELECT e FROM en WHERE l = 'corp_ranges')"),
+              "ot_write_unlisted_source": ("src_ip", "concat(regexp_extract(src_ip, '^[0-9]+.[0-9]+.[0-9]+', 0), '.', 8 * (CAST(split_part(src_ip, '.', 4) AS BIGINT) // 8), '/29') IN (SELECT e FROM en WHERE l = 'ot_authorized_writers')"),
+              "ot_opcua_write_unauthorized_node": ("ot_node", "ot_node IN (SELECT e FROM en WHERE l = 'opcua_authorized_nodes')")}
+
+
+def _base_filter(name: str) -> str:
+    """A rule's filter without its shipped entries."""
+    return FILTERS[name].rpartition(" AND NOT (dst_ip")[0] if name == "common_large_outbound_flow" else FILTERS[name]
+
+
+@query("listed_accounts", f"""WITH {EV_SQL}, en AS (SELECT DISTINCT l, e FROM ({' UNION ALL '.join(f"SELECT '{n}' AS l, {sql} AS e FROM supplier" for n, sql in ENTRIES.items())}) WHERE e IS NOT NULL)
+{' UNION ALL '.join(f"SELECT tenant, ingest_id AS event_key, '{r.id}' AS rule_id FROM ev WHERE {_base_filter(r.name)} AND NOT coalesce({NOT_LISTED[r.name][1]}, false)" for r in LISTED_RULES)}""")
+def listed_accounts(spark, sf):
+    """Five rules with lists from a table, most of which ship empty."""
+    entries = F.array(*[F.struct(F.lit(n).alias("list"), F.expr(sql).alias("entry")) for n, sql in ENTRIES.items()])
+    lists = table(spark, sf, "supplier").select(F.explode(entries).alias("x")).select("x.*").where("entry is not null").distinct()
+    hits = detect.run_rules(security_events(spark, sf), LISTED_RULES, mode="event", lists=lists)
+    return hits.select("tenant", "event_key", "rule_id")

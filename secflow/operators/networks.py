@@ -53,20 +53,20 @@ def _level(six: Column, length: Column) -> Column:
     return F.when(six, steps[True]).otherwise(steps[False])
 
 
-def segments(nets: DataFrame, cidr: str, value_cols: Sequence[str], rank: Column | None = None, table: str = "") -> DataFrame:
+def segments(nets: DataFrame, cidr: str, value_cols: Sequence[str], rank: Column | None = None, table: str | Column = "") -> DataFrame:
     """The stretches of address space that ``nets`` make: (table, six, level, bucket, pos, side, val).
 
     From ``pos`` on (side 0, the beginning of a network) or behind it (side 2, an end) the network in force is ``val``, null for none.
     To be made once for a table and used for many lookups."""
     text = F.trim(F.col(cidr))
     base, tail = F.substring_index(text, "/", 1), F.when(F.contains(text, F.lit("/")), F.substring_index(text, "/", -1))
-    parsed = nets.select(address_hex(base).alias("h"), F.contains(base, F.lit(":")).alias("six"), tail.alias("_tail"), *value_cols, (rank if rank is not None else F.lit(0)).alias("_rank"))
+    parsed = nets.select((F.lit(table) if isinstance(table, str) else table).alias("table"), address_hex(base).alias("h"), F.contains(base, F.lit(":")).alias("six"), tail.alias("_tail"), *value_cols, (rank if rank is not None else F.lit(0)).alias("_rank"))
     most = F.when(F.col("six"), 128).otherwise(32)
     length = F.when(F.col("_tail").isNull(), most).otherwise(F.when(F.col("_tail").rlike(r"\A[0-9]{1,3}\z"), F.col("_tail")).try_cast("int"))
     valid = parsed.withColumn("len", length).where(F.col("h").isNotNull() & F.col("len").between(0, most))
-    best = (valid.select("six", "len", _end(F.col("h"), F.col("len"), False).alias("lo"), _end(F.col("h"), F.col("len"), True).alias("hi"), "_rank", *value_cols)
-            .groupBy("six", "len", "lo", "hi").agg(F.max(F.struct("_rank", *value_cols)).alias("_v")))
-    placed = best.select(F.lit(table).alias("table"), "six", _level(F.col("six"), F.col("len")).alias("level"), "len", "lo", "hi", F.struct(*[F.col(f"_v.{c}").alias(c) for c in value_cols]).alias("_v"))
+    best = (valid.select("table", "six", "len", _end(F.col("h"), F.col("len"), False).alias("lo"), _end(F.col("h"), F.col("len"), True).alias("hi"), "_rank", *value_cols)
+            .groupBy("table", "six", "len", "lo", "hi").agg(F.max(F.struct("_rank", *value_cols)).alias("_v")))
+    placed = best.select("table", "six", _level(F.col("six"), F.col("len")).alias("level"), "len", "lo", "hi", F.struct(*[F.col(f"_v.{c}").alias(c) for c in value_cols]).alias("_v"))
     placed = placed.withColumn("bucket", F.substr("lo", F.lit(1), (F.col("level") / 4).cast("int")))
     ends = placed.select(*PLACE, F.explode(F.array(
         F.struct(F.col("lo").alias("pos"), F.lit(0).alias("side"), F.col("len").alias("turn"), F.lit(1).alias("by"), F.col("_v").alias("val")),
@@ -83,11 +83,14 @@ def segments(nets: DataFrame, cidr: str, value_cols: Sequence[str], rank: Column
 
 
 def located(addresses: DataFrame, ip: str, cut: DataFrame) -> DataFrame:
-    """(ip, table, val) for each of ``addresses`` (distinct) that a network of a table of ``cut`` holds."""
-    tables = cut.select("table").distinct()
-    known = addresses.select(F.col(ip).alias("_ip"), address_hex(F.col(ip)).alias("pos")).where("pos is not null").withColumn("six", F.length("pos") > 8)
+    """(ip, table, val) for each of ``addresses`` (distinct) that a network of a table of ``cut`` holds; with a column
+    ``table`` an address is looked up in that table only."""
+    own = "table" in addresses.columns
+    known = addresses.select(F.col(ip).alias("_ip"), address_hex(F.col(ip)).alias("pos"), *(["table"] if own else [])).where("pos is not null").withColumn("six", F.length("pos") > 8)
     levels = F.when(F.col("six"), F.array(*[F.lit(n) for n in LEVELS[True]])).otherwise(F.array(*[F.lit(n) for n in LEVELS[False]]))
-    asked = known.select("_ip", "pos", "six", F.explode(levels).alias("level")).crossJoin(F.broadcast(tables))  # one row for each table of networks
+    asked = known.withColumn("level", F.explode(levels))
+    if not own:
+        asked = asked.crossJoin(F.broadcast(cut.select("table").distinct()))  # one row for each table of networks
     asked = asked.withColumn("bucket", F.substr("pos", F.lit(1), (F.col("level") / 4).cast("int"))).withColumn("side", F.lit(1))
     mixed = cut.unionByName(asked, allowMissingColumns=True)
     # a struct around the value, so that a hole counts as well

@@ -21,7 +21,7 @@ from secflow.operators.cooldown import cooldown
 from secflow.operators.sliding import WORDS, sliding_count, sliding_measures
 from secflow.session import cut_lineage
 from secflow.plans.identity import fold_events
-from secflow.plans.rules import (CRITICALITY_POINTS, ROUTE_DEEP, ROUTE_LIGHT, RULES, Rule, floor_of, rule_table)
+from secflow.plans.rules import (CRITICALITY_POINTS, ROUTE_DEEP, ROUTE_LIGHT, RULES, Rule, floor_of, listed_events, lists_from_column, rule_table)
 
 DEFAULT_TENANT = "default"
 ACCOUNT_FIELDS = ("actor.user.name", "unmapped.target_user.name")
@@ -128,22 +128,28 @@ def crossed(levels: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def run_rules(events: DataFrame, rules: Sequence[Rule] = RULES, tenant_rules: DataFrame | None = None,
-              mode: str = "clamp", now_ms: int | None = None, suppress: bool = True, aliases: DataFrame | None = None) -> DataFrame:
+              mode: str = "clamp", now_ms: int | None = None, suppress: bool = True, aliases: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
     """Rule hits: (tenant, event_key, rule_id, window_ms, grp, t, n), one per event and rule."""
-    return detected(events, rules, tenant_rules, mode, now_ms, suppress, aliases)[0]
+    return detected(events, rules, tenant_rules, mode, now_ms, suppress, aliases, lists)[0]
 
 
 def detected(events: DataFrame, rules: Sequence[Rule] = RULES, tenant_rules: DataFrame | None = None,
-             mode: str = "clamp", now_ms: int | None = None, suppress: bool = True, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+             mode: str = "clamp", now_ms: int | None = None, suppress: bool = True, aliases: DataFrame | None = None,
+             lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """The hits of :func:`run_rules`, and what fed the windows (null without stateful rules).
 
-    With ``aliases`` (``identity.realm_aliases``) accounts are folded before any rule sees them.
+    With ``aliases`` (``identity.realm_aliases``) accounts are folded before any rule sees them. ``lists`` (list, entry) replaces the
+    shipped entries of all lists that rules test.
 
     Rules are evaluated once: matches are far fewer than events, and they are written to reliable storage before windows,
     hits, suppression and evidence read them."""
     if aliases is not None:
         events = fold_events(events, aliases, detection_tenant(F.col("siem.tenant")))
-    matched = matches(events, rules, mode, now_ms)
+    if lists is None:
+        matched = matches(events, rules, mode, now_ms)
+    else:
+        with lists_from_column():
+            matched = matches(listed_events(events, rules, lists), rules, mode, now_ms)
     if tenant_rules is not None:
         matched = gate(matched, tenant_rules, rules)
     stateful = any(r.stateful for r in rules)

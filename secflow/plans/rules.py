@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secflow.functions.predicates import all_of, cmp, eq, exists, isin_, not_in, outside_hours
+from secflow.functions.predicates import all_of, closed, cmp, eq, exists, isin_, not_in, outside_hours
+from secflow.operators.lists import LISTED, Test, test_name, with_lists
 
 # Entries of the shipped allow lists (lists not named here are empty).
 ALLOWLISTS: dict[str, tuple[str, ...]] = {
@@ -22,11 +25,49 @@ ALLOWLISTS: dict[str, tuple[str, ...]] = {
 GIB = 1 << 30
 
 
+#: Where list tests are answered: None for the shipped entries, else the set that takes the tests in, which the column ``_listed`` answers.
+LIST_TESTS: ContextVar[set[Test] | None] = ContextVar("list_tests", default=None)
+
+
+@contextmanager
+def lists_from_column() -> Iterator[set[Test]]:
+    """Inside, predicates read list tests from the column of ``operators.lists.with_lists``; the set holds the tests that were built."""
+    tests: set[Test] = set()
+    token = LIST_TESTS.set(tests)
+    try:
+        yield tests
+    finally:
+        LIST_TESTS.reset(token)
+
+
+def shipped_lists(spark: SparkSession) -> DataFrame:
+    """The shipped entries as a table (list, entry), to be changed or added to."""
+    return spark.createDataFrame([(name, e) for name, entries in ALLOWLISTS.items() for e in entries], "list string, entry string")
+
+
 def _unlisted(path: str, name: str) -> Column:
+    tests = LIST_TESTS.get()
+    if tests is not None:
+        tests.add((path, name))
+        return ~closed(F.array_contains(F.col(LISTED), F.lit(test_name(path, name))))
     entries = ALLOWLISTS.get(name, ())
     return not_in(path, [e for e in entries if "/" not in e], [e for e in entries if "/" in e])
 
 
+def list_tests(rules: Sequence[Rule]) -> list[Test]:
+    """The (path, list) tests that the rules make."""
+    with lists_from_column() as tests:
+        for r in rules:
+            r.where()
+    return sorted(tests)
+
+
+def listed_events(events: DataFrame, rules: Sequence[Rule], lists: DataFrame) -> DataFrame:
+    """Events with the answers to all list tests of the rules."""
+    tests = list_tests(rules)
+    return with_lists(events, tests, lists) if tests else events
+
+
 @dataclass(frozen=True)
 class Rule:
     """One rule. ``where`` is called when a plan is built, so that columns bind to that session."""

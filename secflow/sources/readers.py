@@ -144,7 +144,7 @@ def read_dns_log(spark: SparkSession, path: str) -> DataFrame:
 REFERENCE_DDL = {
     "allowlist": "list string, entry string", "ioc": "ip string, cidr string, score int, categories array<string>", "geo": "cidr string, country string",
     "ot_points": "wire_address int, criticality string", "tenant_rules": "tenant string, rule_id string, state string",
-    "realm_alias": "tenant string, spelling string, canonical string",
+    "realm_alias": "tenant string, grp bigint, pos bigint, spelling string, is_default boolean",
 }
 
 
