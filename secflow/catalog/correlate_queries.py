@@ -30,8 +30,9 @@ hd AS (SELECT tenant_id, entity_type, entity_value, first_seen, max(time) AS las
        FROM ss GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT tactic) >= 2),
 mb AS (SELECT concat(ss.tenant_id, ':', ss.entity_type, ':', ss.entity_value, ':', ss.first_seen // {DAY}) AS incident_id, ss.*, last_seen, tactics
        FROM ss JOIN hd USING (tenant_id, entity_type, entity_value, first_seen) WHERE time >= last_seen - {DAY}),
-inc AS (SELECT incident_id, tenant_id, entity_type, entity_value, first_seen, last_seen, tactics, list_sort(list(alert_id)) AS member_alert_ids,
-        CAST(count(*) AS INT) AS member_count, CAST(least(sum(score), 1000) AS INT) AS severity, false AS truncated FROM mb GROUP BY 1, 2, 3, 4, 5, 6, 7)"""
+nb AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY time DESC, alert_id) AS newest FROM mb),
+inc AS (SELECT incident_id, tenant_id, entity_type, entity_value, first_seen, last_seen, tactics, list_sort(list(alert_id) FILTER (WHERE newest <= {C.MEMBERS_SHOWN})) AS member_alert_ids,
+        CAST(count(*) AS INT) AS member_count, CAST(least(sum(score), 1000) AS INT) AS severity, count(*) > {C.MEMBERS_SHOWN} AS truncated FROM nb GROUP BY 1, 2, 3, 4, 5, 6, 7)"""
 
 
 def alerts(spark, sf):
@@ -99,21 +100,40 @@ def graph_links(spark, sf):
     return C.graph_links(members.withColumn("causal_keys", F.array(key)))
 
 
-CAMP_SQL = SESS_SQL + """, sh AS (SELECT incident_id, tenant_id, unnest(member_alert_ids) AS a FROM inc),
-ne AS MATERIALIZED (SELECT DISTINCT x.incident_id AS p, y.incident_id AS q FROM sh x JOIN sh y ON x.a = y.a AND x.tenant_id = y.tenant_id),
-rc AS (SELECT p, q FROM ne UNION SELECT rc.p, ne.q FROM rc JOIN ne ON rc.q = ne.p), rt AS (SELECT p AS incident_id, min(q) AS first FROM rc GROUP BY 1)"""
+def _camp_sql(suffix: str = "", where: str = "TRUE") -> str:
+    """CTEs ending in cm: the campaign of each incident, of the members for which a condition holds."""
+    return f""", sh{suffix} AS (SELECT DISTINCT incident_id, tenant_id, alert_id AS a FROM mb WHERE {where}),
+ne{suffix} AS MATERIALIZED (SELECT DISTINCT x.incident_id AS p, y.incident_id AS q FROM sh{suffix} x JOIN sh{suffix} y ON x.a = y.a AND x.tenant_id = y.tenant_id),
+rc{suffix} AS (SELECT p, q FROM ne{suffix} UNION SELECT r.p, n.q FROM rc{suffix} r JOIN ne{suffix} n ON r.q = n.p), rt{suffix} AS (SELECT p AS incident_id, min(q) AS first FROM rc{suffix} GROUP BY 1),
+cm{suffix} AS (SELECT concat('campaign:', tenant_id, ':', substr(sha256(first), 1, 16)) AS campaign_id, inc.* FROM inc JOIN rt{suffix} USING (incident_id))"""
 
 
-@query("campaign_members", f"WITH RECURSIVE {CAMP_SQL} SELECT concat('campaign:', tenant_id, ':', substr(sha256(first), 1, 16)) AS campaign_id, tenant_id, incident_id FROM inc JOIN rt USING (incident_id)")
+CAMP_SQL = SESS_SQL + _camp_sql()
+SIZES_SQL = """SELECT cm.campaign_id, tenant_id, count(*) AS incident_count, count(DISTINCT (entity_type, entity_value)) AS entity_count, CAST(0 AS BIGINT) AS duplicate_incidents_dropped,
+any_value(al.n) AS alert_count, list_sort(list_distinct(flatten(list(tactics)))) AS tactics{more} FROM cm JOIN (SELECT campaign_id, count(DISTINCT mb.alert_id) AS n FROM mb JOIN cm USING (incident_id) GROUP BY 1) al USING (campaign_id){join} GROUP BY 1, 2"""
+
+
+@query("campaign_members", f"WITH RECURSIVE {CAMP_SQL} SELECT campaign_id, tenant_id, incident_id FROM cm")
 def campaign_members(spark, sf):
-    return C.campaign_members(cut_lineage(tracked(spark, sf)[0]))
+    return C.campaign_members(cut_lineage(tracked(spark, sf)[1]))
 
 
-@query("campaigns", f"""WITH RECURSIVE {CAMP_SQL}, cm AS (SELECT concat('campaign:', tenant_id, ':', substr(sha256(first), 1, 16)) AS campaign_id, inc.* FROM inc JOIN rt USING (incident_id))
-SELECT campaign_id, tenant_id, count(*) AS incident_count, count(DISTINCT (entity_type, entity_value)) AS entity_count, CAST(0 AS BIGINT) AS duplicate_incidents_dropped,
-len(list_distinct(flatten(list(member_alert_ids)))) AS alert_count, list_sort(list_distinct(flatten(list(tactics)))) AS tactics FROM cm GROUP BY 1, 2""")
+@query("campaigns", f"WITH RECURSIVE {CAMP_SQL} " + SIZES_SQL.format(more="", join=""))
 def campaigns(spark, sf):
-    return C.campaigns(cut_lineage(tracked(spark, sf)[0]))
+    rows, members = tracked(spark, sf)
+    return C.campaigns(cut_lineage(rows), cut_lineage(members))
+
+
+@query("campaigns_grown", f"WITH RECURSIVE {CAMP_SQL}{_camp_sql('0', 'entity_type <> ' + chr(39) + 'ip' + chr(39))}, ab AS (SELECT cm.campaign_id, count(DISTINCT cm0.campaign_id) AS merged FROM cm JOIN cm0 USING (incident_id) WHERE cm.campaign_id <> cm0.campaign_id GROUP BY 1) "
+       + SIZES_SQL.format(more=", coalesce(any_value(merged), 0) AS merged_from", join=" LEFT JOIN ab USING (campaign_id)"))
+def campaigns_grown(spark, sf):
+    """Campaigns of all incidents, from those without the ones by address: known components go on with the new members only."""
+    rows, members = tracked(spark, sf)
+    rows, members = cut_lineage(rows), cut_lineage(members)
+    before = members.where("entity_type <> 'ip'")
+    known = C.campaign_nodes(before)
+    nodes, _ = C.advanced(known, C.campaign_edges(members.where("entity_type = 'ip'")))
+    return C.campaigns(rows, members, C.members_by_root(known, before), nodes)
 
 
 @query("entity_rollup", f"""WITH {ALERTS_SQL}, n AS (SELECT *, 'actor' AS ty, actor AS v FROM al UNION ALL SELECT *, 'ip', ip FROM al UNION ALL SELECT *, 'device', device FROM al WHERE device IS NOT NULL)

@@ -17,6 +17,8 @@ from secflow.session import cut_lineage
 
 HORIZON_MS = 86_400_000
 SEVERITY_CAP = 1000
+#: Fixed value: members that an incident's row lists.
+MEMBERS_SHOWN = 200
 # Edge kinds in order of preference, and link bases.
 TYPED_KINDS = ("caused_by", "invoked", "authenticated_as", "wrote_to", "changed")
 BASIS = {"proc": "process_tree", "flow": "network_flow", "agent": "agent_session"}
@@ -56,11 +58,11 @@ def track_members(tracks: DataFrame, horizon_ms: int = HORIZON_MS) -> DataFrame:
     return tracks.join(marked, [*TRACK, "time"])
 
 
-def incidents(tracks: DataFrame, horizon_ms: int = HORIZON_MS, listed: int | None = None) -> tuple[DataFrame, DataFrame]:
+def incidents(tracks: DataFrame, horizon_ms: int = HORIZON_MS, listed: int = MEMBERS_SHOWN) -> tuple[DataFrame, DataFrame]:
     """(incidents, members). A track with two or more tactics is an incident.
 
     Tactics and first_seen cover the whole run; members are all alerts within the horizon of its last
-    alert, as rows. ``listed`` shortens only the shown list of ids to the newest (``truncated`` tells so).
+    alert, as rows. A row shows the newest ``listed`` ids (``truncated`` tells that there are more); nothing else reads that list.
     """
     key = [*TRACK, "first_seen"]
     rows = track_members(sets.latest_by(tracks, [*TRACK, "alert_id"], "time"), horizon_ms)
@@ -71,9 +73,9 @@ def incidents(tracks: DataFrame, horizon_ms: int = HORIZON_MS, listed: int | Non
     live = rows.join(heads, key).where(F.col("time") >= F.col("last_seen") - horizon_ms)
     rolled = live.groupBy("incident_id", *key, "tactics", "last_seen").agg(
         F.count(F.lit(1)).cast("int").alias("member_count"), F.least(F.sum("score"), F.lit(SEVERITY_CAP)).cast("int").alias("severity"))
-    shown = live if listed is None else sets.cap_per_key(live, ["incident_id"], [F.desc("time"), F.asc("alert_id")], listed)
+    shown = sets.cap_per_key(live, ["incident_id"], [F.desc("time"), F.asc("alert_id")], listed)
     ids = shown.groupBy("incident_id").agg(F.array_sort(F.collect_set("alert_id")).alias("member_alert_ids"))
-    cut = F.lit(False) if listed is None else F.col("member_count") > listed
+    cut = F.col("member_count") > listed
     out = rolled.join(ids, "incident_id").select(
         "incident_id", *TRACK, "first_seen", "last_seen", "tactics", "member_alert_ids", "member_count", "severity", cut.alias("truncated"))
     return out, live.drop("tactics", "last_seen")
@@ -220,31 +222,62 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def campaign_members(incident_rows: DataFrame) -> DataFrame:
-    """(campaign_id, tenant_id, incident_id): incidents of one tenant that share member alerts, transitively."""
-    split = lambda *p: F.to_json(F.array(*p))
-    shared = incident_rows.select("tenant_id", "incident_id", F.explode("member_alert_ids").alias("alert_id"))
-    edges = cut_lineage(shared.select(split(F.lit("i"), "tenant_id", "incident_id").alias("a"), split(F.lit("z"), "tenant_id", "alert_id").alias("b")))
-    comp = cut_lineage(components(edges))
-    mine = incident_rows.select("tenant_id", "incident_id", split(F.lit("i"), "tenant_id", "incident_id").alias("node")).distinct()
-    named = mine.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.groupBy("root").agg(F.min("incident_id").alias("first"))
+def _node(*parts: Column) -> Column:
+    return F.to_json(F.array(*parts))
+
+
+def campaign_edges(members: DataFrame) -> DataFrame:
+    """(a, b): each incident tied to its member alerts, of one tenant."""
+    rows = members.select("tenant_id", "incident_id", "alert_id").distinct()
+    return rows.select(_node(F.lit("i"), F.col("tenant_id"), F.col("incident_id")).alias("a"), _node(F.lit("z"), F.col("tenant_id"), F.col("alert_id")).alias("b"))
+
+
+def campaign_nodes(members: DataFrame) -> DataFrame:
+    """(node, root) of incidents and alerts: what :func:`advanced` goes on from."""
+    return cut_lineage(components(cut_lineage(campaign_edges(members))))
+
+
+def advanced(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, moved): known components with new edges taken in, and (root, new_root) of the components that were merged.
+
+    Edges are lifted to the roots of their ends, where most fall together; only the components that the rest touches are
+    worked out, on a graph of roots. Roots are smallest nodes, so the result is that of a run over all edges."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("root").isNull().alias("new"))
+    ends = cut_lineage(ends)
+    lift = lambda df, c: df.join(ends.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
+    lifted = cut_lineage(lift(lift(edges.select("a", "b"), "a"), "b").where("a <> b").distinct())
+    moved = cut_lineage(components(lifted).where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("new_root")))
+    every = nodes.select("node", "root").unionByName(ends.where("new").select("node", "root"))
+    out = every.join(moved, "root", "left").select("node", F.coalesce("new_root", "root").alias("root"))
+    return cut_lineage(out), moved
+
+
+def members_by_root(nodes: DataFrame, incident_rows: DataFrame) -> DataFrame:
+    """(campaign_id, tenant_id, incident_id): a campaign is named after its first incident."""
+    mine = incident_rows.select("tenant_id", "incident_id", _node(F.lit("i"), F.col("tenant_id"), F.col("incident_id")).alias("node")).distinct()
+    named = mine.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = cut_lineage(named.groupBy("root").agg(F.min("incident_id").alias("first")))
     ident = F.concat_ws(":", F.lit("campaign"), "tenant_id", F.substring(F.sha2("first", 256), 1, 16))
     return named.join(first, "root").select(ident.alias("campaign_id"), "tenant_id", "incident_id")
 
 
-def campaigns(incident_rows: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """One row per campaign with its sizes, tactics and absorbed previous ids. Members stay in
-    :func:`campaign_members` as rows, since one campaign may hold any share of all incidents.
+def campaign_members(members: DataFrame) -> DataFrame:
+    """(campaign_id, tenant_id, incident_id): incidents of one tenant that share member alerts, transitively."""
+    return members_by_root(campaign_nodes(members), members)
+
+
+def campaigns(incident_rows: DataFrame, members: DataFrame, previous: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """One row per campaign with its sizes, tactics and, with ``previous`` (campaign_members before), how many former ids it took in.
 
-    Re-sent versions of an incident: the one with most members wins, then the greater content digest.
+    ``members`` are rows (tenant_id, incident_id, alert_id). ``nodes`` are components that are known already. Re-sent versions of an incident: the one
+    with most members wins, then the greater content digest.
     """
     digest = F.sha2(F.to_json(F.struct(*sorted(incident_rows.columns))), 256)
     versions = incident_rows.groupBy("tenant_id", "incident_id").agg((F.count(F.lit(1)) - 1).alias("dups"))
-    best = cut_lineage(sets.latest_by(incident_rows, ["tenant_id", "incident_id"], F.size(F.array_distinct("member_alert_ids")), digest))
-    member = cut_lineage(campaign_members(best))
-    rows = member.join(best, ["tenant_id", "incident_id"]).join(versions, ["tenant_id", "incident_id"])
-    alerts = rows.select("campaign_id", F.explode("member_alert_ids").alias("x")).groupBy("campaign_id").agg(F.countDistinct("x").alias("alert_count"))
+    best = cut_lineage(sets.latest_by(incident_rows, ["tenant_id", "incident_id"], F.col("member_count"), digest))
+    member = cut_lineage(members_by_root(campaign_nodes(members) if nodes is None else nodes, best))
+    rows = member.join(best.select("tenant_id", "incident_id", "entity_type", "entity_value", "tactics"), ["tenant_id", "incident_id"]).join(versions, ["tenant_id", "incident_id"])
+    alerts = member.join(members.select("tenant_id", "incident_id", "alert_id").distinct(), ["tenant_id", "incident_id"]).groupBy("campaign_id").agg(F.countDistinct("alert_id").alias("alert_count"))
     tactics = rows.select("campaign_id", F.explode("tactics").alias("x")).groupBy("campaign_id").agg(F.array_sort(F.collect_set("x")).alias("tactics"))
     sizes = rows.groupBy("campaign_id", "tenant_id").agg(
         F.count(F.lit(1)).alias("incident_count"), F.countDistinct("entity_type", "entity_value").alias("entity_count"),
@@ -255,7 +288,7 @@ def campaigns(incident_rows: DataFrame, previous: DataFrame | None = None) -> Da
     old = previous.select("tenant_id", "incident_id", F.col("campaign_id").alias("old"))
     absorbed = (member.join(old, ["tenant_id", "incident_id"]).where("old <> campaign_id").groupBy("campaign_id")
                 .agg(F.countDistinct("old").alias("merged_from")))
-    return out.join(absorbed, "campaign_id", "left")
+    return out.join(absorbed, "campaign_id", "left").withColumn("merged_from", F.coalesce("merged_from", F.lit(0).cast("bigint")))
 
 
 # ---- entities ----------------------------------------------------------------------------------

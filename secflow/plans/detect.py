@@ -26,6 +26,8 @@ from secflow.plans.rules import (CRITICALITY_POINTS, ROUTE_DEEP, ROUTE_LIGHT, RU
 DEFAULT_TENANT = "default"
 ACCOUNT_FIELDS = ("actor.user.name", "unmapped.target_user.name")
 COOLDOWN_MS = 300_000
+#: Fixed value: events that an alert's row cites.
+EVIDENCE_SHOWN = 50
 GROUP = ["rule_id", "window_ms", "tenant", "grp"]
 
 
@@ -257,8 +259,8 @@ def collapse(hits: DataFrame) -> DataFrame:
             .select("alert_id", "x.*", "hits"))
 
 
-def evidence(alerts: DataFrame, fed: DataFrame, cap: int | None = None) -> DataFrame:
-    """(alert_id, event_ids, event_ids_omitted): what each alert's window holds, oldest first; ``cap`` shortens the list.
+def evidence_rows(alerts: DataFrame, fed: DataFrame) -> DataFrame:
+    """(alert_id, ident, t): all that each alert's window holds, as rows.
 
     Two passes: only windows that fired are looked at, and an event is joined by hash on the two
     window buckets it can belong to. Distinct rules cite the counted values instead of events.
@@ -267,12 +269,13 @@ def evidence(alerts: DataFrame, fed: DataFrame, cap: int | None = None) -> DataF
              .select("alert_id", *GROUP, F.col("t").alias("at"), S.bucket(F.col("t"), F.col("window_ms")).alias("b")))
     own = F.floor(F.col("t") / F.col("window_ms")).cast("bigint")
     members = fed.withColumn("b", F.explode(F.array(own, own + 1))).join(fired, [*GROUP, "b"])
-    inside = (members.where((F.col("t") <= F.col("at")) & (F.col("t") >= F.col("at") - F.col("window_ms")))
-              .groupBy("alert_id", F.coalesce("val", "event_key").alias("ident")).agg(F.max("t").alias("t")))
-    if cap is not None:
-        return sets.capped_ids(inside, ["alert_id"], ["t", "ident"], "ident", cap)
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("t", "ident"))), lambda x: x["ident"])
-    return inside.groupBy("alert_id").agg(ids.alias("event_ids"), F.lit(0).cast("bigint").alias("event_ids_omitted"))
+    return (members.where((F.col("t") <= F.col("at")) & (F.col("t") >= F.col("at") - F.col("window_ms")))
+            .groupBy("alert_id", F.coalesce("val", "event_key").alias("ident")).agg(F.max("t").alias("t")))
+
+
+def evidence(alerts: DataFrame, fed: DataFrame, cap: int = EVIDENCE_SHOWN) -> DataFrame:
+    """(alert_id, event_ids, event_ids_omitted): the first ``cap`` of :func:`evidence_rows`, oldest first, and how many more there are."""
+    return sets.capped_ids(evidence_rows(alerts, fed), ["alert_id"], ["t", "ident"], "ident", cap)
 
 
 def causal_keys(events: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,18 +35,33 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder of this session.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. A session without one uses a folder in
-    the warehouse, which all executors share as well; no machine-local folder is used with any master.
+    A cluster names a shared folder in ``spark.checkpoint.dir``; without that setting a job on a cluster is refused, since a folder of
+    one machine would be lost with it. A local session, as in tests, uses a folder in its warehouse.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     sc.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return sc.getCheckpointDir()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, for clusters where it isn't installed. Once a session."""
+    archive = os.path.join(tempfile.mkdtemp(prefix="ship-"), "secflow.zip")  # the driver's own copy, sent from there
+    here = os.path.dirname(os.path.abspath(__file__))
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage and drop its history (for iterative jobs)."""
     checkpoint_dir(df.sparkSession)
