@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rule_queries", "detect_queries", "normalize_queries", "correlate_queries", "report_queries", "stream_queries", "network_queries", "state_queries")
+MODULES = ("rule_queries", "detect_queries", "normalize_queries", "correlate_queries", "report_queries", "stream_queries", "network_queries", "state_queries", "package_queries")
 
 
 def load() -> tuple[dict, dict]:

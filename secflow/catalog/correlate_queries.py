@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from secflow.catalog.fixture import BASE_SQL, base_events, table
-from secflow.catalog.registry import query
+from secflow.catalog.registry import ORACLES, query
 from secflow.functions import scalars as S
 from secflow.operators import joins
 from secflow.plans import correlate as C
+from secflow.plans import evaluate as M
 from secflow.plans import inventory as I
 from secflow.session import cut_lineage
 
@@ -71,6 +72,61 @@ def graph_edges(spark, sf):
     return C.graph_edges(tracked(spark, sf)[1])
 
 
+def _edges_sql(name: str) -> str:
+    """A CTE of the graph edges: the end of the graph_edges SQL under a name."""
+    body = ORACLES["graph_edges"].removeprefix(f"WITH {SESS_SQL}, ")
+    head, _, last = body.rpartition("\nSELECT incident_id, sha256")
+    return f"{head},\n{name} AS (SELECT incident_id, sha256{last})"
+
+
+# Steps of a storyline: entities by the first digits of their ids.
+STEP_SQL = "st AS (SELECT DISTINCT CAST('0x' || substr(e, 1, 2) AS BIGINT) % 40 AS step, e AS entity_id FROM (SELECT from_id AS e FROM ge UNION SELECT to_id FROM ge))"
+PAIR_SQL = "rl AS (SELECT DISTINCT step % 5 AS storyline, step AS from_step, step + 1 AS to_step, step % 3 <> 0 AS allowed FROM st)"
+
+
+def _steps(edges):
+    ids = edges.select(F.explode(F.array("from_id", "to_id")).alias("entity_id")).distinct()
+    return ids.select((F.conv(F.substring("entity_id", 1, 2), 16, 10).cast("bigint") % 40).alias("step"), "entity_id")
+
+
+def _relations(steps):
+    return steps.select((F.col("step") % 5).alias("storyline"), F.col("step").alias("from_step"), (F.col("step") + 1).alias("to_step"), (F.col("step") % 3 != 0).alias("allowed")).distinct()
+
+
+@query("step_order", f"""WITH {SESS_SQL}, {_edges_sql('ge')}, {STEP_SQL}, {PAIR_SQL}, ow AS (SELECT DISTINCT st.step, ge.* FROM ge JOIN st ON st.entity_id = ge.from_id OR st.entity_id = ge.to_id),
+iv AS (SELECT step, min(first_ts) AS lo, max(last_ts) AS hi FROM ow GROUP BY 1)
+SELECT rl.*, CASE WHEN a.lo IS NULL OR b.lo IS NULL THEN 'untimed' WHEN a.hi < b.lo THEN 'forward' WHEN b.hi < a.lo THEN 'reverse' ELSE 'concurrent' END AS "order"
+FROM rl LEFT JOIN iv a ON a.step = from_step LEFT JOIN iv b ON b.step = to_step""")
+def step_order(spark, sf):
+    """Graph edges attributed to the steps that own their ends, and the order of each pair of steps."""
+    edges = cut_lineage(C.graph_edges(tracked(spark, sf)[1]))
+    steps = cut_lineage(_steps(edges))
+    return M.step_order(_relations(steps), M.step_intervals(edges, steps))
+
+
+@query("chain_fidelity_of_edges", f"""WITH {SESS_SQL}, {_edges_sql('ge')}, {STEP_SQL}, {PAIR_SQL}, se AS (SELECT DISTINCT a.step AS from_step, b.step AS to_step FROM ge JOIN st a ON a.entity_id = from_id JOIN st b ON b.entity_id = to_id WHERE a.step <> b.step),
+j AS (SELECT rl.*, se.from_step IS NOT NULL AS hit FROM rl LEFT JOIN se USING (from_step, to_step)),
+c AS (SELECT storyline, count(*) FILTER (WHERE allowed) AS wanted, count(*) FILTER (WHERE allowed AND hit) AS found, count(*) FILTER (WHERE NOT allowed AND hit) AS forbidden_found FROM j GROUP BY 1)
+SELECT *, round(found / nullif(wanted + forbidden_found, 0), 6) AS fidelity FROM c""")
+def chain_fidelity_of_edges(spark, sf):
+    edges = cut_lineage(C.graph_edges(tracked(spark, sf)[1]))
+    steps = cut_lineage(_steps(edges))
+    return M.chain_fidelity(M.step_edges(edges, steps), _relations(steps))
+
+
+# A forest of processes: chains of 300, each hung below a process of another; a few processes carry an alert.
+TREE_SQL = f"WITH RECURSIVE {BASE_SQL}, tr AS (SELECT event_id AS node, CASE WHEN event_id % 300 <> 0 THEN event_id - 1 WHEN event_id > 0 THEN event_id // 2 END AS parent, etype = 'error' AND k > 92 AS mark FROM base)"
+
+
+@query("process_ancestry", TREE_SQL + """, up(node, above, far) AS (SELECT node, parent, 1 FROM tr WHERE parent IS NOT NULL UNION ALL SELECT up.node, tr.parent, far + 1 FROM up JOIN tr ON tr.node = up.above WHERE NOT tr.mark AND tr.parent IS NOT NULL)
+SELECT up.node, above AS ancestor, CAST(far AS BIGINT) AS distance FROM up JOIN tr ON tr.node = up.above WHERE tr.mark""")
+def process_ancestry(spark, sf):
+    """The nearest process above each one that carries an alert."""
+    rows = base_events(spark, sf)
+    parent = F.when(F.col("event_id") % 300 != 0, F.col("event_id") - 1).when(F.col("event_id") > 0, F.floor(F.col("event_id") / 2).cast("bigint"))
+    return C.nearest_marked(rows.select(F.col("event_id").alias("node"), parent.alias("parent")), rows.where("etype = 'error' and k > 92").select(F.col("event_id").alias("node")))
+
+
 @query("tactic_sources", f"WITH {SESS_SQL} SELECT incident_id, tactic, list_sort(list(alert_id)) AS alert_ids FROM mb WHERE tactic IS NOT NULL GROUP BY 1, 2")
 def tactic_sources(spark, sf):
     return C.tactic_sources(tracked(spark, sf)[1])

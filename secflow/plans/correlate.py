@@ -291,6 +291,55 @@ def campaigns(incident_rows: DataFrame, members: DataFrame, previous: DataFrame
     return out.join(absorbed, "campaign_id", "left").withColumn("merged_from", F.coalesce("merged_from", F.lit(0).cast("bigint")))
 
 
+# ---- process ancestry --------------------------------------------------------------------------
+
+def nearest_marked(parents: DataFrame, marked: DataFrame) -> DataFrame:
+    """(node, ancestor, distance): the nearest proper ancestor of each node that is marked; nodes without one are left out.
+
+    Pointer doubling: a pointer that has met a marked node or the top of its tree rests, any other takes over the pointer of the node it
+    stands on, which has come as far. Depth ``d`` takes log2(d) rounds, each one exchange on the node. A node with several parents keeps the
+    least; nodes on a cycle never rest, and rounds end when they alone are left.
+    """
+    one = parents.where("node is not null and parent is not null and node <> parent").groupBy("node").agg(F.min("parent").alias("at"))
+    marks = cut_lineage(marked.select(F.col("node").alias("at")).distinct().withColumn("hit", F.lit(True)))
+    state = cut_lineage(one.join(marks, "at", "left").select("node", "at", F.lit(1).cast("bigint").alias("far"), F.coalesce("hit", F.lit(False)).alias("hit")))
+    moving, rounds = state.where("not hit").count(), 0
+    while moving and rounds <= 64:
+        ahead = state.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("far").alias("_far"), F.col("hit").alias("_hit"))
+        # a resting pointer is not asked for again; one at the top of its tree has nothing ahead and goes
+        asked = state.where("not hit").join(ahead, "at").select("node", F.col("_at").alias("at"), (F.col("far") + F.col("_far")).alias("far"), F.col("_hit").alias("hit"))
+        state = cut_lineage(state.where("hit").unionByName(asked))
+        moving, rounds = state.where("not hit").count(), rounds + 1
+    return state.where("hit").select("node", F.col("at").alias("ancestor"), F.col("far").alias("distance"))
+
+
+def ancestor_links(members: DataFrame, processes: DataFrame) -> DataFrame:
+    """(incident_id, from_event_id, to_event_id, distance): each alert on a process tied to the first alert of the nearest process above it
+    that has an alert of the same incident, however many quiet processes lie between.
+
+    ``members``: (incident_id, tenant_id, event_id, time, process); ``processes``: (tenant_id, process, parent) of all events."""
+    name = lambda *c: _node(*[F.col(x) for x in c])
+    alerted = members.where("process is not null").groupBy("incident_id", "tenant_id", "process").agg(F.min(F.struct("time", "event_id")).alias("first"))
+    marked = cut_lineage(alerted.withColumn("node", name("tenant_id", "process")))
+    tree = processes.select(name("tenant_id", "process").alias("node"), F.when(F.col("parent").isNotNull(), name("tenant_id", "parent")).alias("parent"))
+    up = nearest_marked(tree, marked.select("node").distinct())
+    # the nearest alerted ancestor may belong to other incidents only: from there on the walk goes from alerted process to alerted process
+    held = marked.select("incident_id", "node", F.col("first.event_id").alias("event_id"))
+    steps = held.select("incident_id", "node", "event_id").join(up, "node").withColumnRenamed("event_id", "to_event_id")
+    done = []
+    walk = cut_lineage(steps)
+    for _ in range(64):
+        met = walk.join(held.select("incident_id", F.col("node").alias("ancestor"), F.col("event_id").alias("from_event_id")), ["incident_id", "ancestor"], "left")
+        met = cut_lineage(met)
+        done.append(met.where("from_event_id is not null").select("incident_id", "from_event_id", "to_event_id", "distance"))
+        rest = met.where("from_event_id is null").drop("from_event_id")
+        onward = up.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("distance").alias("_more"))
+        walk = cut_lineage(rest.join(onward, "ancestor").select("incident_id", "node", "to_event_id", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance")))
+        if walk.isEmpty():
+            break
+    return sets.union_all(done)
+
+
 # ---- entities ----------------------------------------------------------------------------------
 
 def resolve_entities(alerts: DataFrame) -> DataFrame:

@@ -113,6 +113,34 @@ def correlation_metrics(alerts: DataFrame, incident_members: DataFrame) -> DataF
                                      ratio(F.col("false_correlated"), F.col("incidents")).alias("false_rate"))
 
 
+def edges_to_steps(edges: DataFrame, steps: DataFrame) -> DataFrame:
+    """``edges`` with ``step``, once for each step that owns one of their ends. ``steps``: (step, entity_id)."""
+    ends = edges.withColumn("_end", F.explode(F.array_distinct(F.array("from_id", "to_id"))))
+    owned = steps.select("step", F.col("entity_id").alias("_end")).distinct()
+    return ends.join(owned, "_end").drop("_end").distinct()
+
+
+def step_edges(edges: DataFrame, steps: DataFrame) -> DataFrame:
+    """(from_step, to_step): steps joined by an edge from an entity of the one to an entity of the other."""
+    side = lambda end, name: steps.select(F.col("step").alias(name), F.col("entity_id").alias(end)).distinct()
+    return edges.select("from_id", "to_id").distinct().join(side("from_id", "from_step"), "from_id").join(side("to_id", "to_step"), "to_id").where("from_step <> to_step").select("from_step", "to_step").distinct()
+
+
+def step_intervals(edges: DataFrame, steps: DataFrame) -> DataFrame:
+    """(step, lo, hi, edges): from the first to the last evidence of a step's edges; edges without a usable interval make no claim about time."""
+    timed = edges.where("first_ts is not null and last_ts is not null and first_ts <= last_ts")
+    return edges_to_steps(timed, steps).groupBy("step").agg(F.min("first_ts").alias("lo"), F.max("last_ts").alias("hi"), F.count(F.lit(1)).alias("edges"))
+
+
+def step_order(relations: DataFrame, intervals: DataFrame) -> DataFrame:
+    """``relations`` (from_step, to_step, ...) with ``order`` for each pair: forward only if all evidence of the one ends before the other's begins."""
+    side = lambda name, p: intervals.select(F.col("step").alias(name), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"))
+    rows = relations.join(side("from_step", "a"), "from_step", "left").join(side("to_step", "b"), "to_step", "left")
+    order = (F.when(F.col("a_lo").isNull() | F.col("b_lo").isNull(), "untimed").when(F.col("a_hi") < F.col("b_lo"), "forward")
+             .when(F.col("b_hi") < F.col("a_lo"), "reverse").otherwise("concurrent"))
+    return rows.withColumn("order", order).select(*relations.columns, "order")
+
+
 def chain_fidelity(edges: DataFrame, relations: DataFrame) -> DataFrame:
     """Oracle step pairs joined by an edge in their direction; forbidden pairs found count against."""
     have = edges.select("from_step", "to_step").distinct().withColumn("hit", F.lit(True))
