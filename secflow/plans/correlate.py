@@ -298,18 +298,18 @@ def nearest_marked(parents: DataFrame, marked: DataFrame) -> DataFrame:
 
     Pointer doubling: a pointer that has met a marked node or the top of its tree rests, any other takes over the pointer of the node it
     stands on, which has come as far. Depth ``d`` takes log2(d) rounds, each one exchange on the node. A node with several parents keeps the
-    least; nodes on a cycle never rest, and rounds end when they alone are left.
+    least; nodes on or below a cycle never rest, and are left out after the rounds that the longest path could need.
     """
     one = parents.where("node is not null and parent is not null and node <> parent").groupBy("node").agg(F.min("parent").alias("at"))
     marks = cut_lineage(marked.select(F.col("node").alias("at")).distinct().withColumn("hit", F.lit(True)))
     state = cut_lineage(one.join(marks, "at", "left").select("node", "at", F.lit(1).cast("bigint").alias("far"), F.coalesce("hit", F.lit(False)).alias("hit")))
-    moving, rounds = state.where("not hit").count(), 0
-    while moving and rounds <= 64:
+    moving, left = state.where("not hit").count(), state.count().bit_length() + 1
+    while moving and left:
         ahead = state.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("far").alias("_far"), F.col("hit").alias("_hit"))
         # a resting pointer is not asked for again; one at the top of its tree has nothing ahead and goes
         asked = state.where("not hit").join(ahead, "at").select("node", F.col("_at").alias("at"), (F.col("far") + F.col("_far")).alias("far"), F.col("_hit").alias("hit"))
         state = cut_lineage(state.where("hit").unionByName(asked))
-        moving, rounds = state.where("not hit").count(), rounds + 1
+        moving, left = state.where("not hit").count(), left - 1
     return state.where("hit").select("node", F.col("at").alias("ancestor"), F.col("far").alias("distance"))
 
 
