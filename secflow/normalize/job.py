@@ -145,8 +145,8 @@ def contract_errors() -> Column:
 def normalize(bronze: DataFrame, sources: Sequence[str] = tuple(SOURCES), cut: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, dead letter). Routing runs once and lays bronze out by source; each branch then reads its own part.
 
-    Records in envelopes of known shippers are unwrapped first. ``cut`` (``enrich.reference_segments``) adds reputation and country to endpoints."""
-    routed = staged(resolved(unwrap_shipper(bronze)), "resolved_source")
+    Records in envelopes of known shippers go through :func:`unwrap_shipper` before. ``cut`` (``enrich.reference_segments``) adds reputation and country to endpoints."""
+    routed = staged(resolved(bronze), "resolved_source")
     branches = sets.union_all([normalize_source(routed.where(F.col("resolved_source") == s), s) for s in sources])
     events = branches.where(F.size("_errors") == 0).drop("_raw", "_errors")
     events = events if cut is None else enrich(events, cut)
