@@ -24,11 +24,11 @@ SELECT concat('evidence:', incident_id, ':', d) AS package_id, incident_id, n AS
 
 def _built(spark, sf):
     incidents, members = tracked(spark, sf)
-    members = cut_lineage(members)
+    incidents = cut_lineage(incidents)
     events = members.select("incident_id", "event_id", F.concat(F.lit("i"), "event_id").alias("ingest_id"), "time")
     blocks = P.contents(incidents.select(*HEAD), members.select("incident_id", "alert_id", "rule_id", "score", "time"), events.unionByName(events))
     done, packages = P.build(blocks)
-    return cut_lineage(done), cut_lineage(packages)
+    return cut_lineage(done), cut_lineage(packages), incidents
 
 
 @query("evidence_packages", PACK_SQL)
@@ -41,8 +41,8 @@ def evidence_packages(spark, sf):
 UNION ALL SELECT incident_id, 'package id' AS failure FROM inc WHERE severity % 3 = 1 UNION ALL SELECT incident_id, 'no blocks' AS failure FROM inc WHERE severity % 12 = 2""")
 def evidence_verify(spark, sf):
     """Contents changed in some packages, another id given to some, all blocks of some lost; the others have no fault."""
-    blocks, packages = _built(spark, sf)
-    kind = tracked(spark, sf)[0].select("incident_id", F.col("severity").alias("_s"))
+    blocks, packages, incidents = _built(spark, sf)
+    kind = incidents.select("incident_id", F.col("severity").alias("_s"))
     blocks = blocks.join(kind, "incident_id")
     touched = blocks.where(F.col("_s") % 12 != 2).withColumn("content", F.when((F.col("index") == 1) & (F.col("_s") % 3 == 0), F.concat("content", F.lit(" "))).otherwise(F.col("content"))).drop("_s")
     packages = packages.join(kind, "incident_id")
