@@ -42,6 +42,8 @@ KEYS = ["rule_id", "window_ms", "measure", "tenant", "grp"]
 #: What goes in: KEYS, the counted value, the time, whether it is ahead, how many rows, and the event of a rule without a window.
 FED = "rule_id string, window_ms bigint, measure string, tenant string, grp string, val string, t bigint, ahead boolean, rows bigint, event_key string"
 ALONE = "alone"
+#: Groups that the events of a rule without a window are dealt into: a group of its own for each would be a call for each.
+ALONE_GROUPS = 64
 
 
 class Buckets:
@@ -99,11 +101,12 @@ class RuleWindows(StatefulProcessor):
         self.seen = handle.getMapState("seen", "val string", "t bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fed = pd.concat(list(rows), ignore_index=True)
-        mark = timerValues.getCurrentWatermarkInMs()
         if key[2] == ALONE:
-            yield self.side(key, fed, "hit")
+            for part in rows:
+                yield self.side(key, part, "hit")
             return
+        fed = pd.concat(list(rows), ignore_index=True)
+        mark = timerValues.getCurrentWatermarkInMs()
         ahead = fed["ahead"].astype(bool)
         late = ~ahead & (fed["t"] < mark)
         for kind, which in (("future", ahead), ("late", late)):
@@ -262,7 +265,7 @@ def fed(events: DataFrame, rules: Sequence[Rule] = RULES, mode: str = "clamp") -
     early = ahead(F.col("t"), received)
     t = F.when(windowed & ~early & (F.col("measure") != "cv"), F.least("t", received)).otherwise(F.col("t"))
     rows = rows.select("rule_id", "window_ms", F.when(windowed, F.col("measure")).otherwise(ALONE).alias("measure"), "tenant",
-                       F.coalesce("grp", "event_key").alias("grp"), "val", t.alias("t"), (early & windowed).alias("ahead"),
+                       F.coalesce("grp", F.pmod(F.xxhash64("event_key"), F.lit(ALONE_GROUPS)).cast("string")).alias("grp"), "val", t.alias("t"), (early & windowed).alias("ahead"),
                        F.lit(1).cast("bigint").alias("rows"), F.when(~windowed, F.col("event_key")).alias("event_key"))
     return rows.mapInPandas(added_up, FED)
 
