@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from secflow.catalog.fixture import BASE_SQL, EV_SQL, base_events, security_events, table
+from secflow.catalog.fixture import BASE_SQL, EV_SQL, base_events, security_events, spread_events, table
 from secflow.catalog.registry import query
 from secflow.catalog.rule_queries import stretched
 from secflow.normalize import job
@@ -72,8 +73,10 @@ m AS (SELECT grp, t, best[2] AS val FROM lg JOIN loc ON x = ip), lv AS (SELECT a
 SELECT concat('{TRAVEL.id}:default:', length(grp), ':', grp, ':', t // {TRAVEL.window_s * 1000}) AS alert_id, max(t) AS last_t, arg_max(n, t) AS n FROM lv WHERE n >= {TRAVEL.threshold} GROUP BY 1""")
 def impossible_travel_from_raw(spark, sf):
     """Raw logons to events with countries to alerts on accounts that are in two countries within the window."""
-    meta = F.from_json(F.to_json(F.struct(F.col("t").alias("received_at"), F.concat(F.lit("e"), "event_id").alias("ingest_id"))), job_meta())
-    bronze = base_events(spark, sf).select(F.lit("active_directory").alias("source_type"), F.expr(LOGON).alias("raw"), meta.alias("meta"))
+    given = {"received_at": F.col("t"), "ingest_id": F.concat(F.lit("e"), "event_id")}
+    fields = T.DataType.fromDDL(job_meta()).fields
+    meta = F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    bronze = spread_events(spark, sf).select(F.lit("active_directory").alias("source_type"), F.expr(LOGON).alias("raw"), meta.alias("meta"))
     events, _ = job.normalize(bronze, ("active_directory",), _cut(spark, sf))
     hits = detect.run_rules(events, [TRAVEL], mode="event")
     return detect.collapse(hits).select("alert_id", F.col("t").alias("last_t"), "n")

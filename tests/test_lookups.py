@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from secflow.catalog.fixture import security_events
+from secflow.normalize.assemble import assemble
 from secflow.normalize.enrich import enrich, reference_segments
-from secflow.operators import sliding
+from secflow.operators import networks, sliding
 from secflow.operators.networks import network_lookup, segments
 from secflow.operators.quantiles import quantiles
 from secflow.plans.identity import alias_conflicts, fold_alerts, realm_aliases
@@ -68,6 +69,29 @@ def test_a_hot_address(spark):
     assert {r.v: r["count"] for r in got} == {"a": 10_000, "b": small, None: 30_000 - 10_000 - small}
 
 
+def test_events_are_made_once_and_few_addresses_are_broadcast(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(ip):
+        made.add(1)
+        return ip
+
+    rows = [(t, None if t % 7 == 0 else f"10.0.{t % 3}.{t % 5}") for t in range(60)]
+    flat = spark.createDataFrame(rows, "time long, ip string").repartition(2)
+    events = assemble(flat, {"time": F.col("time"), "src_endpoint.ip": seen("ip"), "dst_endpoint.ip": F.lit("10.0.1.9")})
+    cut = reference_segments(None, spark.createDataFrame([("10.0.1.0/24", "AA"), ("10.0.2.0/31", "BB")], "cidr string, country string"))
+    of = lambda ip: None if ip is None or ip.startswith("10.0.0.") else "AA" if ip.startswith("10.0.1.") else "BB" if ip[-1] in "01" else None
+    want = sorted((t, of(ip) or "", "AA") for t, ip in rows)
+    for few in (networks.FEW, -1):
+        monkeypatch.setattr(networks, "FEW", few)
+        made.value = 0
+        got = enrich(events, cut).select("time", F.coalesce("src_endpoint.location.country", F.lit("")), "dst_endpoint.location.country")
+        assert ("Exchange hashpartitioning" in got._jdf.queryExecution().executedPlan().toString()) == (few < 0)
+        assert sorted(map(tuple, got.collect())) == want
+        assert made.value == len(rows)
+
+
 def test_enrichment_keeps_what_is_there(spark):
     events = security_events(spark, "/root/testdata/sf0.001")
     had = F.struct(F.lit("XX").alias("country"), F.lit("sensor").alias("source"))
