@@ -104,13 +104,13 @@ class Encoder:
             out.update((r, np.asarray(e.ids, "<u4").tobytes()) for r, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True))
         return out
 
-    def learned(self, runs: set[str]) -> None:
+    def learned(self, runs: list[str]) -> None:
         """Brings runs into the young half: from the old half, from a stem and its marks, or from the tokenizer."""
         young, old = self.young, self.old
         stems, new = {}, set()
         for run in runs:
-            if run in old:
-                young[run] = old[run]
+            if (ids := old.get(run)) is not None:
+                young[run] = ids
             elif match := MARKED(run):
                 stems[run] = match.groups()
             else:
@@ -124,25 +124,36 @@ class Encoder:
         young.update((run, young[stem] + young[marks]) for run, (stem, marks) in stems.items())
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        split = [runs_of(t) for t in texts]
-        missing = set().union(*split).difference(self.young)
+        """Each different run of the texts is looked up once; its ids are then copied to wherever the run stands."""
+        split = runs_of(texts)
+        every = split.values.dictionary_encode()
+        runs = every.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.young.get, runs))
+        missing = [i for i, x in enumerate(known) if x is None]
         if missing:
-            self.learned(missing)
-        out = [b"".join(map(self.young.__getitem__, runs)) for runs in split]
-        for run in missing:
-            if len(run) > LONGEST:
-                self.young.pop(run, None)
+            self.learned([runs[i] for i in missing])
+        for i in missing:
+            known[i] = self.young[runs[i]]
+        for i in missing:
+            if len(runs[i]) > LONGEST:
+                self.young.pop(runs[i], None)
         if len(self.young) > REMEMBERED:
             self.young, self.old = {"": b""}, self.young
-        return out
-
-
-def runs_of(text: str) -> list[str]:
-    """The runs of a text. Capitals of plain texts are small letters to the tokenizer, which makes fewer different runs; a text
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        which = every.indices.to_numpy()
+        n = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        first = (np.cumsum(sizes) - sizes)[which] - ends[:-1]  # from a run's place in the texts to that of its ids
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(first, n) + np.arange(ends[-1])]
+        at = ends[split.offsets.to_numpy()].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)]
+
+
+def runs_of(texts: list[str]) -> pa.ListArray:
+    """The runs of texts. Capitals of plain texts are small letters to the tokenizer, which makes fewer different runs; a text
     that may hold special tokens keeps its letters."""
-    if text.isascii() and "<|" not in text:
-        text = text.lower()
-    return text.replace("\n", " ").split(" ")
+    plain = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ") for t in texts]
+    return pc.split_pattern(pa.array(plain, pa.large_string()), " ")
 
 
 @lru_cache(maxsize=2)

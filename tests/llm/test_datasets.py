@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +135,27 @@ def test_token_files_nothing(spark):
     assert token_files.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_run_is_looked_up_once_for_all_its_places():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    encoder, text = token_files.Encoder(path), "one two, three\nfour"
+    encoder.young = Counted(encoder.young)
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    got = encoder.ids_of([text] * 500 + ["", " "])
+    assert got == [np.asarray(want, "<u4").tobytes()] * 500 + [b"", b""] and encoder.ids_of([]) == []
+    assert Counted.asked < 50
+
+
 def test_encoder_forgets_and_stays_right(monkeypatch, texts):
     path = public_tokenizers.path(token_files.VOCABULARY)
     plain = Tokenizer.from_file(path)
